@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import scan_licenses
 from .mix_sources import mix_sources
@@ -25,11 +26,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_mix_sources, op5_exact_dedup, op6_url_filter, op10_license_scan)
+    for f in (op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
 }
