@@ -10,9 +10,18 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import scan_licenses
 from .mix_sources import mix_sources
+from .token_file import new_path, read_token_blocks, write_token_blocks
 from .url_filter import filter_urls
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-ids")
+    write_token_blocks(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_blocks(spark, path)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -36,5 +45,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
+    for f in (op2_token_file, op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
 }
