@@ -11,9 +11,14 @@ from .exact_dedup import exact_dedup, normalised
 from .license_scan import scan_licenses
 from .mix_sources import mix_sources
 from .token_file import new_path, read_token_blocks, write_token_blocks
+from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,5 +50,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_file, op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
+    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
 }
