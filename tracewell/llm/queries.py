@@ -10,6 +10,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import scan_licenses
 from .mix_sources import mix_sources
+from .ngram_jaccard import jaccard_components
 from .token_file import new_path, read_token_blocks, write_token_blocks
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
@@ -31,6 +32,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup(docs.select("doc_id", "text", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")), carry=["text_sha256"])
@@ -50,5 +55,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
+    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op4_ngram_jaccard, op5_exact_dedup, op6_url_filter, op7_decontaminate, op10_license_scan)
 }
