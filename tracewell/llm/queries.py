@@ -12,6 +12,7 @@ from .license_scan import scan_licenses
 from .mix_sources import mix_sources
 from .ngram_jaccard import jaccard_components
 from .ppm import score_documents
+from .suffix_dedup import dedup_substrings
 from .token_file import new_path, read_token_blocks, write_token_blocks
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
@@ -50,6 +51,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -60,5 +65,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op4_ngram_jaccard, op5_exact_dedup, op6_url_filter, op7_decontaminate, op9_ppm_score, op10_license_scan)
+    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op4_ngram_jaccard, op5_exact_dedup, op6_url_filter, op7_decontaminate, op8_suffix_dedup, op9_ppm_score, op10_license_scan)
 }
