@@ -76,3 +76,13 @@ def flag_in_bitmap(df: DataFrame, col: str, bitmap: DataFrame, bits: int, flag:
         .withColumn(flag, hit)
         .drop("bm_bucket", "bm")
     )
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``docs`` whose (id, text_hash) is not in ``dropped``; only likely matches are shuffled."""
+    columns = docs.columns
+    names = dropped.select(F.col(id_col).alias("_did"), F.col("text_hash").alias("_dh")).distinct()
+    keyed = docs.withColumn("_th", F.xxhash64(text_or_empty(text_col))).withColumn("_key", F.xxhash64(id_col, "_th"))
+    marked = flag_in_bitmap(keyed, "_key", bitmap_of(names.select(F.xxhash64("_did", "_dh").alias("_key")), "_key", bits), bits, "_in")
+    same = F.col(id_col).eqNullSafe(F.col("_did")) & (F.col("_th") == F.col("_dh"))
+    return marked.where("NOT _in").unionByName(marked.where("_in").join(names, same, "left_anti")).select(*columns)

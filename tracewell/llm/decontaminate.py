@@ -55,7 +55,7 @@ def decontaminate(
     share: int = 20,
     bitmap_bits: int = 1 << 23,
 ) -> DataFrame:
-    """One row per input row: id, n_words, n_hit, n_items, items (array), items_sha256, contaminated.
+    """One row per input row: id, n_words, n_hit, n_items, items (array), items_sha256, contaminated, text_hash (xxhash64).
 
     A word inside any occurrence of a benchmark window is hit; an item with
     fewer words than ``window`` is one window, one without words is none.
@@ -120,4 +120,5 @@ def decontaminate(
         named_items.alias("items"),
         F.sha2(F.array_join(named_items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("_n"))).alias("contaminated"),
+        F.col("_h").alias("text_hash"),
     )

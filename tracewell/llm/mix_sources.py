@@ -72,7 +72,7 @@ def mix_sources(
     seed: int = 0,
     buckets: int = 4096,
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, epochs.
+    """One row per input row: id, size, source_size, target, taken, epochs, text_hash (xxhash64).
 
     Sources take ``weights`` in turn in code-point order, null last.  Null text
     has size 0.  ``taken`` is size times the copies that the mix holds.  The
@@ -86,6 +86,7 @@ def mix_sources(
     thin = cut(
         docs.select(
             F.col(id_col).alias("_id"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"),
             F.col(source_col).cast("string").alias("_source"),
             word_count(text).alias("_n"),
             (-F.ln(uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(text, F.lit(""))))) / quality_weight(text)).alias("_key"),
@@ -120,4 +121,5 @@ def mix_sources(
         F.col("_target").cast("double").alias("target"),
         (F.col("_n") * (F.col("_epochs") + F.col("_in").cast("int"))).cast("long").alias("taken"),
         (F.col("_epochs") + F.col("_in").cast("int")).cast("int").alias("epochs"),
+        F.col("_h").alias("text_hash"),
     )

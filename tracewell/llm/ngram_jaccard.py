@@ -278,7 +278,7 @@ def _candidates(groups: DataFrame, num: int, den: int, best_only: bool, block: i
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 300_000
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
+    """One row per input row: id, n_shingles, component_id, text_hash (xxhash64 of the text, null: empty).
 
     A-Z is lower-cased, words are split at ASCII white space, and a document's
     set holds its distinct k-word shingles (the whole sequence when it has fewer
@@ -328,7 +328,7 @@ def jaccard_components(
 
     named = rows.join(labels.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.where(F.col("set").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"))
-    own = named.where(F.col("set").isNotNull()).join(least, "comp").select("_id", "n", F.col("least").alias("c"))
-    return own.unionByName(named.where(F.col("set").isNull()).select("_id", "n", F.col("_id").alias("c"))).select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id")
+    own = named.where(F.col("set").isNotNull()).join(least, "comp").select("_id", "_h", "n", F.col("least").alias("c"))
+    return own.unionByName(named.where(F.col("set").isNull()).select("_id", "_h", "n", F.col("_id").alias("c"))).select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("_h").alias("text_hash")
     )
