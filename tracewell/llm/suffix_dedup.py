@@ -186,7 +186,8 @@ COVER = np.dtype([("key", "<i8"), ("start", "<i8"), ("size", "<i8")])
 
 
 def _deal(names: np.ndarray, rows: np.ndarray, texts: np.ndarray | None, sizes: np.ndarray | None) -> pa.RecordBatch:
-    order = np.argsort(names, kind="stable")
+    # Sixteen-bit keys are sorted by radix.
+    order = np.argsort(names.astype(np.uint16) if len(names) and int(names.max()) < 1 << 16 else names, kind="stable")
     names, rows = names[order], rows[order]
     which, begins = np.unique(names, return_index=True)
     ends = np.append(begins[1:], len(names))
@@ -210,9 +211,14 @@ def repeated_anchors(base: DataFrame, length: int, buckets: int, bits: int) -> n
         for texts, _ in _texts(batches):
             anchors.of(texts)
             first, _ = anchors.runs()
-            pairs = np.unique(np.stack([anchors.doc[first].astype(U), anchors.least[first]]), axis=1)[1] if len(first) else np.zeros(0, U)
-            held.append(pairs)
-            size += len(pairs)
+            h = anchors.least[first]
+            # Once per row: equal (row, anchor) pairs have equal mixed keys.
+            key = h ^ _mix(anchors.doc[first].astype(U) + U(1))
+            order = np.argsort(key)
+            key = key[order]
+            h = h[order[np.append(True, key[1:] != key[:-1])]] if len(key) else h
+            held.append(h)
+            size += len(h)
             if size > 400_000:
                 yield flush(held)
                 size = 0
