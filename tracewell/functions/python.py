@@ -11,21 +11,28 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 
+def row_of(*names: str) -> T.StructType:
+    """A row type without a session: ``name`` is text, ``name:int`` a number."""
+    fields = [n.partition(":") for n in names]
+    return T.StructType([T.StructField(n, T.IntegerType() if kind == "int" else T.StringType()) for n, _, kind in fields])
+
+
 def ratio(a: str, b: str) -> float:
     """Ratcliff/Obershelp similarity in percent, ``a`` as the first argument."""
     return difflib.SequenceMatcher(None, a, b).ratio() * 100.0
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Over distinct pairs: callers deduplicate before."""
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def percent_udf(score: pd.Series) -> pd.Series:
     """One decimal, rounded half to even on the binary value."""
     return score.map(lambda x: f"{x:.1f}%")
@@ -44,7 +51,7 @@ def decode_lenient(text: str | None) -> str:
     return text
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def decode_lenient_udf(c: pd.Series) -> pd.Series:
     return c.map(decode_lenient)
 
@@ -72,13 +79,13 @@ def split_columns(clause: str) -> list[str]:
     return [p for p in [*out, clause[begin:].strip()] if p]
 
 
-@udtf(returnType="ordinal int, statement string")
+@udtf(returnType=row_of("ordinal:int", "statement"))
 class SplitStatements:
     def eval(self, sql: str):
         yield from enumerate(statements(sql or ""))
 
 
-@udtf(returnType="ordinal int, item string")
+@udtf(returnType=row_of("ordinal:int", "item"))
 class SplitColumns:
     def eval(self, clause: str):
         yield from enumerate(split_columns(clause or ""))
@@ -97,7 +104,7 @@ def walk_queries(node: object, name: str = "", classname: str = "") -> Iterator[
             yield from walk_queries(v, name, classname)
 
 
-@udtf(returnType="name string, classname string, view_name string, sql_query string")
+@udtf(returnType=row_of("name", "classname", "view_name", "sql_query"))
 class WalkQueries:
     """Rows of ``walk_queries``; text that is not JSON gives none."""
 

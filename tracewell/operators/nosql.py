@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.python import row_of
+
 #: Clause kinds that name fields, and the parts of a bool query.
 FIELD_CLAUSES = ("match", "match_phrase", "term", "range", "exists", "prefix", "wildcard")
 BOOL_PARTS = ("must", "should", "filter", "must_not")
@@ -67,7 +69,7 @@ def _json(text: str):
         return None
 
 
-@udtf(returnType="ordinal int, tableName string, columnName string, aliasName string, remark string")
+@udtf(returnType=row_of("ordinal:int", "tableName", "columnName", "aliasName", "remark"))
 class MongoLineage:
     def eval(self, operation: str):
         op = _json(operation)
@@ -75,7 +77,7 @@ class MongoLineage:
             yield k, *r
 
 
-@udtf(returnType="ordinal int, columnName string, clause string")
+@udtf(returnType=row_of("ordinal:int", "columnName", "clause"))
 class ElasticLineage:
     def eval(self, payload: str):
         node = _json(payload)

@@ -40,8 +40,7 @@ def envelope(df: DataFrame, message: str = "ok") -> DataFrame:
 
     ``json_envelope`` makes the single document of a small result.
     """
-    total = df.agg(F.count(F.lit(1)).alias("total_records"))
-    return df.select(F.to_json(F.struct(*df.columns)).alias("record")).join(F.broadcast(total)).select(F.lit(True).alias("success"), F.lit(message).alias("message"), "total_records", "record")
+    return df.select(F.lit(True).alias("success"), F.lit(message).alias("message"), F.lit(df.count()).cast("long").alias("total_records"), F.to_json(F.struct(*df.columns)).alias("record"))
 
 
 def json_envelope(df: DataFrame, message: str = "ok", most_rows: int = 100_000) -> DataFrame:
