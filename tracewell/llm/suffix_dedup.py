@@ -141,7 +141,7 @@ class Anchors:
         np.cumsum((np.frombuffer(self.raw, np.uint8).astype(U) + U(1)) * self.up[:n], out=self.sums[1:])
         w = self.length - GRAM + 1
         if n < self.length:
-            self.least, self.valid = np.zeros(0, U), np.zeros(0, bool)
+            self.least, self.valid, self.doc = np.zeros(0, U), np.zeros(0, bool), np.zeros(0, np.int64)
             return
         least = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
         span = 1
@@ -202,9 +202,14 @@ def _place(h: np.ndarray, n: int) -> np.ndarray:
     return (h >> U(32)) * U(n) >> U(32)
 
 
-def repeated_anchors(base: DataFrame, length: int, buckets: int, bits: int) -> np.ndarray:
-    """Bitmap (``bits`` bits, by the hash's first bits) of the anchors that two rows have."""
+def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int) -> np.ndarray:
+    """Bitmap (``bits`` bits, by the hash's first bits) of the anchors that two rows have.
+
+    Anchors are dealt by their first ``deal`` bits (16 at most), so each bucket
+    makes its own piece of the bitmap.
+    """
     shift = U(64 - (bits.bit_length() - 1))
+    first_bits, rest, buckets = U(64 - deal), U(16 - deal), 1 << deal
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, size = Anchors(length, 1 << 21), [], 0
@@ -229,8 +234,8 @@ def repeated_anchors(base: DataFrame, length: int, buckets: int, bits: int) -> n
         h = np.concatenate(held)
         held.clear()
         # 48 bits after the bucket's are enough; an accidental repeat only costs time.
-        packed = np.ascontiguousarray(((h << U(8)) >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-        return _deal(h >> U(56), np.ascontiguousarray(packed).view("V6").reshape(-1), None, None)
+        packed = np.ascontiguousarray(((h << U(deal)) >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+        return _deal(h >> first_bits, np.ascontiguousarray(packed).view("V6").reshape(-1), None, None)
 
     def meet(t: pa.Table) -> pa.Table:
         top = t.column("bucket")[0].as_py()
@@ -239,8 +244,8 @@ def repeated_anchors(base: DataFrame, length: int, buckets: int, bits: int) -> n
         h[:, :6] = raw
         h = np.sort(h.reshape(-1).view("<u8"))
         twice = np.unique(h[1:][h[1:] == h[:-1]])
-        where = ((U(top) << U(56)) | (twice << U(8))) >> shift
-        part = bits // 256
+        where = ((U(top) << first_bits) | (twice << rest)) >> shift
+        part = bits // buckets
         bytes_of = np.zeros(part // 8, np.uint8)
         local = (where - U(top * part)).astype(np.int64)
         np.bitwise_or.at(bytes_of, local >> 3, (1 << (local & 7)).astype(np.uint8))
@@ -248,8 +253,10 @@ def repeated_anchors(base: DataFrame, length: int, buckets: int, bits: int) -> n
 
     made = base.select("_b").mapInArrow(post, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet, "bucket long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in made.toLocalIterator():
-        out[r["bucket"] * (bits // 2048) : (r["bucket"] + 1) * (bits // 2048)] = np.frombuffer(r["bits"], np.uint8)
+    # bits / 8 bytes in all, whatever the corpus.
+    for r in made.collect():
+        piece = np.frombuffer(r["bits"], np.uint8)
+        out[r["bucket"] * len(piece) : (r["bucket"] + 1) * len(piece)] = piece
     return out
 
 
@@ -350,7 +357,7 @@ def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bits: int = 1 << 27, bucket_bytes: int = 2 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, most_bits: int = 1 << 30, bucket_bytes: int = 2 << 20
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
@@ -369,7 +376,10 @@ def dedup_substrings(
     ).withColumn("_key", F.xxhash64("_id", "_b"))
     volume = base.agg(F.sum(F.octet_length("_b"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (4 * bucket_bytes))
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(base, length, buckets, bits))
+    # About one anchor in ten bytes: a bit or more for each, up to most_bits (128 MB), and half a million a bucket.
+    bits = 1 << min(most_bits.bit_length() - 1, max(20, (int(volume) // 8).bit_length()))
+    deal = min(16, max(6, (int(volume) // 5_000_000).bit_length()))
+    bitmap = spark.sparkContext.broadcast(repeated_anchors(base, length, deal, bits))
 
     def merge(t: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, COVER) for x in t.column("blob").to_pylist()])
