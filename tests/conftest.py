@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
+    session.sparkContext.environment["PYTHONPATH"] = ROOT
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
