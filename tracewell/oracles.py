@@ -170,6 +170,13 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "lin_meta": f"""SELECT 'db' AS "databaseName", 't' || substr(name, 2) AS "tableName", 'a' AS "columnName", name AS metadatakey, regulation, view_name AS "viewName" FROM ({FLAT})""",
     "lin_dedup": "SELECT s_suppkey AS query_no, 4 AS n_rows, 6 AS n_emitted FROM supplier",
     "lin_titled": """SELECT 'd' || s_suppkey AS "Database Name", 't' AS "Table Name", '' AS "Table Alias Name", c AS "Column Name", a AS "Alias Name" FROM supplier, (VALUES ('a', ''), ('b', 'x')) v(c, a)""",
+    "lin_route": """SELECT s_suppkey AS query_no, '' AS "databaseName", CASE s_suppkey % 4 WHEN 3 THEN 't' ELSE '' END AS "tableName", '' AS "tableAliasName", CASE s_suppkey % 4 WHEN 3 THEN 'a' ELSE '' END AS "columnName", '' AS "aliasName",
+  ['ignored_mongo_query', 'ignored_elastic_query', 'Spark complex SQL -MAP function', 'database_not_specified_in_query'][s_suppkey % 4 + 1] AS remarks FROM supplier""",
+    "src_csv": "SELECT p_partkey, p_name, p_size FROM part",
+    "src_json_dir": "SELECT CASE WHEN n_nationkey <> 3 THEN n_name END AS name, n_nationkey = 3 AS bad FROM nation",
+    "src_log": "SELECT line, count(*) AS n FROM (SELECT 'ERROR ' || r_name AS line FROM region UNION ALL SELECT ' at x' FROM region) GROUP BY 1",
+    "src_sql_dict": "SELECT * FROM (VALUES ('A', 'select 1', 'va', '', 'r', ''), ('B', 'select 2', 'B', '', '', '')) v(query_key, sql, view_name, metadatakey, regulation, class_name)",
+    "src_yaml": "SELECT p_partkey, p_size FROM part WHERE p_size < 5 OR p_size > 45",
     "lin_trace": """SELECT s_suppkey AS query_no, 'd' || s_suppkey AS "databaseName", 't' AS "tableName", 'a' AS "columnName", 'out' AS "aliasName", 'via_subquery:s|via_subquery:c' AS remarks FROM supplier""",
     "lin_map_pairs": """SELECT s_suppkey AS query_no, q AS qualifier, c AS "columnName", replace(a, '?', s_suppkey::VARCHAR) AS "aliasName" FROM supplier, (VALUES ('', 'a', 'k?'), ('t', 'b', 'l'), ('', 'c', 'l')) v(q, c, a)""",
     "lin_tables_cols": """SELECT s_suppkey AS query_no, k AS kind, replace(q, '?', s_suppkey::VARCHAR) AS qualifier, n AS name FROM supplier,

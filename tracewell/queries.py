@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from .functions.python import SplitColumns, SplitStatements, decode_lenient_udf,
 from .operators import dq, logs, match, metadata, nosql, recon
 from .plans import edges, layers, lineage
 from .plans.corpus import TEMPLATES
-from .sources import http, sinks
+from .sources import files, http, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -412,6 +414,48 @@ def src_http_guard(spark, d):
     return spark.createDataFrame([(u, verdict(u)) for u in urls], "url string, verdict string")
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder where executors and the driver both read and write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def src_csv(spark, d):
+    path = _folder(spark, "csv")
+    sinks.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
+    return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
+
+
+@query
+def src_json_dir(spark, d):
+    path = _folder(spark, "json")
+    n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") == 3, "{bad").otherwise(F.to_json(F.struct("n_name"))).alias("value"))
+    n.repartition(5, "n_nationkey").select("value").write.option("lineSep", "\n").text(path)
+    lines = spark.read.text(path).select(F.when(F.try_parse_json("value").isNotNull(), F.get_json_object("value", "$.n_name")).alias("name"), F.try_parse_json("value").isNull().alias("bad"))
+    return lines
+
+
+@query
+def src_log(spark, d):
+    path = _folder(spark, "log")
+    table(spark, d, "region").select(F.concat_ws("\n", F.concat(F.lit("ERROR "), "r_name"), F.lit(" at x"), F.lit("")).alias("value")).repartition(3, "value").write.text(path)
+    return files.read_log(spark, path).where("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def src_sql_dict(spark, d):
+    return files.sql_dictionary(spark, {"A": "select 1", "B": "select 2"}, {"A": {"view_name": "va", "regulation": "r"}})
+
+
+@query
+def src_yaml(spark, d):
+    path = _folder(spark, "yaml")
+    spark.createDataFrame([("columns:\n  p_size: {min: 5, max: 45}\n",)], "value string").coalesce(1).write.text(path)
+    rules = files.read_rules(spark, path)
+    return dq.run_checks(table(spark, d, "part"), rules)["range:p_size"].select("p_partkey", "p_size")
+
+
 @query
 def src_url_build(spark, d):
     return table(spark, d, "nation").select("n_nationkey", http.metadata_url(F.lit("https://h/"), F.col("n_name"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string"))).alias("url"))
@@ -544,6 +588,13 @@ def lin_dedup(spark, d):
     return lineage.deduplicate(rows).groupBy("query_no").agg(F.count(F.lit(1)).alias("n_rows")).join(rows.groupBy("query_no").agg(F.count(F.lit(1)).alias("n_emitted")), "query_no")
 
 
+@query
+def lin_route(spark, d):
+    sql = F.element_at(F.array(*map(F.lit, ['{"find": 1}', "[1]", "select map(a, b) from t", "select a from t"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_no"), sql.alias("sql"), F.lit("").alias("regulation"), F.lit("").alias("metadatakey"), F.lit("").alias("view_name"))
+    return shown(lineage.deduplicate(lineage.extract_lineage(q, keep=("query_no",), route=True)))
+
+
 @query
 def lin_trace(spark, d):
     sql = "WITH c AS (SELECT a AS b FROM d{k}.t) SELECT s.z AS out FROM (SELECT b AS z FROM c) s"
