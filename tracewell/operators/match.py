@@ -7,7 +7,7 @@ distinct pair of normalised names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.python import percent_udf, ratio_udf
@@ -55,13 +55,20 @@ def usable(rows: DataFrame) -> DataFrame:
 def gate(fields: DataFrame, rows: DataFrame) -> DataFrame:
     """(field, row, compared) pairs that share a meaningful token by alias or, failing that, by column.
 
-    ``fields``: field_no, mapperColumn; ``rows``: row_no, column, alias.
+    ``fields``: field_no, mapperColumn; ``rows``: row_no, column, alias.  Where both
+    have a column ``key``, only fields and rows of one key meet; the numbers must
+    then be unique over all keys.
     """
-    wanted = fields.select("field_no", F.explode(meaningful(F.col("mapperColumn"))).alias("t"))
+    keyed = "key" in fields.columns and "key" in rows.columns
+
+    def tokens(name: Column) -> Column:
+        return F.explode(F.transform(meaningful(name), lambda t: F.concat_ws("\x1f", "key", t)) if keyed else meaningful(name)).alias("t")
+
+    wanted = fields.select("field_no", tokens(F.col("mapperColumn")))
     has_alias = F.trim("alias") != ""
     first = F.when(has_alias, F.col("alias")).otherwise(F.col("column"))
-    by_alias = rows.select("row_no", F.explode(meaningful(first)).alias("t"), F.lit(0).alias("second"))
-    by_column = rows.where(has_alias & (F.trim("column") != "*")).select("row_no", F.explode(meaningful(F.col("column"))).alias("t"), F.lit(1).alias("second"))
+    by_alias = rows.select("row_no", tokens(first), F.lit(0).alias("second"))
+    by_column = rows.where(has_alias & (F.trim("column") != "*")).select("row_no", tokens(F.col("column")), F.lit(1).alias("second"))
     return wanted.join(by_alias.unionByName(by_column), "t").groupBy("field_no", "row_no").agg(F.min("second").alias("second"))
 
 
@@ -73,14 +80,15 @@ def match_columns(
     ``fields``: field_no, mapperColumn, mapperFactField; ``rows``: row_no, db,
     table, column, alias, optionally application.  The score compares the name
     that passed the gate (``compat``: the alias when there is one).  Weak ties go
-    to the longer compared name, then the first row.
+    to the longer compared name, then the first row.  A whole registry is matched
+    at once when both sides have a column ``key``.
     """
     return _emit(scored(fields, usable(rows), compat), fields, key, regulation, threshold)
 
 
 def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFrame:
     fields = fields.where(F.coalesce(F.col("mapperColumn"), F.lit("")) != "")
-    pairs = gate(fields, rows).join(fields, "field_no").join(rows, "row_no")
+    pairs = gate(fields, rows).join(fields, "field_no").join(rows.drop("key"), "row_no")
     has_alias = F.trim("alias") != ""
     compared = F.when(has_alias & ((F.col("second") == 0) | F.lit(compat)), F.col("alias")).otherwise(F.col("column"))
     pairs = pairs.withColumn("compared", compared).withColumn("_a", norm(F.col("mapperColumn"))).withColumn("_b", norm(F.col("compared")))
@@ -91,18 +99,19 @@ def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFram
 
 
 def _emit(pairs: DataFrame, fields: DataFrame, key: str, regulation: str, threshold: float) -> DataFrame:
+    name = F.col("key") if "key" in fields.columns else F.lit(key)
     best = Window.partitionBy("field_no").orderBy(F.desc("score"), F.desc(F.length("compared")), "row_no")
     ranked = pairs.where("score > 0").withColumn("_n", F.row_number().over(best)).where((F.col("score") >= threshold) | (F.col("_n") == 1))
     kind = F.when(F.col("score") == 100.0, "exact").when(F.col("score") >= threshold, "fuzzy").otherwise("weak")
     application = F.coalesce(F.col("application"), F.lit("")) if "application" in pairs.columns else F.lit("")
     found = ranked.select(
-        "field_no", (F.lit(regulation) if regulation else application).alias("regulation"), F.lit(key).alias("key"), "mapperColumn", "mapperFactField",
+        "field_no", (F.lit(regulation) if regulation else application).alias("regulation"), name.alias("key"), "mapperColumn", "mapperFactField",
         F.col("db").alias("dbName"), F.col("table").alias("tableName"), F.col("column").alias("columnName"), F.col("alias").alias("columnAliasName"),
         F.when(F.col("compared") == F.col("alias"), "alias").otherwise("columnName").alias("matchedOn"), percent_udf("score").alias("matchPercentage"), kind.alias("matchType"),
     )
     blank = F.lit("")
     none = fields.where(F.coalesce(F.col("mapperColumn"), F.lit("")) != "").join(found.select("field_no").distinct(), "field_no", "left_anti").select(
-        "field_no", F.lit(regulation).alias("regulation"), F.lit(key).alias("key"), "mapperColumn", "mapperFactField",
+        "field_no", F.lit(regulation).alias("regulation"), name.alias("key"), "mapperColumn", "mapperFactField",
         *[blank.alias(c) for c in ("dbName", "tableName", "columnName", "columnAliasName", "matchedOn")], F.lit("0.0%").alias("matchPercentage"), F.lit("no_match").alias("matchType"),
     )
     return found.unionByName(none).select("field_no", *MATCH_FIELDS)

@@ -147,6 +147,10 @@ SELECT id, CASE WHEN p_size > 40 THEN 'new' WHEN p_size > 25 THEN 'approved' ELS
     "dialect_detect": f"SELECT p_partkey, CASE WHEN i > s THEN 'impala' WHEN s > i THEN 'sparksql' ELSE 'unknown' END AS dialect FROM (SELECT p_partkey, {signs('q', IMPALA_SIGNS)} AS i, {signs('q', SPARK_SIGNS)} AS s FROM (SELECT p_partkey, {DIALECTS} AS q FROM part))",
     "prj_route": f"SELECT p_partkey, ['mongo', 'elastic', 'map', 'sql'][p_size % 4 + 1] AS query_type, 'sql' AS engine, p_size <= 40 AS safe FROM part WHERE {ROUTES} IS NOT NULL AND {len(UNSAFE)} > 0",
     "match_gate": MATCH + GATE + "SELECT DISTINCT field_no, row_no FROM g",
+    "match_key": f"""{MATCH}, g AS (
+  SELECT field_no FROM f, u WHERE field_no % 2 = row_no % 3 AND (list_has_any({meaningful('m')}, {meaningful("CASE WHEN trim(a) <> '' THEN a ELSE c END")})
+     OR (trim(a) <> '' AND trim(c) <> '*' AND list_has_any({meaningful('m')}, {meaningful('c')})))
+) SELECT 'k' || field_no % 2 AS key, field_no, (field_no NOT IN (SELECT field_no FROM g))::BIGINT AS n_none FROM f""",
     "match_exact": f"""{MATCH}, n AS (SELECT row_no, db, c, CASE WHEN row_no % 2 = 0 THEN upper(c) ELSE '' END AS a FROM u WHERE c <> '*'), w AS (SELECT field_no, ['Brand_Name', 'PART SIZE', 'zzz'][field_no % 3 + 1] AS m FROM f)
 SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName", '100.0%' AS "matchPercentage", 'exact' AS "matchType" FROM w, n WHERE {norm('m')} = {norm("CASE WHEN a <> '' THEN a ELSE c END")}
   AND list_has_any({meaningful('m')}, {meaningful("CASE WHEN a <> '' THEN a ELSE c END")})""",

@@ -343,6 +343,14 @@ def match_gate(spark, d):
     return match.gate(fields, match.usable(rows)).select("field_no", "row_no")
 
 
+@query
+def match_key(spark, d):
+    fields, rows = _match_inputs(spark, d)
+    fields = fields.withColumn("key", F.concat(F.lit("k"), (F.col("field_no") % 2).cast("string")))
+    rows = rows.withColumn("key", F.concat(F.lit("k"), (F.col("row_no") % 3).cast("string")))
+    return match.match_columns(fields, rows, regulation="REG").groupBy("key", "field_no").agg(F.count_if(F.col("matchType") == "no_match").alias("n_none"))
+
+
 @query
 def match_columns(spark, d):
     fields, rows = _match_inputs(spark, d)
