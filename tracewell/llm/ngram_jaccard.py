@@ -40,11 +40,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> S33)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -58,10 +64,10 @@ def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b"\0short\0" + b" ".join(words))], np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = mix(out * M3 + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out = h[: len(h) - k + 1]
+    for i in range(1, k):
+        out = out * M3 + h[i : len(h) - k + 1 + i]
+    return distinct(mix(out))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -107,6 +113,15 @@ def signatures(s: np.ndarray, schemes: Schemes) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def repeats(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose key occurs more than once, by key."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    keep = np.append(same, False) | np.append(False, same) if len(keys) else np.zeros(0, bool)
+    return keys[keep], values[order[keep]]
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Shingles per hash bucket, stopped at 255: the sum of differences never exceeds the number of differing shingles."""
     return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
@@ -132,7 +147,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("_id", "_h", F.col("_text").cast("binary")).mapInArrow(rows, "_id long, _h long, n long, set long")
 
 
-def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int, chunk: int = 1 << 19) -> DataFrame:
+def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int, chunk: int = 1 << 18) -> DataFrame:
     """(sig, set) of the signatures that two different sets post.
 
     Postings travel as packed arrays, one row per bucket of the signature's hash
@@ -148,7 +163,8 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
             nonlocal size
             all_of = np.concatenate(held)
             at = (all_of["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(at, kind="stable")
+            # Sixteen-bit keys are sorted by radix.
+            order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
             all_of, at = all_of[order], at[order]
             names, begins = np.unique(at, return_index=True)
             ends = np.append(begins[1:], len(at))
@@ -175,11 +191,14 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
             yield flush()
 
     def meet(tables: pa.Table) -> pa.Table:
-        got = np.unique(np.concatenate([np.frombuffer(x.as_py(), pair) for x in tables.column("blob")]))
-        sig = got["sig"]
-        same = sig[1:] == sig[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, False)
-        return pa.table({"sig": pa.array(sig[keep].view(np.int64)), "set": pa.array(got["set"][keep])})
+        got = np.concatenate([np.frombuffer(x.as_py(), pair) for x in tables.column("blob")])
+        # Most signatures are posted once; only the others are sorted by set as well.
+        sig, sets = repeats(got["sig"], got["set"])
+        order = np.lexsort((sets, sig))
+        sig, sets = sig[order], sets[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])) if len(sig) else np.zeros(0, bool)
+        sig, sets = repeats(sig[new], sets[new])
+        return pa.table({"sig": pa.array(sig.view(np.int64)), "set": pa.array(sets)})
 
     posted = docs.select(F.col("_text").cast("binary")).mapInArrow(post, "bucket long, blob binary")
     return posted.groupBy("bucket").applyInArrow(meet, "sig long, set long")
@@ -225,54 +244,61 @@ def linked(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _candidates(groups: DataFrame, num: int, den: int, best_only: bool, block: int = 1024) -> DataFrame:
+def _pairs(t: pa.Table, num: int, den: int, best_only: bool, most: int = 100_000) -> dict[str, np.ndarray]:
+    """The candidates among the rows of each (sig, i, j) of a table, about ``most`` pairs at a time."""
+    sig, i, j = (t.column(c).to_numpy() for c in ("sig", "i", "j"))
+    order = np.lexsort((j, i, sig))
+    sig, i, j = sig[order], i[order], j[order]
+    names, comp, n, own = (t.column(c).to_numpy()[order] for c in ("set", "comp", "n", "_own"))
+    counts = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+    begins = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    sizes = np.diff(np.append(begins, len(sig)))
+    partners = np.repeat(begins + sizes, sizes) - np.arange(len(sig)) - 1
+    upto = np.cumsum(partners)
+    found: dict[str, list[np.ndarray]] = {c: [] for c in ("a", "b", "ca", "cb", "gap")}
+    at = 0
+    while at < len(sig):
+        done = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, done + most, side="right")))
+        times = partners[at:end]
+        x = np.repeat(np.arange(at, end), times)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+        at = end
+        keep = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[keep], y[keep]
+        apart = np.concatenate([np.abs(counts[x[k : k + 20_000]].astype(np.int16) - counts[y[k : k + 20_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
+        keep = (den + num) * apart <= (den - num) * (n[x] + n[y])
+        x, y, gap = x[keep], y[keep], (apart / np.maximum(1, n[x] + n[y]))[keep]
+        swap = names[y] < names[x]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        made = {"a": names[x], "b": names[y], "ca": np.minimum(comp[x], comp[y]), "cb": np.maximum(comp[x], comp[y]), "gap": gap}
+        for c, v in (best_of(made) if best_only else made).items():
+            found[c].append(v)
+    out = {c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "gap" else np.int64) for c, v in found.items()}
+    return best_of(out) if best_only else out
+
+
+def best_of(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The row with the least gap of each pair of components."""
+    order = np.lexsort((rows["gap"], rows["cb"], rows["ca"]))
+    ca, cb = rows["ca"][order], rows["cb"][order]
+    first = order[np.append(True, (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]))] if len(order) else order
+    return {c: v[first] for c, v in rows.items()}
+
+
+def _candidates(groups: DataFrame, num: int, den: int, best_only: bool, buckets: int, block: int = 1024) -> DataFrame:
     """(a, b, ca, cb, gap) of sets of different components that share a signature and may link.
 
     ``groups`` is (sig, set, comp, n, sketch, m): m sets post sig.  Large groups
-    are dealt as pairs of blocks, so a task holds two blocks at a time.
+    are dealt as pairs of blocks over the buckets, so that none meets in one task.
     """
     n_blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("set"), n_blocks).cast("int")
     dealt = groups.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select(
         "sig", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "set", "comp", "n", "sketch"
     )
-
-    def pairs(t: pa.Table) -> pa.Table:
-        names, comp, n, own = (t.column(c).to_numpy() for c in ("set", "comp", "n", "_own"))
-        counts = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out: dict[str, list] = {c: [] for c in ("a", "b", "ca", "cb", "gap")}
-        for x in left:
-            y = right[(right > x) if i == j else slice(None)]
-            y = y[comp[y] != comp[x]]
-            y = y[(den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            apart = np.abs(counts[y] - counts[x]).sum(axis=1)
-            fits = (den + num) * apart.astype(np.int64) <= (den - num) * (n[y] + n[x])
-            y, apart = y[fits], apart[fits]
-            if not len(y):
-                continue
-            gap = apart / (n[y] + n[x])
-            if best_only:
-                order = np.lexsort((gap, comp[y]))
-                keep = order[np.unique(comp[y][order], return_index=True)[1]]
-                y, gap = y[keep], gap[keep]
-            swap = names[y] < names[x]
-            out["a"].append(np.where(swap, names[y], names[x]))
-            out["b"].append(np.where(swap, names[x], names[y]))
-            out["ca"].append(np.minimum(comp[y], comp[x]))
-            out["cb"].append(np.maximum(comp[y], comp[x]))
-            out["gap"].append(gap)
-        done = {c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "gap" else np.int64) for c, v in out.items()}
-        if best_only and len(done["a"]):
-            order = np.lexsort((done["gap"], done["cb"], done["ca"]))
-            first = np.unique(np.stack([done["ca"][order], done["cb"][order]]), axis=1, return_index=True)[1]
-            done = {c: v[order][first] for c, v in done.items()}
-        return pa.table(done)
-
-    return dealt.groupBy("sig", "i", "j").applyInArrow(pairs, "a long, b long, ca long, cb long, gap double")
+    bucketed = dealt.withColumn("_bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)))
+    return bucketed.groupBy("_bucket").applyInArrow(lambda t: pa.table(_pairs(t, num, den, best_only)), "a long, b long, ca long, cb long, gap double")
 
 
 def jaccard_components(
@@ -316,7 +342,7 @@ def jaccard_components(
         placed = members.join(labels.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
         mixed = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1").select("sig", "m")
         groups = placed.join(mixed, "sig").join(info, "set")
-        found = _candidates(groups, num, den, best_only)
+        found = _candidates(groups, num, den, best_only, buckets)
         if best_only:
             found = found.groupBy("ca", "cb").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
