@@ -1,8 +1,13 @@
 """Removal of repeated byte strings with run-length BWT indexes.
 
+Long repeats are settled first: texts are cut where the hash of the gram at a
+place says so, each piece is prolonged by ``length`` - 1 bytes so that every
+window lies in the piece that it starts in, and a piece that a smaller document
+also has is removed as a whole.  Only the first document's copy of a piece goes on.
+
 All ``length``-byte windows that are equal have the same least 32-byte gram
 (by hash), so the windows around one such anchor can be compared in one place.
-First the anchors of all documents are counted; those met once drop out through
+The anchors of what is left are counted; those met once drop out through
 a bitmap of fixed size.  Around the others, the maximal runs of windows that
 share the anchor are posted to the anchor's bucket.  A bucket merges equal
 strings, builds a run-compressed Burrows-Wheeler transform of the different
@@ -109,6 +114,9 @@ class RunLengthIndex:
                 yield live, sizes - back, self.class_least[np.searchsorted(self.class_starts, rows, side="right") - 1]
 
 
+PIECE = np.dtype([("chash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u8"), ("size", "<u4")])
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.ones(n, U)
     if n > 1:
@@ -140,10 +148,12 @@ class Anchors:
         self.sums = np.zeros(n + 1, U)
         np.cumsum((np.frombuffer(self.raw, np.uint8).astype(U) + U(1)) * self.up[:n], out=self.sums[1:])
         w = self.length - GRAM + 1
+        self.cuts = np.zeros(0, np.int64)
         if n < self.length:
             self.least, self.valid, self.doc = np.zeros(0, U), np.zeros(0, bool), np.zeros(0, np.int64)
             return
         least = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
+        self.cuts = np.flatnonzero((least & U(127)) == U(0))
         span = 1
         while 2 * span <= w:
             least = np.minimum(least[:-span], least[span:])
@@ -159,11 +169,86 @@ class Anchors:
         v = np.flatnonzero(self.valid)
         if not len(v):
             return v, v
-        new = np.append(True, (self.least[v[1:]] != self.least[v[:-1]]) | (self.doc[v[1:]] != self.doc[v[:-1]]))
+        new = np.append(True, (v[1:] != v[:-1] + 1) | (self.least[v[1:]] != self.least[v[:-1]]) | (self.doc[v[1:]] != self.doc[v[:-1]]))
         at = np.flatnonzero(new)
         return v[at], v[np.append(at[1:] - 1, len(v) - 1)]
 
 
+    def pieces(self, others: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """PIECE rows, and the first and last window of each; pieces without a window are left out."""
+        starts = self.ends - self.sizes
+        begin = np.unique(np.concatenate([starts[self.sizes > 0], self.cuts]))
+        doc = np.searchsorted(self.ends, begin, side="right")
+        stop = np.minimum(np.append(begin[1:], len(self.raw)), self.ends[doc])
+        last = np.minimum(stop, self.ends[doc] - self.length + 1) - 1
+        keep = last >= begin
+        begin, last, doc = begin[keep], last[keep], doc[keep]
+        rows = np.empty(len(begin), PIECE)
+        ids, keys = (np.array([o[c] for o in others], np.int64) for c in (0, 1))
+        rows["doc"], rows["key"], rows["start"], rows["size"] = ids[doc], keys[doc], begin - starts[doc], last + self.length - begin
+        rows["chash"] = _mix((self.sums[last + self.length] - self.sums[begin]) * self.down[begin] + rows["size"].astype(U))
+        return rows, begin, last
+
+    def only(self, others: list, first: Marks) -> None:
+        """Leave the windows of pieces that are marked as the first of their kind."""
+        rows, begin, last = self.pieces(others)
+        on = first.has(rows["chash"], rows["doc"])
+        step = np.zeros(len(self.least) + 1, np.int64)
+        np.add.at(step, begin[on], 1)
+        np.add.at(step, last[on] + 1, -1)
+        self.valid &= np.cumsum(step[:-1]) > 0
+
+
+class Marks:
+    """A bitmap of (hash, document) pairs, cut into ranges of the hash's first ``deal`` bits; no false negatives."""
+
+    def __init__(self, bits: bytes | np.ndarray, deal: int):
+        self.bits, self.deal = bits, deal
+
+    @staticmethod
+    def places(chash: np.ndarray, doc: np.ndarray, deal: int, bits: int) -> np.ndarray:
+        part = U(bits >> deal)
+        return (chash >> U(64 - deal)) * part + _mix(chash ^ (doc.astype(np.int64).view(U) * U(BASE))) % part
+
+    def has(self, chash: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        at = self.places(chash, doc, self.deal, len(self.bits) * 8).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _set_bits(n_bits: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n_bits // 8, np.uint8)
+    at = at.astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def settle_pieces(base: DataFrame, length: int, deal: int, bits: int, buckets: int) -> DataFrame:
+    """(top, bits, bucket, blob): per range of piece hashes the marks of first pieces, and the ranges of the others by row bucket."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(length, 1 << 21)
+        for texts, others in _texts(batches, 1 << 22):
+            anchors.of(texts)
+            rows = anchors.pieces(others)[0]
+            if len(rows):
+                yield _deal(rows["chash"] >> U(64 - deal), rows, None, None)
+
+    def meet(t: pa.Table) -> pa.Table:
+        top = t.column("bucket")[0].as_py()
+        done, first, _ = _settle(np.concatenate([np.frombuffer(x, PIECE) for x in t.column("blob").to_pylist()]))
+        part = bits >> deal
+        marks = _set_bits(part, Marks.places(first["chash"], first["doc"], deal, bits) - U(top * part))
+        dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
+        n = dealt.num_rows
+        return pa.table({
+            "top": pa.array([top] * (n + 1), pa.int64()), "bits": pa.array([marks.tobytes()] + [None] * n, pa.binary()),
+            "bucket": pa.array([None, *dealt.column(0).to_pylist()], pa.int64()), "blob": pa.array([None, *dealt.column(1).to_pylist()], pa.binary()),
+        })
+
+    posted = base.select("_b", "_order", "_key").mapInArrow(post, "bucket long, blob binary")
+    return posted.groupBy("bucket").applyInArrow(meet, "top long, bits binary, bucket long, blob binary")
+
+
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list[bytes], list]]:
     """Texts (first column) and their rows' other columns, about ``most`` bytes at a time."""
     texts, others, size = [], [], 0
@@ -190,7 +275,7 @@ def _deal(names: np.ndarray, rows: np.ndarray, texts: np.ndarray | None, sizes:
     order = np.argsort(names.astype(np.uint16) if len(names) and int(names.max()) < 1 << 16 else names, kind="stable")
     names, rows = names[order], rows[order]
     which, begins = np.unique(names, return_index=True)
-    ends = np.append(begins[1:], len(names))
+    ends = np.append(begins[1:], len(names))[: len(begins)]
     columns, titles = [pa.array(which.astype(np.int64)), pa.array([rows[i:j].tobytes() for i, j in zip(begins, ends, strict=True)], pa.binary())], ["bucket", "blob"]
     if texts is not None:
         columns.append(pa.array([b"".join(texts[order[i:j]]) for i, j in zip(begins, ends, strict=True)], pa.binary()))
@@ -202,7 +287,7 @@ def _place(h: np.ndarray, n: int) -> np.ndarray:
     return (h >> U(32)) * U(n) >> U(32)
 
 
-def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int) -> np.ndarray:
+def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_pieces) -> np.ndarray:
     """Bitmap (``bits`` bits, by the hash's first bits) of the anchors that two rows have.
 
     Anchors are dealt by their first ``deal`` bits (16 at most), so each bucket
@@ -213,8 +298,9 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int) -> np.n
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, size = Anchors(length, 1 << 21), [], 0
-        for texts, _ in _texts(batches):
+        for texts, others in _texts(batches):
             anchors.of(texts)
+            anchors.only(others, first_pieces.value)
             first, _ = anchors.runs()
             h = anchors.least[first]
             # Once per row: equal (row, anchor) pairs have equal mixed keys.
@@ -246,12 +332,10 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int) -> np.n
         twice = np.unique(h[1:][h[1:] == h[:-1]])
         where = ((U(top) << first_bits) | (twice << rest)) >> shift
         part = bits // buckets
-        bytes_of = np.zeros(part // 8, np.uint8)
-        local = (where - U(top * part)).astype(np.int64)
-        np.bitwise_or.at(bytes_of, local >> 3, (1 << (local & 7)).astype(np.uint8))
+        bytes_of = _set_bits(part, where - U(top * part))
         return pa.table({"bucket": pa.array([top], pa.int64()), "bits": pa.array([bytes_of.tobytes()], pa.binary())})
 
-    made = base.select("_b").mapInArrow(post, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet, "bucket long, bits binary")
+    made = base.select("_b", "_order", "_key").mapInArrow(post, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet, "bucket long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     # bits / 8 bytes in all, whatever the corpus.
     for r in made.collect():
@@ -260,7 +344,7 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int) -> np.n
     return out
 
 
-def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int) -> DataFrame:
+def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first_pieces) -> DataFrame:
     """(bucket, blob) of the byte ranges of rows whose windows also start in a smaller document."""
     shift = U(64 - (bits.bit_length() - 1))
 
@@ -268,6 +352,7 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int) -> Da
         anchors = Anchors(length, 1 << 21)
         for texts, others in _texts(batches, 1 << 22):
             anchors.of(texts)
+            anchors.only(others, first_pieces.value)
             first, last = anchors.runs()
             if not len(first):
                 continue
@@ -287,7 +372,8 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int) -> Da
             rows["chash"] = _mix((anchors.sums[stop] - anchors.sums[first]) * anchors.down[first] + rows["size"].astype(U))
             done, rows, keep = _settle(rows)
             if len(done):
-                yield pa.RecordBatch.from_arrays([*_deal(_place(_mix(done["key"].view(U)), buckets), done, None, None).columns, ], names=["bucket", "blob"]).append_column("text", pa.nulls(len(np.unique(_place(_mix(done["key"].view(U)), buckets))), pa.binary()))
+                dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
+                yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(dealt.num_rows, pa.binary())], names=["bucket", "blob", "text"])
             strings = np.array([anchors.raw[i:j] for i, j in zip(first[keep], stop[keep], strict=True)] + [b""], object)[:-1]
             yield _deal(_place(h[keep], buckets), rows, strings, rows["size"])
 
@@ -357,7 +443,7 @@ def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, most_bits: int = 1 << 30, bucket_bytes: int = 2 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, most_bits: int = 1 << 30, bucket_bytes: int = 1 << 20
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
@@ -375,11 +461,17 @@ def dedup_substrings(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_b"),
     ).withColumn("_key", F.xxhash64("_id", "_b"))
     volume = base.agg(F.sum(F.octet_length("_b"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (4 * bucket_bytes))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume) // bucket_bytes)
     # About one anchor in ten bytes: a bit or more for each, up to most_bits (128 MB), and half a million a bucket.
     bits = 1 << min(most_bits.bit_length() - 1, max(20, (int(volume) // 8).bit_length()))
     deal = min(16, max(6, (int(volume) // 5_000_000).bit_length()))
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(base, length, deal, bits))
+    settled = cut(settle_pieces(base, length, deal, bits, buckets))
+    marks = np.zeros(bits // 8, np.uint8)
+    for r in settled.where("bits IS NOT NULL").select("top", "bits").collect():
+        piece = np.frombuffer(r["bits"], np.uint8)
+        marks[r["top"] * len(piece) : (r["top"] + 1) * len(piece)] = piece
+    first_pieces = spark.sparkContext.broadcast(Marks(marks, deal))
+    bitmap = spark.sparkContext.broadcast(repeated_anchors(base, length, deal, bits, first_pieces))
 
     def merge(t: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, COVER) for x in t.column("blob").to_pylist()])
@@ -396,7 +488,8 @@ def dedup_substrings(
         edge = np.searchsorted(number[at], np.arange(len(keys) + 1))
         return pa.table({"_k": pa.array(keys), "_ranges": pa.array([ranges[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
-    ranges = cut(covered(base, length, bitmap, buckets, bits).groupBy("bucket").applyInArrow(merge, "_k long, _ranges binary"))
+    whole_pieces = settled.where("blob IS NOT NULL").select("bucket", "blob")
+    ranges = cut(covered(base, length, bitmap, buckets, bits, first_pieces).unionByName(whole_pieces).groupBy("bucket").applyInArrow(merge, "_k long, _ranges binary"))
     own_bits = 1 << 23
     marked = flag_in_bitmap(base, "_key", bitmap_of(ranges, "_k", own_bits), own_bits, "_in")
     kind = base.schema["_id"].dataType.simpleString()
