@@ -17,7 +17,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from ._common import shared_dir
 
+#: ASCII marks that may follow a word; the apostrophe may begin a word's ending and is left out.
+TAIL = ",.;:!?|&*#$%)]}"
+
 BLOCK_SCHEMA = "part int, block int, start long, n_docs int, n_ids long, width int, doc_ids binary, nulls binary, id_counts binary, payload binary"
 BLOCK_ARROW = pa.schema(
     [("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32())]
@@ -64,21 +67,65 @@ class WordCachedEncoder:
     """
 
     def __init__(self, path: str, most: int = 600_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.marks: dict[str, list[int]] = {}
+        # How the tokenizer spells bytes: by itself where it is printable, else by a letter of its own.
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {b: spelled.pre_tokenize_str(bytes([b]).decode("latin-1"))[0][0][-1] for b in range(0x80, 0xC0)}
+        self.letters |= {b: self._lead(spelled, b) for b in range(0xC2, 0xF5)}
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.clear()
 
+    @staticmethod
+    def _lead(spelled, byte: int) -> str:
+        """The letter of a lead byte, from a character that begins with it."""
+        more = 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3
+        second = {0xE0: 0xA0, 0xF0: 0x90}.get(byte, 0x80)
+        return spelled.pre_tokenize_str(bytes([byte, second, *[0x80] * (more - 1)]).decode())[0][0][0]
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts = self.counts = np.zeros(0, np.int64)
 
+    def piece_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece.
+
+        Letters, then marks from ``TAIL``, are two words to the tokenizer, each
+        of which its model can be asked for directly; other pieces take the
+        whole way through it.
+        """
+        out: list[list[int] | None] = [None] * len(pieces)
+        ask, letters, rest = self.tokenizer.model.tokenize, self.letters, []
+        for k, piece in enumerate(pieces):
+            text = piece.decode("utf-8", "replace")
+            core = text.rstrip(TAIL)
+            if core.isascii():
+                plain = core.lower()
+            else:
+                plain = self.tokenizer.normalizer.normalize_str(core)
+            if not plain.isalpha():
+                rest.append(k)
+                continue
+            if not plain.isascii():
+                plain = plain.encode().decode("latin-1").translate(letters)
+            ids = [t.id for t in ask(plain)]
+            mark = text[len(core) :]
+            if mark:
+                if mark not in self.marks:
+                    self.marks[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
+                ids += self.marks[mark]
+            out[k] = ids
+        for k, e in zip(rest, self.tokenizer.encode_batch([pieces[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def learn(self, new: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        counts = np.fromiter((len(e.ids) for e in encoded), np.int64, len(new))
-        ids = np.fromiter((i for e in encoded for i in e.ids), np.uint32, int(counts.sum()))
+        encoded = self.piece_ids(new)
+        counts = np.fromiter(map(len, encoded), np.int64, len(new))
+        ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(counts.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -100,7 +147,7 @@ class WordCachedEncoder:
             n_words[k] = len(pieces)
         if len(index) > known:
             self.learn(list(islice(index, known, None)))
-        at = np.fromiter((i for p in places for i in p), np.int64, int(n_words.sum()))
+        at = np.fromiter(chain.from_iterable(places), np.int64, int(n_words.sum()))
         counts = self.counts[at]
         edges = np.concatenate([[0], np.cumsum(counts)])
         total = int(edges[-1])
