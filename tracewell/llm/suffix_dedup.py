@@ -134,8 +134,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Anchors:
     """Least grams of all windows of some texts laid end to end."""
 
-    def __init__(self, length: int, most: int):
-        self.length, self.most = length, most
+    def __init__(self, length: int, cuts_only: bool = False):
+        """``cuts_only``: texts are only cut into pieces, no least grams are found."""
+        self.length, self.cuts_only = length, cuts_only
         self.up = self.down = np.zeros(0, U)
 
     def of(self, texts: list[bytes]) -> None:
@@ -154,6 +155,8 @@ class Anchors:
             return
         least = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
         self.cuts = np.flatnonzero((least & U(127)) == U(0))
+        if self.cuts_only:
+            return
         span = 1
         while 2 * span <= w:
             least = np.minimum(least[:-span], least[span:])
@@ -226,7 +229,7 @@ def settle_pieces(base: DataFrame, length: int, deal: int, bits: int, buckets: i
     """(top, bits, bucket, blob): per range of piece hashes the marks of first pieces, and the ranges of the others by row bucket."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, 1 << 21)
+        anchors = Anchors(length, cuts_only=True)
         for texts, others in _texts(batches, 1 << 22):
             anchors.of(texts)
             rows = anchors.pieces(others)[0]
@@ -297,7 +300,7 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_p
     first_bits, rest, buckets = U(64 - deal), U(16 - deal), 1 << deal
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, held, size = Anchors(length, 1 << 21), [], 0
+        anchors, held, size = Anchors(length), [], 0
         for texts, others in _texts(batches):
             anchors.of(texts)
             anchors.only(others, first_pieces.value)
@@ -349,7 +352,7 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
     shift = U(64 - (bits.bit_length() - 1))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, 1 << 21)
+        anchors = Anchors(length)
         for texts, others in _texts(batches, 1 << 22):
             anchors.of(texts)
             anchors.only(others, first_pieces.value)
