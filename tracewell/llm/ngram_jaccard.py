@@ -148,7 +148,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int, chunk: int = 1 << 18) -> DataFrame:
-    """(sig, set) of the signatures that two different sets post.
+    """(sig, set) of the signatures that two different sets post, one of those that the same sets post.
 
     Postings travel as packed arrays, one row per bucket of the signature's hash
     and chunk of postings; equal postings of copies are merged before the
@@ -198,10 +198,17 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
         sig, sets = sig[order], sets[order]
         new = np.append(True, (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])) if len(sig) else np.zeros(0, bool)
         sig, sets = repeats(sig[new], sets[new])
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "set": pa.array(sets)})
+        # Signatures that the same sets post say the same: one is kept, named after the sets.
+        begins = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(begins, len(sig)))
+        names = mix(np.add.reduceat(mix(sets.view(np.uint64)), begins) + sizes.astype(np.uint64) * M3) if len(sig) else sig
+        names, first = np.unique(names, return_index=True)
+        begins, sizes = begins[first], sizes[first]
+        at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return pa.table({"sig": pa.array(np.repeat(names, sizes).view(np.int64)), "set": pa.array(sets[at])})
 
     posted = docs.select(F.col("_text").cast("binary")).mapInArrow(post, "bucket long, blob binary")
-    return posted.groupBy("bucket").applyInArrow(meet, "sig long, set long")
+    return posted.groupBy("bucket").applyInArrow(meet, "sig long, set long").distinct()
 
 
 def set_parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
