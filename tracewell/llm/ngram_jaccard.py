@@ -308,6 +308,22 @@ def _candidates(groups: DataFrame, num: int, den: int, best_only: bool, buckets:
     return bucketed.groupBy("_bucket").applyInArrow(lambda t: pa.table(_pairs(t, num, den, best_only)), "a long, b long, ca long, cb long, gap double")
 
 
+def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs that neither sizes nor bucketed counts rule out; only sketches are moved for this."""
+    of = info.select("set", "n", "sketch")
+    ratio = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    sized = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b").where(ratio).select("a", "b", "na", "nb", "sa", "sb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in (4, 5))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            keep = (den + num) * apart <= (den - num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return sized.mapInArrow(near, "a long, b long")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 300_000
 ) -> DataFrame:
@@ -338,10 +354,7 @@ def jaccard_components(
     rank = scored.groupBy("set").agg(F.sum("m").alias("score"))
     centre = members.join(rank, "set").groupBy("sig").agg(F.max(F.struct("score", "set"))["set"].alias("c"))
     stars = members.join(centre, "sig").where("set != c").select(F.least("set", "c").alias("a"), F.greatest("set", "c").alias("b")).distinct()
-    n_of = info.select("set", "n")
-    ratio = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    stars = stars.join(n_of.toDF("a", "na"), "a").join(n_of.toDF("b", "nb"), "b").where(ratio).select("a", "b")
-    tested = cut(stars)
+    tested = cut(_may_link(stars, info, num, den))
     links = cut(linked(tested, parts, num, den))
     labels = components(links.toDF("u", "v"))
 
