@@ -1,13 +1,18 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-The model is a trie of byte contexts, built from the training documents' token
-counts: a token is read as space, bytes, space (the end of a document is the
-empty token), contexts are the last 0 to ``order`` bytes back to that space.
+The model holds counts of byte contexts.  A token is read as space, bytes, space
+(the end of a document is the empty token).  Contexts are the last 0 to
+``order`` bytes, back to the text's begin, so that a word is predicted from the
+end of the one before; or, ``within_tokens``, back to the token's first space.
 Each byte is coded in the longest context seen; when it is new there, an escape
 (method C: distinct symbols / (count + distinct symbols)) leads to the context
 one byte shorter, where the symbols already ruled out are excluded from the
 counts.  After order 0 comes a uniform choice of the symbols left.
 
+Across tokens, gram counts stay dealt by the last two bytes of their contexts,
+where a context meets all its shorter ones but those of one byte and none,
+which every task has.  Within tokens, all of them make up one trie.
+
 Training tokens are counted over all training documents.  Counts of the
 ``frequent`` most frequent tokens go to every task; those of the others are
 joined by token hash, in packed arrays, and never gathered in one place.
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +40,17 @@ B56 = np.uint64(56)
 class Trie:
     """Context counts as sorted arrays: a gram is a context and the byte after it, keyed by length and bytes."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        """``keys``/``counts``: grams in the longest context of their positions; shorter contexts are summed here."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """``keys``/``counts``: grams in the longest context of their positions; shorter contexts are summed here.
+
+        With ``low``, the counts of all grams of one and two bytes, ``keys`` are longer and only their contexts of two
+        bytes or more are summed.
+        """
         self.order = order
-        levels_k, levels_c = [keys], [counts]
+        levels_k, levels_c = ([keys], [counts]) if low is None else ([keys, low[0]], [counts, low[1]])
         while len(keys):
             n = keys >> B56
-            longer = n > 1
+            longer = n > (1 if low is None else 3)
             keys, counts = _suffix(keys[longer]), counts[longer]
             levels_k.append(keys)
             levels_c.append(counts)
@@ -71,15 +81,20 @@ class Trie:
         pos = np.flatnonzero(place > 0)
         room = np.minimum(place[pos], self.order)
         owner = np.repeat(np.arange(len(words)), sizes)[pos]
-        value = [text[pos]]
+        value = text[pos]
         for j in range(1, self.order + 1):
-            value.append(value[-1] | (text[np.maximum(pos - j, 0)] << np.uint64(8 * j)))
-        lp, before = np.zeros(len(pos)), np.full(len(pos), -1)
-        todo = np.arange(len(pos))
+            value = np.where(room >= j, value | (text[np.maximum(pos - j, 0)] << np.uint64(8 * j)), value)
+        return np.bincount(owner, self.score_grams(value | ((room + 1).astype(np.uint64) << B56)), len(words))
+
+    def score_grams(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the others."""
+        sizes = grams >> B56
+        lp, before = np.zeros(len(grams)), np.full(len(grams), -1)
+        todo = np.arange(len(grams))
         for length in range(self.order + 1, 0, -1):
-            on = room[todo] + 1 >= length
+            on = sizes[todo] >= length
             at, rest = todo[on], todo[~on]
-            key = value[length - 1][at] | np.uint64(length << 56)
+            key = (grams[at] & np.uint64((1 << 8 * length) - 1)) | np.uint64(length << 56)
             g = np.minimum(np.searchsorted(self.grams, key), max(0, len(self.grams) - 1))
             hit = self.grams[g] == key if len(self.grams) else np.zeros(len(at), bool)
             found, prev = at[hit], before[at[hit]]
@@ -100,7 +115,7 @@ class Trie:
                 before[where] = x
             todo = np.concatenate([rest, missed])
         lp[todo] -= np.log10(SYMBOLS - (self.q[0] if len(self.q) else 0))
-        return np.bincount(owner, lp, len(words))
+        return lp
 
 
 def _suffix(keys: np.ndarray) -> np.ndarray:
@@ -129,6 +144,34 @@ def longest_grams(words: list[bytes], counts: np.ndarray, order: int) -> tuple[n
     return keys, np.bincount(at, weight[pos], len(keys)).astype(np.int64)
 
 
+def text_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each byte of the texts in its context of up to ``order`` bytes, across tokens; the count of each text.
+
+    A text is read as space, its tokens with one space after each, space.
+    """
+    streams = [b" " + b" ".join([*t.lower().split(), b""]) + b" " for t in texts]
+    text = np.frombuffer(b"".join(streams), np.uint8)
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    value = text.astype(np.uint64)
+    for j in range(1, order + 1):
+        value[j:] |= text[: max(0, len(text) - j)].astype(np.uint64) << np.uint64(8 * j)
+    begins = np.cumsum(sizes) - sizes
+    for n in range(1, order + 1):
+        short = begins[sizes > n] + n
+        value[short] &= np.uint64((1 << 8 * (n + 1)) - 1)
+        value[short] |= np.uint64((n + 1) << 56)
+    deep = np.ones(len(text), bool)
+    for n in range(order + 1):
+        deep[begins[sizes > n] + n] = False
+    value[deep] |= np.uint64((order + 1) << 56)
+    return np.delete(value, begins), sizes - 1
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = pa.table({"k": keys, "c": counts}).group_by("k", use_threads=False).aggregate([("c", "sum")])
+    return t.column("k").to_numpy(), t.column("c_sum").to_numpy()
+
+
 class WordTable(dict):
     """token -> number; score, base score if frequent, whether frequent, hash, by number."""
 
@@ -228,7 +271,8 @@ def frequent_from(counts: DataFrame, most: int, steps: int = 64) -> int:
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, order: int = 5, frequent: int = 100_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, order: int = 5, frequent: int = 100_000,
+    within_tokens: bool = True, block: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -236,7 +280,10 @@ def score_documents(
     learned from; all are scored.  Null text is empty and has the end token
     only; a null id counts as the empty text.  Tokens are words between ASCII
     white space with A-Z lower-cased, then one end.  ``base_score`` is the
-    smoothed unigram score; ``score`` the trie's log10 probability of the tokens.
+    smoothed unigram score; ``score`` the log10 probability of the tokens, with
+    contexts back to the token's begin or, unless ``within_tokens``, across
+    tokens.  Then texts are dealt into blocks of about ``block`` bytes; a block
+    asks once for each of its grams where the grams of that context are counted.
     Repeated rows are learned from and scored each.  With no training document
     every token is unknown and each symbol uniform.  Other columns are ignored.
     """
@@ -256,13 +303,14 @@ def score_documents(
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                k, c = longest_grams(b.column(0).to_pylist(), b.column(1).to_numpy(), order)
+                k, c = longest_grams(b.column(0).to_pylist(), b.column(1).to_numpy(), order if within_tokens else 1)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "c"])
 
     # At most one gram per context and symbol: its number is that of the trie's leaves, not of the tokens.
+    # Across tokens only grams of one and two bytes are taken from here (256^2 + 256 at most): they never cross a border.
     found = counts.mapInArrow(grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).toArrow()
     trie = Trie(found.column("gram").to_numpy().view(np.uint64), found.column("c").to_numpy().astype(np.float64), order)
-    shared = sc.broadcast((trie, top))
+    shared = sc.broadcast((trie if within_tokens else None, top))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), v // 150_000)
 
     ask, answer = np.dtype([("key", "<i8"), ("hash", "<u8")]), np.dtype([("key", "<i8"), ("base", "<f8"), ("known", "<i4")])
@@ -336,7 +384,11 @@ def score_documents(
 
     thin = base.select("_b", "_id", "_held", "_key")
     kind = thin.schema["_id"].dataType.simpleString()
-    scored = cut(thin.mapInArrow(rows, f"_id {kind}, _held boolean, _key long, _n long, _known long, _base double, _score double"))
+    fields = f"_id {kind}, _held boolean, _key long, _n long, _known long, _base double, _score double"
+    if within_tokens:
+        scored = cut(thin.mapInArrow(rows, fields))
+    else:
+        scored = cut(_score_across(thin, fields, sc.broadcast((trie.grams, trie.c)), shared, floor, order, block))
     # Rows that repeat id and text have asked once each under one key, so their sums are shared out.
     again = scored.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").withColumnRenamed("_key", "_k2")
     out = scored.join(rare, F.col("_key") == F.col("_k"), "left").join(again, F.col("_key") == F.col("_k2"), "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
@@ -349,3 +401,64 @@ def score_documents(
         (F.col("_base") + F.coalesce(F.col("_rb") / F.col("_m"), F.lit(0.0))).alias("base_score"),
         F.col("_score").alias("score"),
     )
+
+
+def _score_across(thin: DataFrame, fields: str, low, shared, floor: float, order: int, block: int) -> DataFrame:
+    """The scores of the texts with contexts across tokens; gram counts stay dealt by the last two bytes of the context."""
+    size = thin.agg(F.coalesce(F.sum(F.octet_length("_b")), F.lit(0))).first()[0]
+    blocks = size // block + 1
+    buckets = max(int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
+    told, priced = np.dtype([("gram", "<u8"), ("c", "<u4")]), np.dtype([("gram", "<u8"), ("lp", "<f8")])
+
+    def ask(t: pa.Table) -> pa.Table:
+        """Each gram of a block with its count in training texts, by bucket."""
+        t = t.combine_chunks()
+        held, parts, n = t.column("_held").to_numpy(), [], 0
+        for begin, texts in _chunks(t.column("_b")):
+            k, sizes = text_grams(texts, order)
+            parts.append(_summed(k, np.repeat((~held[begin : begin + len(texts)]).astype(np.int64), sizes)))
+            n += len(parts[-1][0])
+            if n > 4_000_000:
+                parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                n = 0
+        k, c = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+        by = np.argsort(k)
+        out = np.empty(len(k), told)
+        out["gram"], out["c"] = k[by], c[by]
+        group = (out["gram"] >> np.uint64(8)) & np.uint64(0xFFFF)
+        group = (group * np.uint64(0x9E37) & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)
+        b = _in_buckets(group, out)
+        return pa.table({"bucket": b.column(0), "_block": pa.array([t.column("_block")[0].as_py()] * b.num_rows, pa.int64()), "blob": b.column(1)})
+
+    def price(t: pa.Table) -> pa.Table:
+        """All grams whose contexts end alike meet here."""
+        asked = [np.frombuffer(x.as_py(), told) for x in t.column("blob")]
+        k, c = _summed(np.concatenate([a["gram"] for a in asked]), np.concatenate([a["c"] for a in asked]).astype(np.int64))
+        by = np.argsort(k)
+        k, c = k[by], c[by]
+        own = (c > 0) & (k >> B56 > 2)
+        lp = Trie(k[own], c[own].astype(np.float64), order, low.value).score_grams(k)
+        blobs = []
+        for a in asked:
+            out = np.empty(len(a), priced)
+            out["gram"], out["lp"] = a["gram"], lp[np.searchsorted(k, a["gram"])]
+            blobs.append(out.tobytes())
+        return pa.table({"_block": t.column("_block"), "blob": pa.array(blobs, pa.binary())})
+
+    def total(t: pa.Table, prices: pa.Table) -> pa.Table:
+        t, table, out = t.combine_chunks(), WordTable(None, shared.value[1], floor), []
+        known = np.concatenate([np.frombuffer(x.as_py(), priced) for x in prices.column("blob")])
+        known, lp = pa.array(known["gram"]), np.ascontiguousarray(known["lp"])
+        for begin, texts in _chunks(t.column("_b")):
+            k, lengths = text_grams(texts, order)
+            each = lp[pc.index_in(pa.array(k), known).to_numpy()]
+            at, sizes = table.numbers(texts)
+            begins = np.cumsum(sizes) - sizes
+            out.append((sizes, np.add.reduceat(table.known[at].astype(np.int64), begins), np.add.reduceat(table.base[at], begins), np.add.reduceat(each, np.cumsum(lengths) - lengths)))
+        made = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+        return pa.table([t.column("_id"), t.column("_held"), t.column("_key"), *made], names=["_id", "_held", "_key", "_n", "_known", "_base", "_score"])
+
+    dealt = thin.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("long"))
+    asked = dealt.groupBy("_block").applyInArrow(ask, "bucket long, _block long, blob binary")
+    prices = asked.groupBy("bucket").applyInArrow(price, "_block long, blob binary")
+    return dealt.groupBy("_block").cogroup(prices.groupBy("_block")).applyInArrow(total, fields)

@@ -56,7 +56,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), within_tokens=False)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
