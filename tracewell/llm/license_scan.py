@@ -49,35 +49,79 @@ RULES = [
     ("Proprietary", ("all-rights-reserved",)),
 ]
 
-#: A sentence ends at a line end, or after . ! ? ; : before white space.  "2.0" and "4.0" stay whole.
-SENTENCE_END = r"[\r\n]+|[.!?;:]+(?=\s|$)"
+#: Sentences in full as published, normalised; " | " stands between sentences that must follow each other,
+#: {name} for 1 to 12 words.  Identifiers are those of SENTENCES, so RULES hold for both.
+PUBLISHED = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+    " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+    " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"
+    " fitness for a particular purpose and noninfringement": "as-is",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific"
+    " prior written permission": "bsd-no-endorse",
+    "neither the name of {name} nor the names of contributors may be used to endorse or promote products derived from this software without specific"
+    " prior written permission": "bsd-no-endorse",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-2-notice",
+    "apache license version 2 0 january 2004": "apache-2-notice",
+    "gnu general public license version 3 29 june 2007": "gpl-3-notice",
+    "gnu general public license version 2 june 1991": "gpl-2-notice",
+} | {
+    f"you can redistribute it and or modify it under the terms of the gnu general public license {rest}": f"gpl-{n}-notice"
+    for n in (2, 3)
+    for rest in (
+        f"as published by the free software foundation either version {n} of the license or at your option any later version",
+        f"as published by the free software foundation | either version {n} of the license or at your option any later version",
+        f"as published by the free software foundation version {n} of the license",
+        f"as published by the free software foundation | version {n} of the license",
+        f"version {n} as published by the free software foundation",
+    )
+}
+
+NAME = r"(?:[a-z0-9]+ (?:/ )?){1,12}"
+
 
+def _pattern(sentence: str) -> str:
+    """The sentence with a line end allowed at each space."""
+    return "".join({"|": r"\| ", "{name}": NAME}.get(w, rf"{w} (?:/ )?") for w in sentence.split(" ")).removesuffix("(?:/ )?")
 
-def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Column:
+
+def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES | PUBLISHED) -> Column:
     """Identifiers of the known sentences of a text, in their order, repeats kept.
 
-    A sentence is lower-cased (A-Z), runs of other characters than a-z and 0-9
-    become one space, and the ends are trimmed; it must then equal a known one.
-    Sentences without a word that begins a known one are passed over first.
+    A sentence ends after . ! ? ; : before white space, or at a blank line, one
+    without letters and digits; it begins and may end at any line end, too, so
+    that one wrapped over lines is found as well as one amid other lines.  "2.0"
+    and "4.0" stay whole.  It is lower-cased (A-Z), runs of other characters than
+    a-z and 0-9 become one space (comment signs before lines go with them), and
+    the ends are trimmed; it must then equal a known one.  Of those that begin
+    at one place the longest counts.
     """
+    if not sentences:
+        return F.array().cast("array<string>")
+    t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[.!?;:]+(?=\s|$)", "\n\n")
+    # Lines are told apart by " / ", sentences by " | ".
+    t = F.regexp_replace(F.regexp_replace(ascii_lower(t), r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+    t = F.replace(F.regexp_replace(t, r"\n\n+", " | "), F.lit("\n"), F.lit(" / "))
+    s = F.concat(F.lit("| "), F.trim(t), F.lit(" |"))
+    longest_first = sorted(sentences, key=lambda k: (-len(k), k))
+    found = F.regexp_extract_all(s, F.lit("[|/] ((?:" + "|".join(map(_pattern, longest_first)) + "))(?=[|/])"), F.lit(1))
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    longest = max(map(len, sentences), default=0)
-    norm = lambda s: F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "))
-    firsts = "|".join(sorted({s.split(" ")[0] for s in sentences})) or "$^"
-    # A known sentence has few separators; one far longer than the longest known cannot equal it unless padded.
-    likely = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(rf"(?i)^[^a-z0-9]*(?:{firsts})(?![a-z0-9])"))
-    normed = F.transform(likely, norm)
-    return F.filter(
-        F.transform(F.filter(normed, lambda s: F.length(s) <= longest), lambda s: F.try_element_at(known, s)),
-        lambda i: i.isNotNull(),
-    )
+    named = [k for k in longest_first if "{name}" in k]
+
+    def id_of(m: Column) -> Column:
+        m = F.trim(F.replace(m, F.lit(" / "), F.lit(" ")))
+        fits = [F.when(m.rlike("^" + _pattern(k).rstrip() + "$"), F.lit(sentences[k])) for k in named]
+        return F.coalesce(F.try_element_at(known, m), *fits)
+
+    return F.transform(found, id_of)
 
 
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sentences: Mapping[str, str] = SENTENCES,
+    sentences: Mapping[str, str] = SENTENCES | PUBLISHED,
     rules: Sequence[tuple[str, tuple[str, ...]]] = RULES,
 ) -> DataFrame:
     """One row per input row: id, sentence_ids, licenses (sorted, distinct), rule_numbers, license (first rule's or null).
