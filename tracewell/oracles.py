@@ -49,6 +49,14 @@ WITH l AS (
   SELECT *, first_value(start) OVER (PARTITION BY file, seg ORDER BY line_no) AS inside FROM g
 ), b AS (SELECT file, dense_rank() OVER (PARTITION BY file ORDER BY seg) AS block_id, line_no, line FROM i WHERE inside)
 """
+#: The same over whole lines.
+LOG_WHOLE = r"""
+WITH l AS (
+  SELECT doc_id AS file, unnest(generate_series(0, len(x) - 1)) AS p, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), n AS (
+  SELECT file, 2 * p AS line_no, CASE p % 7 WHEN 1 THEN 'ERROR at ' || t WHEN 3 THEN 'Caused by: x' || p || ' ' || t ELSE t END AS line FROM l
+  UNION ALL SELECT file, 2 * p + 1, '' FROM l WHERE p % 7 = 5
+""" + LOG[LOG.index("), s AS (") :]
 MATCH = """
 WITH f AS (
   SELECT n_nationkey AS field_no, 'brand_' || ['name', 'type', 'key', 'size', 'zone'][n_nationkey % 5 + 1] || '_' || n_name AS m, 'f' || n_nationkey AS fact FROM nation
@@ -168,6 +176,9 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "log_blocks": LOG + "SELECT file, block_id, line_no FROM b",
     "log_root": LOG + r"SELECT file, block_id, coalesce(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), 'Caused by:\s+([^\n]*)', 1)[-1], 'NO ROOT CAUSE FOUND') AS root_cause FROM b GROUP BY file, block_id",
     "log_count": LOG + "SELECT file, count(DISTINCT block_id) AS n_blocks FROM b GROUP BY file",
+    "log_blocks_whole": LOG_WHOLE + "SELECT file, block_id, line_no FROM b",
+    "log_root_whole": LOG_WHOLE + r"SELECT file, block_id, coalesce(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), 'Caused by:\s+([^\n]*)', 1)[-1], 'NO ROOT CAUSE FOUND') AS root_cause FROM b GROUP BY file, block_id",
+    "log_count_whole": LOG_WHOLE + "SELECT file, count(DISTINCT block_id) AS n_blocks FROM b GROUP BY file",
     "nosql_mongo": """SELECT n_nationkey, o AS ordinal, n_name AS "tableName", c AS "columnName", a AS "aliasName", r AS remark FROM nation JOIN
 (VALUES (0, 0, 'a', '', 'Mongo Query'), (0, 1, 'b', 'b', 'Mongo Query'), (1, 0, '*', '', 'Mongo query'), (2, 0, 'x', '', 'project_included'), (2, 1, '$lookup->o', 'z', 'lookup_join')) v(k, o, c, a, r) ON n_nationkey % 3 = k""",
     "nosql_elastic": """SELECT n_nationkey, o AS ordinal, CASE o WHEN 0 THEN 'f' || n_nationkey ELSE c END AS "columnName", t AS clause FROM nation, (VALUES (0, '', 'match'), (1, 'g', 'range'), (2, 'h', 'exists'), (3, 't', 'term')) v(o, c, t)""",

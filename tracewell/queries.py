@@ -523,6 +523,29 @@ def log_count(spark, d):
     return logs.block_count(logs.error_blocks(_log_lines(spark, d)))
 
 
+def _whole_log_lines(spark, d) -> DataFrame:
+    """The document lines in full, some behind a marker, with a blank line after each sixth of seven."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "t"))
+    line = F.when(F.col("p") % 7 == 1, F.concat(F.lit("ERROR at "), "t")).when(F.col("p") % 7 == 3, F.concat(F.lit("Caused by: x"), F.col("p").cast("string"), F.lit(" "), "t")).otherwise(F.col("t"))
+    lines = F.when(F.col("p") % 7 == 5, F.array(line, F.lit(""))).otherwise(F.array(line))
+    return docs.select(F.col("doc_id").alias("file"), "p", F.posexplode(lines).alias("k", "line")).select("file", (F.col("p").cast("long") * 2 + F.col("k")).alias("line_no"), "line")
+
+
+@query
+def log_blocks_whole(spark, d):
+    return logs.error_blocks(_whole_log_lines(spark, d)).select("file", F.col("block_id").cast("long").alias("block_id"), "line_no")
+
+
+@query
+def log_root_whole(spark, d):
+    return logs.root_causes(logs.error_blocks(_whole_log_lines(spark, d))).select("file", F.col("block_id").cast("long").alias("block_id"), "root_cause")
+
+
+@query
+def log_count_whole(spark, d):
+    return logs.block_count(logs.error_blocks(_whole_log_lines(spark, d)))
+
+
 @query
 def nosql_mongo(spark, d):
     n = table(spark, d, "nation")
