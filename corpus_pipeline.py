@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import table, text_or_empty, without
+from tracewell.llm._common import bitmap_of, cut, flag_in_bitmap, table, text_or_empty, without
 from tracewell.llm.decontaminate import decontaminate
 from tracewell.llm.mix_sources import mix_sources
 from tracewell.llm.ngram_jaccard import jaccard_components
@@ -20,9 +20,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group linked by 5-word shingles at 0.8."""
-    groups = jaccard_components(docs, k=5, num=80, den=100)
-    return without(docs, groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keep one row of each group linked by 5-word shingles at 0.8.
+
+    It is the row with the least id, null last; among those the one with the
+    least text hash, then the least hash of the whole row.  Texts without words
+    are in no group and stay.
+    """
+    groups = jaccard_components(docs, k=5, num=80, den=100, group_col="_group").where("_group IS NOT NULL")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    least = groups.groupBy("_group").agg(F.min(first).alias("_least"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    members = cut(groups.join(least, "_group").select("doc_id", "text_hash", (first == F.col("_least")).alias("_first")))
+    # Rows that repeat the id and text of the first one.
+    again = cut(members.where("_first").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"))
+    left = without(docs, members.where("NOT _first").select("doc_id", "text_hash").unionByName(again.select("doc_id", "text_hash")))
+    if again.isEmpty():
+        return left
+    bits = 1 << 23
+    keyed = docs.withColumn("_th", F.xxhash64(text_or_empty())).withColumn("_key", F.xxhash64("doc_id", "_th"))
+    likely = flag_in_bitmap(keyed, "_key", bitmap_of(again.select(F.xxhash64("doc_id", "text_hash").alias("_key")), "_key", bits), bits, "_in").where("_in")
+    same = F.col("doc_id").eqNullSafe(F.col("_did")) & (F.col("_th") == F.col("_dh"))
+    repeated = likely.join(again.select(F.col("doc_id").alias("_did"), F.col("text_hash").alias("_dh")), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.xxhash64(*docs.columns)))
+    return left.unionByName(repeated.withColumn("_place", place).where("_place = 1").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

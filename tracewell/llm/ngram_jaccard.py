@@ -325,7 +325,8 @@ def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 300_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 300_000,
+    group_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, text_hash (xxhash64 of the text, null: empty).
 
@@ -336,7 +337,8 @@ def jaccard_components(
     without words have an empty set and are their own component.  Rows with
     equal sets, repeated ids included, are in one component; a null id is never
     the least, and names only a component that has no other.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  ``group_col`` adds a number for each
+    component, unlike ids never shared by two; null for an empty set.
     """
     base = _texts(docs, id_col, text_col)
     rows = cut(document_sets(base, k))
@@ -374,7 +376,8 @@ def jaccard_components(
 
     named = rows.join(labels.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.where(F.col("set").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"))
-    own = named.where(F.col("set").isNotNull()).join(least, "comp").select("_id", "_h", "n", F.col("least").alias("c"))
-    return own.unionByName(named.where(F.col("set").isNull()).select("_id", "_h", "n", F.col("_id").alias("c"))).select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("_h").alias("text_hash")
+    own = named.where(F.col("set").isNotNull()).join(least, "comp").select("_id", "_h", "n", F.col("least").alias("c"), F.col("comp").alias("g"))
+    return own.unionByName(named.where(F.col("set").isNull()).select("_id", "_h", "n", F.col("_id").alias("c"), F.col("comp").alias("g"))).select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("_h").alias("text_hash"),
+        *([F.col("g").alias(group_col)] if group_col else []),
     )
