@@ -8,7 +8,7 @@ import pytest
 
 from tracewell.llm.decontaminate import decontaminate
 from tracewell.llm.graph import components
-from tracewell.llm.ngram_jaccard import Schemes, jaccard_components, signatures
+from tracewell.llm.ngram_jaccard import Schemes, differing, jaccard_components, signatures, sketch
 from tracewell.llm.suffix_dedup import RunLengthIndex, dedup_substrings
 
 
@@ -60,6 +60,16 @@ def test_jaccard_of_a_dense_group(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(1, 900, 40)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], s[:1] + np.uint64(1)])) for s in sets]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    least = differing([sketch(s) for s in sets], x, y, block=1 << 12)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    assert (least <= true).all() and (least[x == y] == 0).all() and least.sum() > 0.5 * true.sum()
+
+
 def test_jaccard_empty(empty):
     assert jaccard_components(empty).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -10,23 +11,35 @@ from pyspark.sql import functions as F
 
 #: Bits of one bitmap row built by ``bitmap_construct_agg`` (fixed by Spark).
 BITMAP_ROW_BITS = 32768
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in tests.
+    What was shuffled for ``df`` is freed as soon as it is written.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_dir(spark))
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor share."""
+    """A folder that the driver and every executor share: the cluster's ``spark.checkpoint.dir``.
+
+    A temporary one is made only on a local master that names none, as in tests.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="shared-")
 
 

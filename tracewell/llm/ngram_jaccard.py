@@ -3,16 +3,19 @@
 Shingles are put in one global order, that of their 64-bit hashes, and the
 order is cut into fragments.  Two sets whose sizes are in ratio and whose
 Jaccard similarity is t or more differ in at most H = (1-t)/(1+t) * (|a|+|b|)
-shingles; cut into more than H fragments, they agree on a whole fragment.  So
-each set posts one signature per fragment, in the scheme of its size class and
-of the next, and sets that share none cannot link.  How many shingles two
-candidates share is counted per (coarser) fragment and summed per pair.
+shingles; cut into F > H fragments, they overlap fully in F - H at least.  The
+fullest of these is among the H + 1 fullest fragments of both sets, so each set
+posts those alone, in the scheme of its size class and of the next, and sets
+that post none in common cannot link.  Pairs whose sizes or parity sketches
+(two bits a shingle or more) prove that they cannot link are ruled out before
+any set is moved.  How many shingles the others share is counted per (coarser)
+fragment and summed per pair.
 
 A group of near copies is not expanded into pairs.  Each signature's sets are
 first compared with one centre; linked sets are contracted; then each pair of
 components that still meets in a signature is tried on its most similar pair,
-and last all pairs left over.  Components come out exact, as only pairs whose
-sizes or bucketed counts prove that they cannot link are left untested.
+and last all pairs left over.  Components come out exact, as only pairs that
+are proved not to link are left untested.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from .graph import components
 
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 S33 = np.uint64(33)
-SKETCH = 128
 PARTS = 4
 
 
@@ -89,14 +91,18 @@ class Schemes:
         return int(np.searchsorted(b, n))
 
     def fragments(self, k: int) -> tuple[int, int]:
-        """(most differing shingles H, fragments F > H); a few more than H + 1 so that empty fragments need not count."""
+        """(most differing shingles H, fragments F > H); a fifth more than H, so that the emptiest need not be posted."""
         self.of(self.bounds[-1] + 1) if k >= len(self.bounds) else None
         most = 2 * self.bounds[k] * (self.den - self.num) // (self.den + self.num)
-        return most, most + 2 + most // 16
+        return most, most + 2 + most // 5
 
 
 def signatures(s: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """One 64-bit hash per fragment of ``s`` in the two schemes of its size."""
+    """64-bit hashes of the H + 1 fullest fragments of ``s``, in each of the two schemes of its size.
+
+    Of the fragments that two linked sets agree on, the first by (shingles,
+    place) comes after at most H others in either set, so both post it.
+    """
     found, low = [], schemes.of(len(s))
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + M3), dtype=np.uint64)])
     top = s >> np.uint64(32)
@@ -105,11 +111,11 @@ def signatures(s: np.ndarray, schemes: Schemes) -> np.ndarray:
         if not most:
             continue
         at = np.searchsorted((top * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-        sums, counts = prefix[at[1:]] - prefix[at[:-1]], np.diff(at)
-        sig = mix(mix(sums + counts.astype(np.uint64) * M2) ^ (np.arange(n, dtype=np.uint64) * M3 + np.uint64(k)))
-        empty = counts == 0
-        # n - most fragments agree at least; if fewer than that are empty, one that is not agrees too.
-        found.append(sig[~empty] if empty.sum() < n - most else sig)
+        counts = np.diff(at)
+        # Eight-bit keys are sorted by radix; which fragments come first depends on what they hold alone.
+        fullest = np.argsort(255 - np.minimum(counts, 255).astype(np.uint8), kind="stable")[: most + 1]
+        sums = prefix[at[fullest + 1]] - prefix[at[fullest]]
+        found.append(mix(mix(sums + counts[fullest].astype(np.uint64) * M2) ^ (fullest.astype(np.uint64) * M3 + np.uint64(k))))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -123,8 +129,33 @@ def repeats(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Shingles per hash bucket, stopped at 255: the sum of differences never exceeds the number of differing shingles."""
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """Parity of the shingles in each of 2^j hash buckets, two a shingle or more: differing bits never outnumber differing shingles."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differing(sketches: list[bytes], x: np.ndarray, y: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """Least number of shingles in which the sets of the places ``x`` and ``y`` of ``sketches`` differ.
+
+    The longer sketch of a pair is folded to the length of the shorter one.
+    """
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    flat, begins = np.frombuffer(b"".join(sketches), np.uint8), np.cumsum(sizes) - sizes
+    out = np.zeros(len(x), np.int64)
+    shorter = np.minimum(sizes[x], sizes[y])
+    for width in np.unique(shorter).tolist():
+        which = np.flatnonzero(shorter == width)
+        for k in range(0, len(which), max(1, block // width)):
+            some = which[k : k + max(1, block // width)]
+            folded = []
+            for rows in (x[some], y[some]):
+                one = np.zeros((len(rows), width), np.uint8)
+                for turn in range(int(sizes[rows].max()) // width):
+                    on = np.flatnonzero(sizes[rows] > turn * width)
+                    one[on] ^= flat[begins[rows[on], None] + turn * width + np.arange(width)]
+                folded.append(one)
+            out[some] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,18 +164,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(_id, _h, n, set) of each row of ``_texts``; set is null without words."""
+    """(_id, _h, n, set, sketch) of each row of ``_texts``; set and sketch are null without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(t.as_py(), k, hashes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                names=["_id", "_h", "n", "set"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["_id", "_h", "n", "set", "sketch"],
             )
 
-    return docs.select("_id", "_h", F.col("_text").cast("binary")).mapInArrow(rows, "_id long, _h long, n long, set long")
+    return docs.select("_id", "_h", F.col("_text").cast("binary")).mapInArrow(rows, "_id long, _h long, n long, set long, sketch binary")
 
 
 def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int, chunk: int = 1 << 18) -> DataFrame:
@@ -154,15 +186,19 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
     and chunk of postings; equal postings of copies are merged before the
     shuffle.  A bucket holds a fixed share of all postings.
     """
-    pair = np.dtype([("sig", "<u8"), ("set", "<i8")])
+    # The bucket says as much of the signature as its size allows; 32 further bits tell its 300,000 postings apart, and
+    # sets that meet by accident are only compared in vain.
+    pair = np.dtype([("sig", "<u4"), ("set", "<i8")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, schemes, held, size, seen = WordHashes(), Schemes(num, den), [], 0, set()
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            all_of = np.concatenate(held)
-            at = (all_of["sig"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            full = np.concatenate([x for x, _ in held])
+            all_of = np.empty(len(full), pair)
+            all_of["sig"], all_of["set"] = full, np.repeat(np.array([x for _, x in held]), [len(x) for x, _ in held])
+            at = (full >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             # Sixteen-bit keys are sorted by radix.
             order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
             all_of, at = all_of[order], at[order]
@@ -181,9 +217,7 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
                 seen.add(name)
                 sig = signatures(s, schemes)
                 if len(sig):
-                    row = np.empty(len(sig), pair)
-                    row["sig"], row["set"] = sig, name
-                    held.append(row)
+                    held.append((sig, name))
                     size += len(sig)
                     if size >= chunk:
                         yield flush()
@@ -212,7 +246,7 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
 
 
 def set_parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set, part, n, sketch, items) for the documents (_id, _h) in ``wanted``; the order cut into ``PARTS`` fragments."""
+    """(set, part, n, items) for the documents (_id, _h) in ``wanted``; the order cut into ``PARTS`` fragments."""
     bits = 1 << 23
     key = F.xxhash64("_id", "_h")
     likely = flag_in_bitmap(docs.withColumn("_key", key), "_key", bitmap_of(wanted.select(key.alias("_key")), "_key", bits), bits, "_in", "inner").where("_in")
@@ -228,13 +262,12 @@ def set_parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 cuts = np.concatenate([[0], at, [len(s)]]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(cuts), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(s)] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([len(s)] * PARTS, pa.int64()),
-                     pa.array([sketch(s)] + [None] * (PARTS - 1), pa.binary()), items],
-                    names=["set", "part", "n", "sketch", "items"],
+                    [pa.array([set_id(s)] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([len(s)] * PARTS, pa.int64()), items],
+                    names=["set", "part", "n", "items"],
                 )
 
-    made = likely.select(F.col("_text").cast("binary")).mapInArrow(rows, "set long, part int, n long, sketch binary, items array<long>")
-    return made.groupBy("set", "part").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("items").alias("items"))
+    made = likely.select(F.col("_text").cast("binary")).mapInArrow(rows, "set long, part int, n long, items array<long>")
+    return made.groupBy("set", "part").agg(F.first("n").alias("n"), F.first("items").alias("items"))
 
 
 def linked(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
@@ -257,7 +290,7 @@ def _pairs(t: pa.Table, num: int, den: int, best_only: bool, most: int = 100_000
     order = np.lexsort((j, i, sig))
     sig, i, j = sig[order], i[order], j[order]
     names, comp, n, own = (t.column(c).to_numpy()[order] for c in ("set", "comp", "n", "_own"))
-    counts = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+    sketches = t.column("sketch").to_pylist()
     begins = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     sizes = np.diff(np.append(begins, len(sig)))
     partners = np.repeat(begins + sizes, sizes) - np.arange(len(sig)) - 1
@@ -273,7 +306,7 @@ def _pairs(t: pa.Table, num: int, den: int, best_only: bool, most: int = 100_000
         at = end
         keep = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
         x, y = x[keep], y[keep]
-        apart = np.concatenate([np.abs(counts[x[k : k + 20_000]].astype(np.int16) - counts[y[k : k + 20_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 20_000)] or [np.zeros(0, np.int64)])
+        apart = differing(sketches, order[x], order[y])
         keep = (den + num) * apart <= (den - num) * (n[x] + n[y])
         x, y, gap = x[keep], y[keep], (apart / np.maximum(1, n[x] + n[y]))[keep]
         swap = names[y] < names[x]
@@ -309,15 +342,15 @@ def _candidates(groups: DataFrame, num: int, den: int, best_only: bool, buckets:
 
 
 def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs that neither sizes nor bucketed counts rule out; only sketches are moved for this."""
+    """The (a, b) pairs that neither sizes nor sketches rule out; only sketches are moved for this."""
     of = info.select("set", "n", "sketch")
     ratio = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
     sized = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b").where(ratio).select("a", "b", "na", "nb", "sa", "sb")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in (4, 5))
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            n = b.num_rows
+            apart = differing(b.column(4).to_pylist() + b.column(5).to_pylist(), np.arange(n), np.arange(n, 2 * n))
             keep = (den + num) * apart <= (den - num) * (b.column(2).to_numpy() + b.column(3).to_numpy())
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
@@ -347,9 +380,13 @@ def jaccard_components(
     session = docs.sparkSession
     buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), int(total * 5 * (den - num) / (den + num)) // bucket_postings)
     members = cut(shared_signatures(base, k, num, den, buckets))
-    wanted = members.select("set").distinct().join(sets, "set").select("r.*")
-    parts = cut(set_parts(base, wanted, k))
-    info = parts.where("part = 0").select("set", "n", "sketch")
+    posting = members.select("set").distinct()
+    info = cut(rows.where(F.col("set").isNotNull()).join(posting, "set", "left_semi").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only their sets are moved."""
+        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct().join(sets, "set").select("r.*")
+        return cut(linked(pairs, cut(set_parts(base, cut(wanted), k)), num, den))
 
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     scored = members.join(sizes, "sig")
@@ -357,7 +394,7 @@ def jaccard_components(
     centre = members.join(rank, "set").groupBy("sig").agg(F.max(F.struct("score", "set"))["set"].alias("c"))
     stars = members.join(centre, "sig").where("set != c").select(F.least("set", "c").alias("a"), F.greatest("set", "c").alias("b")).distinct()
     tested = cut(_may_link(stars, info, num, den))
-    links = cut(linked(tested, parts, num, den))
+    links = confirmed(tested)
     labels = components(links.toDF("u", "v"))
 
     for best_only in (True, False):
@@ -368,7 +405,9 @@ def jaccard_components(
         if best_only:
             found = found.groupBy("ca", "cb").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        more = cut(linked(pairs, parts, num, den))
+        if pairs.isEmpty():
+            continue
+        more = confirmed(pairs)
         tested = tested.unionByName(pairs)
         links = links.unionByName(more)
         if not more.isEmpty():
