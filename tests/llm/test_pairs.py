@@ -67,7 +67,7 @@ def test_sketches_never_overstate_the_difference():
     x, y = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
     least = differing([sketch(s) for s in sets], x, y, block=1 << 12)
     true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
-    assert (least <= true).all() and (least[x == y] == 0).all() and least.sum() > 0.5 * true.sum()
+    assert (least <= true).all() and (least[x == y] == 0).all() and least[x != y].min() > 0
 
 
 def test_jaccard_empty(empty):

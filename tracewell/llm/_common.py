@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(spark))
+    with shuffles_freed(spark):
+        return df.checkpoint(eager=True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in this block leave no shuffle files behind."""
     before = spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
 

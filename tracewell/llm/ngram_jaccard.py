@@ -180,13 +180,13 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int, chunk: int = 1 << 18) -> DataFrame:
-    """(sig, set) of the signatures that two different sets post, one of those that the same sets post.
+    """(sig, set, m) of the signatures that m different sets post, two at least, one of those that the same sets post.
 
     Postings travel as packed arrays, one row per bucket of the signature's hash
     and chunk of postings; equal postings of copies are merged before the
     shuffle.  A bucket holds a fixed share of all postings.
     """
-    # The bucket says as much of the signature as its size allows; 32 further bits tell its 300,000 postings apart, and
+    # The bucket says as much of the signature as its size allows; 32 further bits tell its 100,000 postings apart, and
     # sets that meet by accident are only compared in vain.
     pair = np.dtype([("sig", "<u4"), ("set", "<i8")])
 
@@ -239,10 +239,10 @@ def shared_signatures(docs: DataFrame, k: int, num: int, den: int, buckets: int,
         names, first = np.unique(names, return_index=True)
         begins, sizes = begins[first], sizes[first]
         at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return pa.table({"sig": pa.array(np.repeat(names, sizes).view(np.int64)), "set": pa.array(sets[at])})
+        return pa.table({"sig": pa.array(np.repeat(names, sizes).view(np.int64)), "set": pa.array(sets[at]), "m": pa.array(np.repeat(sizes, sizes).astype(np.int64))})
 
     posted = docs.select(F.col("_text").cast("binary")).mapInArrow(post, "bucket long, blob binary")
-    return posted.groupBy("bucket").applyInArrow(meet, "sig long, set long").distinct()
+    return posted.groupBy("bucket").applyInArrow(meet, "sig long, set long, m long").distinct()
 
 
 def set_parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -358,7 +358,7 @@ def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 300_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bucket_postings: int = 100_000,
     group_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, text_hash (xxhash64 of the text, null: empty).
@@ -386,20 +386,17 @@ def jaccard_components(
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only their sets are moved."""
         wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct().join(sets, "set").select("r.*")
-        return cut(linked(pairs, cut(set_parts(base, cut(wanted), k)), num, den))
+        return cut(linked(pairs, cut(set_parts(base, wanted, k)), num, den))
 
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    scored = members.join(sizes, "sig")
-    rank = scored.groupBy("set").agg(F.sum("m").alias("score"))
+    rank = members.groupBy("set").agg(F.sum("m").alias("score"))
     centre = members.join(rank, "set").groupBy("sig").agg(F.max(F.struct("score", "set"))["set"].alias("c"))
     stars = members.join(centre, "sig").where("set != c").select(F.least("set", "c").alias("a"), F.greatest("set", "c").alias("b")).distinct()
     tested = cut(_may_link(stars, info, num, den))
-    links = confirmed(tested)
-    labels = components(links.toDF("u", "v"))
+    labels = components(confirmed(tested).toDF("u", "v"))
 
     for best_only in (True, False):
         placed = members.join(labels.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 != c1").select("sig", "m")
+        mixed = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("sig")
         groups = placed.join(mixed, "sig").join(info, "set")
         found = _candidates(groups, num, den, best_only, buckets)
         if best_only:
@@ -409,9 +406,9 @@ def jaccard_components(
             continue
         more = confirmed(pairs)
         tested = tested.unionByName(pairs)
-        links = links.unionByName(more)
         if not more.isEmpty():
-            labels = components(links.toDF("u", "v"))
+            # What was found before is in the labels.
+            labels = components(labels.toDF("u", "v").unionByName(more.toDF("u", "v")))
 
     named = rows.join(labels.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = named.where(F.col("set").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"))
