@@ -24,10 +24,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap_of, cut, flag_in_bitmap
+from ._common import bitmap_of, cut, flag_in_bitmap, shuffles_freed
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -114,7 +115,17 @@ class RunLengthIndex:
                 yield live, sizes - back, self.class_least[np.searchsorted(self.class_starts, rows, side="right") - 1]
 
 
-PIECE = np.dtype([("chash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u8"), ("size", "<u4")])
+#: ``chash`` and ``check`` are two unlike 64-bit hashes of the bytes; pieces are equal where both are.
+PIECE = np.dtype([("chash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u8"), ("size", "<u4")])
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """The rows byte by byte of the record, so that the high bytes of small numbers compress."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -189,7 +200,7 @@ class Anchors:
         rows = np.empty(len(begin), PIECE)
         ids, keys = (np.array([o[c] for o in others], np.int64) for c in (0, 1))
         rows["doc"], rows["key"], rows["start"], rows["size"] = ids[doc], keys[doc], begin - starts[doc], last + self.length - begin
-        rows["chash"] = _mix((self.sums[last + self.length] - self.sums[begin]) * self.down[begin] + rows["size"].astype(U))
+        rows["check"], rows["chash"] = 0, _mix((self.sums[last + self.length] - self.sums[begin]) * self.down[begin] + rows["size"].astype(U))
         return rows, begin, last
 
     def only(self, others: list, first: Marks) -> None:
@@ -232,13 +243,16 @@ def settle_pieces(base: DataFrame, length: int, deal: int, bits: int, buckets: i
         anchors = Anchors(length, cuts_only=True)
         for texts, others in _texts(batches, 1 << 22):
             anchors.of(texts)
-            rows = anchors.pieces(others)[0]
+            rows, begin, last = anchors.pieces(others)
             if len(rows):
+                raw = memoryview(anchors.raw)
+                rows["check"] = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(begin.tolist(), (last + length).tolist(), strict=True)), U, len(rows))
                 yield _deal(rows["chash"] >> U(64 - deal), rows, None, None)
 
     def meet(t: pa.Table) -> pa.Table:
         top = t.column("bucket")[0].as_py()
-        done, first, _ = _settle(np.concatenate([np.frombuffer(x, PIECE) for x in t.column("blob").to_pylist()]))
+        rows = np.concatenate([_unpack(x, PIECE) for x in t.column("blob").to_pylist()])
+        done, first, _ = _settle(rows, rows["check"])
         part = bits >> deal
         marks = _set_bits(part, Marks.places(first["chash"], first["doc"], deal, bits) - U(top * part))
         dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
@@ -269,7 +283,8 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[t
         yield texts, others
 
 
-SEGMENT = np.dtype([("anchor", "<u8"), ("chash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u8"), ("size", "<u4")])
+#: ``anchor`` is a part of the anchor's hash: strings that differ in it share no window.
+SEGMENT = np.dtype([("anchor", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u8"), ("size", "<u4")])
 COVER = np.dtype([("key", "<i8"), ("start", "<i8"), ("size", "<i8")])
 
 
@@ -279,7 +294,7 @@ def _deal(names: np.ndarray, rows: np.ndarray, texts: np.ndarray | None, sizes:
     names, rows = names[order], rows[order]
     which, begins = np.unique(names, return_index=True)
     ends = np.append(begins[1:], len(names))[: len(begins)]
-    columns, titles = [pa.array(which.astype(np.int64)), pa.array([rows[i:j].tobytes() for i, j in zip(begins, ends, strict=True)], pa.binary())], ["bucket", "blob"]
+    columns, titles = [pa.array(which.astype(np.int64)), pa.array([_pack(rows[i:j]) for i, j in zip(begins, ends, strict=True)], pa.binary())], ["bucket", "blob"]
     if texts is not None:
         columns.append(pa.array([b"".join(texts[order[i:j]]) for i, j in zip(begins, ends, strict=True)], pa.binary()))
         titles.append("text")
@@ -297,7 +312,7 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_p
     makes its own piece of the bitmap.
     """
     shift = U(64 - (bits.bit_length() - 1))
-    first_bits, rest, buckets = U(64 - deal), U(16 - deal), 1 << deal
+    first_bits, rest, buckets = U(64 - deal), U(24 - deal), 1 << deal
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, size = Anchors(length), [], 0
@@ -322,15 +337,15 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_p
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         h = np.concatenate(held)
         held.clear()
-        # 48 bits after the bucket's are enough; an accidental repeat only costs time.
-        packed = np.ascontiguousarray(((h << U(deal)) >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-        return _deal(h >> first_bits, np.ascontiguousarray(packed).view("V6").reshape(-1), None, None)
+        # 40 bits after the bucket's are enough; an accidental repeat only costs time.
+        packed = np.ascontiguousarray(((h << U(deal)) >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        return _deal(h >> first_bits, packed.view("V5").reshape(-1), None, None)
 
     def meet(t: pa.Table) -> pa.Table:
         top = t.column("bucket")[0].as_py()
-        raw = np.frombuffer(b"".join(t.column("blob").to_pylist()), np.uint8).reshape(-1, 6)
+        raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(5, -1).T for x in t.column("blob").to_pylist()])
         h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw
+        h[:, :5] = raw
         h = np.sort(h.reshape(-1).view("<u8"))
         twice = np.unique(h[1:][h[1:] == h[:-1]])
         where = ((U(top) << first_bits) | (twice << rest)) >> shift
@@ -341,7 +356,9 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_p
     made = base.select("_b", "_order", "_key").mapInArrow(post, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet, "bucket long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     # bits / 8 bytes in all, whatever the corpus.
-    for r in made.collect():
+    with shuffles_freed(base.sparkSession):
+        pieces = made.collect()
+    for r in pieces:
         piece = np.frombuffer(r["bits"], np.uint8)
         out[r["bucket"] * len(piece) : (r["bucket"] + 1) * len(piece)] = piece
     return out
@@ -370,32 +387,32 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
             doc = anchors.doc[first]
             stop = last + length
             rows = np.empty(len(first), SEGMENT)
-            rows["anchor"], rows["doc"], rows["key"] = h, ids[doc], keys[doc]
+            rows["anchor"], rows["doc"], rows["key"] = (h & U(0xFFFFFFFF)).astype(np.uint32), ids[doc], keys[doc]
             rows["size"], rows["start"] = stop - first, first - (anchors.ends[doc] - anchors.sizes[doc])
-            rows["chash"] = _mix((anchors.sums[stop] - anchors.sums[first]) * anchors.down[first] + rows["size"].astype(U))
-            done, rows, keep = _settle(rows)
+            strings = [anchors.raw[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+            done, rows, keep = _settle(rows, _same(strings))
             if len(done):
                 dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
                 yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(dealt.num_rows, pa.binary())], names=["bucket", "blob", "text"])
-            strings = np.array([anchors.raw[i:j] for i, j in zip(first[keep], stop[keep], strict=True)] + [b""], object)[:-1]
-            yield _deal(_place(h[keep], buckets), rows, strings, rows["size"])
+            yield _deal(_place(h[keep], buckets), rows, np.array([strings[i] for i in keep] + [b""], object)[:-1], rows["size"])
 
     def meet(t: pa.Table) -> pa.Table:
         out, rows, texts = [], [], []
         for blob, text in zip(t.column("blob").to_pylist(), t.column("text").to_pylist(), strict=True):
             if text is None:
-                out.append(np.frombuffer(blob, COVER))
+                out.append(_unpack(blob, COVER))
             else:
-                rows.append(np.frombuffer(blob, SEGMENT))
+                rows.append(_unpack(blob, SEGMENT))
                 texts.append(text)
         if rows:
             found = np.concatenate(rows)
             raw, stops = b"".join(texts), np.cumsum(found["size"].astype(np.int64))
             begins = stops - found["size"]
-            done, found, keep = _settle(found)
+            same = _same([raw[i:j] for i, j in zip(begins.tolist(), stops.tolist(), strict=True)])
+            done, found, keep = _settle(found, same)
             out.append(done)
-            begins, stops = begins[keep], stops[keep]
-            names, one = np.unique(found["chash"], return_index=True)
+            begins, stops, same = begins[keep], stops[keep], same[keep]
+            one = np.unique(same, return_index=True)[1]
             # Strings alone with their anchor match no other.
             anchors, many = np.unique(found["anchor"][one], return_counts=True)
             one = one[np.isin(found["anchor"][one], anchors[many > 1])]
@@ -413,12 +430,12 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
             if len(which):
                 begin = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (places[1:] != places[:-1] + 1)))
                 end = np.append(begin[1:] - 1, len(which) - 1)
-                chash = found["chash"][one][which[begin]]
+                number = same[one][which[begin]]
                 size = places[end] + length - places[begin]
                 # Each row that holds the string gets its ranges.
-                order = np.argsort(found["chash"], kind="stable")
-                lo = np.searchsorted(found["chash"][order], chash, side="left")
-                hi = np.searchsorted(found["chash"][order], chash, side="right")
+                order = np.argsort(same, kind="stable")
+                lo = np.searchsorted(same[order], number, side="left")
+                hi = np.searchsorted(same[order], number, side="right")
                 times = hi - lo
                 at = order[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
                 more = np.empty(len(at), COVER)
@@ -431,11 +448,21 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
     return posted.groupBy("bucket").applyInArrow(meet, "bucket long, blob binary")
 
 
-def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows whose whole string a smaller document has, as ranges; the other rows; their places."""
-    order = np.lexsort((rows["doc"], rows["chash"]))
-    chash, doc = rows["chash"][order], rows["doc"][order]
-    new = np.append(True, chash[1:] != chash[:-1]) if len(rows) else np.zeros(0, bool)
+def _same(strings: list[bytes]) -> np.ndarray:
+    """A number for each string, the same for equal bytes."""
+    numbers: dict[bytes, int] = {}
+    return np.fromiter((numbers.setdefault(s, len(numbers)) for s in strings), np.int64, len(strings))
+
+
+def _settle(rows: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose whole string a smaller document has, as ranges; the other rows; their places.
+
+    Strings are equal where ``same`` is, and ``chash`` if rows have one.
+    """
+    chash = rows["chash"] if "chash" in rows.dtype.names else same
+    order = np.lexsort((rows["doc"], same, chash))
+    chash, same, doc = chash[order], same[order], rows["doc"][order]
+    new = np.append(True, (chash[1:] != chash[:-1]) | (same[1:] != same[:-1])) if len(rows) else np.zeros(0, bool)
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else doc
     later = doc > least
     gone = rows[order[later]]
@@ -477,7 +504,7 @@ def dedup_substrings(
     bitmap = spark.sparkContext.broadcast(repeated_anchors(base, length, deal, bits, first_pieces))
 
     def merge(t: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, COVER) for x in t.column("blob").to_pylist()])
+        rows = np.concatenate([_unpack(x, COVER) for x in t.column("blob").to_pylist()])
         rows = rows[np.lexsort((rows["start"], rows["key"]))]
         if not len(rows):
             return pa.table({"_k": pa.array([], pa.int64()), "_ranges": pa.array([], pa.binary())})
