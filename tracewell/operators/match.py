@@ -7,6 +7,8 @@ distinct pair of normalised names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,42 +16,59 @@ from ..functions.python import percent_udf, ratio_udf
 from ..functions.text import meaningful, norm
 from ..schemas import MATCH_FIELDS
 
-#: Least score of a match; database part that marks staging tables.
+#: Least score of a match; database part that marks staging tables; the application's name in winkeys.
 THRESHOLD = 40.0
 STAGING = "gfolyreg_work"
+APPLICATION = "olympusApplication"
 WINDATA = {"db": "a1", "table": "a2", "table_alias": "a3", "column": "a4", "alias": "a5", "file": "a6", "view": "a7"}
 WINDATA_COMPAT = WINDATA | {"db": "a3", "alias": "a6"}
 
 
-def flatten_facts(payloads: DataFrame, json: str = "payload", compat: bool = False) -> DataFrame:
-    """One row per windata item of factContainers, with its winkeys."""
+def _payload_id(by: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in by]
+
+
+def flatten_facts(payloads: DataFrame, json: str = "payload", compat: bool = False, by: Sequence[str] = (), application: str = APPLICATION, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per windata item of factContainers, with its winkeys.
+
+    ``row_no`` numbers the items of one payload.  With ``by``, columns that name
+    a payload, it is a struct of these and both positions, so that rows of many
+    payloads can be told apart.  ``application``: the name of the application in
+    winkeys; ``keep``: columns of the payload to carry along.
+    """
     names = [f"a{i}" for i in range(1, 8)]
     row = "struct<" + ", ".join(f"{n}: string" for n in names) + ", lxl: array<string>, lal: array<string>>"
-    keys = "struct<currBranch: string, id: string, version: string, olympusApplication: string, windowType: string>"
+    keys = f"struct<currBranch: string, id: string, version: string, `{application}`: string, windowType: string>"
     shape = f"struct<totalRecords: int, factContainers: array<struct<windata: array<{row}>, winkeys: {keys}>>>"
     of = WINDATA_COMPAT if compat else WINDATA
+    ids = [f"_{c}" for c in by]
+    number = F.struct(*ids, "c_no", "r_no") if by else (F.col("c_no") * 1_000_000 + F.col("r_no")).cast("long")
     return (
-        payloads.select(F.from_json(json, shape).alias("p"))
-        .select(F.posexplode("p.factContainers").alias("c_no", "c")).select("c_no", "c.winkeys", F.posexplode("c.windata").alias("r_no", "r"))
+        payloads.select(*keep, *_payload_id(by), F.from_json(json, shape).alias("p"))
+        .select(*keep, *ids, F.posexplode("p.factContainers").alias("c_no", "c")).select(*keep, *ids, "c_no", "c.winkeys", F.posexplode("c.windata").alias("r_no", "r"))
         .select(
-            (F.col("c_no") * 1_000_000 + F.col("r_no")).cast("long").alias("row_no"),
+            *keep, number.alias("row_no"),
             *[F.coalesce(F.col(f"r.{a}"), F.lit("")).alias(n) for n, a in of.items()],
-            F.coalesce("r.lal", "r.lxl", F.array().cast("array<string>")).alias("actions"), F.col("winkeys.olympusApplication").alias("application"),
+            F.coalesce("r.lal", "r.lxl", F.array().cast("array<string>")).alias("actions"), F.col("winkeys").getField(application).alias("application"),
         )
     )
 
 
-def mapper_fields(payloads: DataFrame, json: str = "payload") -> DataFrame:
+def mapper_fields(payloads: DataFrame, json: str = "payload", by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per mapped column.  ``field_no`` numbers those of one payload; with ``by`` it is a struct of these columns and the position."""
     shape = "struct<name: string, value: struct<table_columns: array<struct<column_name: string, field: string, column_type: string>>>>"
-    return payloads.select(F.from_json(json, shape).alias("p")).select(F.posexplode("p.value.table_columns").alias("field_no", "f")).select(
-        "field_no", F.coalesce("f.column_name", F.lit("")).alias("mapperColumn"), F.coalesce("f.field", F.lit("")).alias("mapperFactField")
+    ids = [f"_{c}" for c in by]
+    number = F.struct(*ids, "f_no") if by else F.col("f_no")
+    return payloads.select(*keep, *_payload_id(by), F.from_json(json, shape).alias("p")).select(*keep, *ids, F.posexplode("p.value.table_columns").alias("f_no", "f")).select(
+        *keep, number.alias("field_no"), F.coalesce("f.column_name", F.lit("")).alias("mapperColumn"), F.coalesce("f.field", F.lit("")).alias("mapperFactField")
     )
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """Rows with a database that is no staging one and a column that is no star."""
+def usable(rows: DataFrame, staging: str | None = STAGING) -> DataFrame:
+    """Rows with a database and a column that is no star; databases whose name holds ``staging`` are left out."""
     name = F.when(F.trim("alias") != "", F.col("alias")).otherwise(F.col("column"))
-    return rows.where((F.col("db") != "") & ~F.lower("db").contains(STAGING) & (F.trim(name) != "*"))
+    found = rows.where((F.col("db") != "") & (F.trim(name) != "*"))
+    return found.where(~F.lower("db").contains(staging.lower())) if staging else found
 
 
 def gate(fields: DataFrame, rows: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ def gate(fields: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def match_columns(
-    fields: DataFrame, rows: DataFrame, key: str = "", regulation: str = "", threshold: float = THRESHOLD, compat: bool = False
+    fields: DataFrame, rows: DataFrame, key: str = "", regulation: str = "", threshold: float = THRESHOLD, compat: bool = False, staging: str | None = STAGING
 ) -> DataFrame:
     """Every row at or above the threshold; else the best weak one; else a no_match row, per field.
 
@@ -83,7 +102,21 @@ def match_columns(
     to the longer compared name, then the first row.  A whole registry is matched
     at once when both sides have a column ``key``.
     """
-    return _emit(scored(fields, usable(rows), compat), fields, key, regulation, threshold)
+    return _emit(scored(fields, usable(rows, staging), compat), fields, key, regulation, threshold)
+
+
+def match_registry(
+    mappers: DataFrame, facts: DataFrame, by: Sequence[str] = ("key", "payload_no"), regulation: str = "", threshold: float = THRESHOLD, staging: str | None = STAGING
+) -> DataFrame:
+    """All mappers of a registry against the facts of the same key, straight from the payloads of both.
+
+    Both sides have ``key``, ``payload`` and the columns ``by``, which name a
+    payload within its side.  Numbers are taken over all payloads, so no field
+    meets another's rows or loses its no_match row.
+    """
+    fields = mapper_fields(mappers, by=by, keep=("key",))
+    rows = flatten_facts(facts, by=by, keep=("key",))
+    return match_columns(fields, rows, regulation=regulation, threshold=threshold, staging=staging)
 
 
 def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_suffix
 
 
-def classify(positions: DataFrame, submissions: DataFrame, recon_id: object | None = None) -> DataFrame:
+#: Reasons of a break by what they say, result columns by what they hold, and the id of a submission.
+REASONS = {
+    "equal": "value_mismatch_reghub_error", "timing": "false_break_timing_issue", "rejected": "pending_nack_resolution", "exempt": "non_reportable_review",
+    "missing": "missing_from_source", "behind": "olympus_data_issue", "unknown": "cannot_be_determined",
+}
+NAMES = {
+    "version": "olympus_version", "linked_version": "dtcc_reflected_version", "latest_version": "reghub_latest_version", "latest_status": "reghub_latest_status",
+    "reason": "field_control_break_reason",
+}
+SUBMISSION_ID = "reghub_id"
+
+
+def classify(
+    positions: DataFrame, submissions: DataFrame, recon_id: object | None = None, reasons: Mapping[str, str] = REASONS, names: Mapping[str, str] = NAMES,
+    submission_id: str = SUBMISSION_ID, order: bool = False,
+) -> DataFrame:
     """Reason of each open position's break.
 
+    ``reasons`` names the outcomes, ``names`` renames result columns, ``submission_id``
+    is the column of a submission's own id; ``order`` sorts the rows by uitid.
+
     Two left equi-joins: to the submission that the position's message names,
     and to the latest one of its uitid (reg_ranking 1).  Nothing is deduplicated,
     so keys that repeat fan out.  Whatever a missing side leaves null cannot be
@@ -22,27 +40,27 @@ def classify(positions: DataFrame, submissions: DataFrame, recon_id: object | No
     if recon_id is not None:
         open_ = open_.where(F.col("recon_id") == recon_id)
     g = open_.select("uitid", "version", "break_type", strip_suffix(F.col("tsr_msg_id")).alias("linked_id"))
-    lr = submissions.select(F.col("reghub_id").alias("linked_id"), F.col("keys_uitid").alias("uitid"), F.col("version").alias("linked_version"))
+    lr = submissions.select(F.col(submission_id).alias("linked_id"), F.col("keys_uitid").alias("uitid"), F.col("version").alias("linked_version"))
     latest = submissions.where("reg_ranking = 1").select(
-        F.col("keys_uitid").alias("uitid"), F.col("reghub_id").alias("latest_id"), F.col("version").alias("latest_version"), F.col("state_status").alias("latest_status")
+        F.col("keys_uitid").alias("uitid"), F.col(submission_id).alias("latest_id"), F.col("version").alias("latest_version"), F.col("state_status").alias("latest_status")
     )
     ahead, behind = F.col("version") > F.col("linked_version"), F.col("version") < F.col("linked_version")
     same, other = F.col("linked_id") == F.col("latest_id"), F.col("linked_id") != F.col("latest_id")
     status = F.col("latest_status")
     reason = (
-        F.when((F.col("version") == F.col("linked_version")) & same, "value_mismatch_reghub_error")
-        .when(ahead & other & (status == "ACK"), "false_break_timing_issue")
-        .when(ahead & other & (status == "NACK"), "pending_nack_resolution")
-        .when(ahead & other & (status == "NON_REPORTABLE"), "non_reportable_review")
-        .when(ahead & same, "missing_from_source")
-        .when(behind, "olympus_data_issue")
-        .otherwise("cannot_be_determined")
+        F.when((F.col("version") == F.col("linked_version")) & same, reasons["equal"])
+        .when(ahead & other & (status == "ACK"), reasons["timing"])
+        .when(ahead & other & (status == "NACK"), reasons["rejected"])
+        .when(ahead & other & (status == "NON_REPORTABLE"), reasons["exempt"])
+        .when(ahead & same, reasons["missing"])
+        .when(behind, reasons["behind"])
+        .otherwise(reasons["unknown"])
     )
-    return g.join(lr, ["linked_id", "uitid"], "left").join(latest, "uitid", "left").select(
-        "uitid", F.col("version").alias("olympus_version"), F.col("linked_version").alias("dtcc_reflected_version"),
-        F.col("latest_version").alias("reghub_latest_version"), F.col("latest_status").alias("reghub_latest_status"), "break_type",
-        reason.alias("field_control_break_reason"),
+    found = g.join(lr, ["linked_id", "uitid"], "left").join(latest, "uitid", "left").select(
+        "uitid", "version", "linked_version", "latest_version", "latest_status", "break_type", reason.alias("reason")
     )
+    found = found.orderBy("uitid") if order else found
+    return found.withColumnsRenamed(dict(names))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order_by: Sequence) -> DataFrame:
@@ -58,8 +76,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence, value, n
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order_by)))
 
 
-def extract(df: DataFrame, parameters: dict[str, Sequence]) -> DataFrame:
-    """Feeder: IN filters by column, ids joined with NVL, a CASE on the recon id."""
+def extract(df: DataFrame, parameters: Mapping[str, Sequence]) -> DataFrame:
+    """Feeder: the rows whose columns hold one of the values asked for."""
     for column, values in parameters.items():
         df = df.where(F.col(column).isin(list(values)))
     return df

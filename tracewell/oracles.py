@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions.text import IMPALA_SIGNS, SPARK_SIGNS, UNSAFE
 from .plans.corpus import TEMPLATES
+from .queries import CALL_CASES
 
 STOP = "['ID', 'IDENTIFIER', 'CODE', 'KEY', 'SK', 'NO', 'NUM']"
 
@@ -206,3 +207,33 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "edge_extract": """SELECT CASE WHEN n_nationkey % 2 = 1 THEN upper(n_name) || '__CREATE__0' WHEN i = 0 THEN upper(n_name) || '__CREATE__0' ELSE 'K' END AS query_key, 'select ' || CASE WHEN n_nationkey % 2 = 1 THEN 3 ELSE i + 1 END AS sql
 FROM nation, (VALUES (0), (1)) x(i) WHERE n_nationkey % 2 = 0 OR i = 0""",
 }
+
+
+def corpus_rows() -> str:
+    """The hand-made rows of all templates for each part, as r(rule, databaseName, tableName, columnName)."""
+    rows = ", ".join("(" + ", ".join(quoted(x) for x in (rule, r[0], r[1], r[3])) + ")" for rule, (_, found) in TEMPLATES.items() for r in found)
+    fill = lambda c: f"replace({c}, '{{k}}', p_partkey::VARCHAR)"
+    return f"""WITH r AS (SELECT rule, {fill('a')} AS "databaseName", {fill('b')} AS "tableName", {fill('c')} AS "columnName" FROM part, (VALUES {rows}) v(rule, a, b, c)) """
+
+
+def dialect_calls() -> str:
+    values = ", ".join(f"({i}, {quoted(made)})" for i, (_, made) in enumerate(CALL_CASES))
+    return f"SELECT p_partkey, replace('SELECT ' || made || ' AS c FROM t', '{{k}}', p_partkey::VARCHAR) AS spark_sql FROM part JOIN (VALUES {values}) v(i, made) ON p_partkey % {len(CALL_CASES)} = i"
+
+
+LETTERS = "translate(n_nationkey::VARCHAR, '0123456789', 'ABCDEFGHIJ')"
+ORACLES |= {
+    "lin_corpus": corpus_rows() + 'SELECT "databaseName", "tableName", count(*) AS n_rows, count(DISTINCT "columnName") AS n_columns FROM r GROUP BY 1, 2',
+    "lin_summary": corpus_rows() + 'SELECT count(*) AS n_rows, count(DISTINCT "databaseName") AS n_databases, count(DISTINCT "tableName") AS n_tables, count(DISTINCT "columnName") AS n_columns FROM r',
+    "lin_counts": corpus_rows() + """SELECT rule, count(*) AS n_rows, count(*) FILTER ("databaseName" = '') AS n_no_database FROM r GROUP BY 1""",
+    "dialect_calls": dialect_calls(),
+    "match_registry": f"""SELECT 'r' || n_regionkey AS key, p || {LETTERS} AS "mapperColumn", f AS "mapperFactField", CASE WHEN hit THEN lower(p || {LETTERS}) ELSE '' END AS "columnName",
+  CASE WHEN hit THEN '100.0%' ELSE '0.0%' END AS "matchPercentage", CASE WHEN hit THEN 'exact' ELSE 'no_match' END AS "matchType"
+FROM (SELECT *, p = 'Q' AND n_nationkey % 2 = 0 AS hit FROM nation, (VALUES ('Q', 'f'), ('W', 'g')) v(p, f))""",
+    "match_registry_summary": "SELECT n_regionkey::VARCHAR AS key, count(*) AS total, count(*) FILTER (n_nationkey % 3 <> 1) AS matched, count(*) FILTER (n_nationkey % 3 = 1) AS no_match FROM nation GROUP BY 1",
+    "src_http_guard_rows": """SELECT c_custkey, CASE WHEN ok THEN 200 ELSE 403 END::INT AS status, CASE WHEN ok THEN 'ok' END AS body
+FROM (SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 8 IN (0, 7) AS ok FROM customer)""",
+    "edge_meta": """SELECT 'K' || n_nationkey AS query_key, 'd' || n_nationkey AS source_db, 't' AS source_table, 'a' AS source_column, 'f' AS target_db, 'g' AS target_table, 'x' AS target_column, 'column' AS edge_type, 'success' AS status FROM nation
+UNION ALL SELECT 'L' || n_nationkey, 'static', 'static_value', '7', 'dummy', 'dummy_table', 'y', 'static', 'success' FROM nation WHERE n_nationkey % 3 = 0""",
+    "edge_odd": "SELECT p_partkey, p_partkey % 6 = 0 AS read FROM part",
+}

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python import statements
-from .lineage import Walker
-from .sqlparse import Node, Reader, SqlError, bare, parse, tokens
+from .lineage import MAP_CALL, Walker
+from .sqlparse import Node, Reader, bare, parse, tokens
 
 #: Fixed values.
 DUMMY_TARGET = "dummy.dummy_table"
@@ -22,9 +22,9 @@ ROWS = "ordinal int, source_db string, source_table string, source_column string
 def target_of(sql: str) -> tuple[str, str]:
     """(db, table) that the statement writes; the dummy table for a bare SELECT."""
     t = tokens(sql)
-    words = [x.upper() for _, x in t[:8]]
-    for k, w in enumerate(words):
-        if w in ("INTO", "OVERWRITE", "TABLE", "VIEW") and k + 1 < len(t) and words[k + 1] not in ("TABLE", "INTO", "IF"):
+    words = [x.upper() for _, x in t[:9]]
+    for k, w in enumerate(words[:8]):
+        if w in ("INTO", "OVERWRITE", "TABLE", "VIEW") and k + 1 < len(words) and words[k + 1] not in ("TABLE", "INTO", "IF"):
             r = Reader("")
             r.t, r.i = t, k + 1
             if r.name_ahead():
@@ -75,12 +75,12 @@ def edge_lineage(queries: DataFrame, sql: str = "sql", keep: tuple[str, ...] = (
                     status = "EMPTY"
                 elif text[0] in "{[":
                     status = "non_sql"
-                elif pd.Series([text]).str.contains(r"\b(?:map|create_map)\s*\(", case=False, regex=True)[0]:
+                elif MAP_CALL.search(text):
                     status = "map_skipped"
                 else:
                     try:
                         found = [e for s in statements(text) for e in edges_of(s)]
-                    except (SqlError, RecursionError):
+                    except Exception:  # noqa: BLE001  one text never stops the others
                         status = "lineage_failed"
                 out += [[*head, k, *e, "success"] for k, e in enumerate(dict.fromkeys(found))] or [[*head, 0, *blank, status]]
             names = [*keep, "ordinal", "source_db", "source_table", "source_column", "target_db", "target_table", "target_column", "edge_type", "status"]

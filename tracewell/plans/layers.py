@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import Walker
-from .sqlparse import Expr, Node, Source, SqlError, parse
+from .sqlparse import Expr, Node, Source, parse
 
 #: Name parts that don't tell columns apart.
 IGNORED = {"EMP", "TBL", "DIM", "FACT", "ACTV"}
@@ -155,7 +155,7 @@ def _table(queries: DataFrame, sql: str, keep: str, of, names: list[str], types:
             for key, text in f.itertuples(index=False):
                 try:
                     out += [[key, k, *r, "success"] for k, r in enumerate(of(text or ""))]
-                except (SqlError, RecursionError):
+                except Exception:  # noqa: BLE001  one text never stops the others
                     out.append([key, 0, *[0 if t == "int" else [] if t.startswith("array") else "" for t in types], "failed"])
             yield pd.DataFrame(out, columns=[keep, "ordinal", *names, "status"])
 

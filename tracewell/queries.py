@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -209,6 +209,22 @@ def lin_na_filter(spark, d):
 
 # -- functions
 
+#: Impala expressions and the Spark ones that stand for them, worked out by hand; {k} is a number.
+CALL_CASES = [
+    ("DATEADD(day, abs({k}), greatest(d, e))", "DATE_ADD(greatest(d, e), abs({k}))"),
+    ("DATESUB(f(a, b), {k})", "DATE_SUB(f(a, b), {k})"),
+    ("appx_median(g(x, {k}))", "percentile_approx(g(x, {k}), 0.5)"),
+    ("group_concat(DISTINCT h(a, b), ';')", "concat_ws(';', collect_set(h(a, b)))"),
+    ("group_concat(a || ',' || {k})", "concat_ws(',', collect_list(a || ',' || {k}))"),
+    ("group_concat(a, '(')", "concat_ws('(', collect_list(a))"),
+    ("PERCENTILE_CONT(0.{k}) WITHIN GROUP (ORDER BY abs(p)) OVER ()", "PERCENTILE(abs(p), 0.{k})"),
+    ("ndv(len(isnull(a, 'now()')))", "approx_count_distinct(length(nvl(a, 'now()')))"),
+    ("getdate() + INTERVAL {k} MONTHS", "CURRENT_TIMESTAMP + INTERVAL {k} MONTH"),
+    ("TIMESTAMP '2024-01-01 00:00:00' /*+ hint */", "TIMESTAMP('2024-01-01 00:00:00') "),
+    ("current_time() /* isnull( */", "CURRENT_TIMESTAMP /* isnull( */"),
+    ("lengthy(a, {k})", "lengthy(a, {k})"),
+]
+
 
 def _names(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_brand", F.regexp_replace(F.concat_ws("_", "p_name", "p_brand", F.lit("ID")), "[^A-Za-z0-9_ ]", "").alias("s"))
@@ -308,6 +324,15 @@ def dialect_rewrite(spark, d):
     return _sql_texts(spark, d).select("p_partkey", T.to_spark_sql(F.col("sql")).alias("spark_sql"))
 
 
+@query
+def dialect_calls(spark, d):
+    """Every rule of the rewrite once, around nested calls, quotes and comments."""
+    k = F.col("p_partkey").cast("string")
+    texts = [f"SELECT {a} AS c FROM t" for a, _ in CALL_CASES]
+    sql = F.replace(F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int")), F.lit("{k}"), k)
+    return table(spark, d, "part").select("p_partkey", T.to_spark_sql(sql).alias("spark_sql"))
+
+
 @query
 def dialect_detect(spark, d):
     p = table(spark, d, "part")
@@ -405,6 +430,34 @@ def match_mapper(spark, d):
     return match.mapper_fields(n.select(F.to_json(F.struct(F.lit("m").alias("name"), F.struct(cols.alias("table_columns")).alias("value"))).alias("payload")))
 
 
+def _letters(c) -> Column:
+    """A number spelled with letters, so that names have one token each."""
+    return F.translate(c.cast("string"), "0123456789", "ABCDEFGHIJ")
+
+
+@query
+def match_registry(spark, d):
+    """One mapper and one fact payload per nation, keyed by region; even nations' first field has its row."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("key"), F.col("n_nationkey").alias("payload_no"), F.concat(F.lit("Q"), _letters(F.col("n_nationkey"))).alias("q"), F.concat(F.lit("W"), _letters(F.col("n_nationkey"))).alias("w"))
+    of = lambda name, field: F.struct(F.col(name).alias("column_name"), F.lit(field).alias("field"), F.lit("string").alias("column_type"))
+    mapper = F.to_json(F.struct(F.lit("m").alias("name"), F.struct(F.array(of("q", "f"), of("w", "g")).alias("table_columns")).alias("value")))
+    item = lambda name: F.struct(F.lit("db").alias("a1"), F.lit("t").alias("a2"), F.lit("").alias("a3"), name.alias("a4"), F.lit("").alias("a5"))
+    row = F.when(F.col("payload_no") % 2 == 0, F.lower("q")).otherwise(F.lit("other_price"))
+    fact = F.to_json(F.struct(F.lit(1).alias("totalRecords"), F.array(F.struct(F.array(item(F.lit("total_amount")), item(row)).alias("windata"))).alias("factContainers")))
+    found = match.match_registry(n.select("key", "payload_no", mapper.alias("payload")), n.select("key", "payload_no", fact.alias("payload")), regulation="REG")
+    return found.select("key", "mapperColumn", "mapperFactField", "columnName", "matchPercentage", "matchType")
+
+
+@query
+def match_registry_summary(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("key"), F.col("n_nationkey").alias("payload_no"), F.concat(F.lit("Q"), _letters(F.col("n_nationkey"))).alias("q"))
+    mapper = F.to_json(F.struct(F.lit("m").alias("name"), F.struct(F.array(F.struct(F.col("q").alias("column_name"), F.lit("f").alias("field"), F.lit("string").alias("column_type"))).alias("table_columns")).alias("value")))
+    item = F.struct(F.lit("db").alias("a1"), F.lit("t").alias("a2"), F.lit("").alias("a3"), F.col("q").alias("a4"), F.lit("").alias("a5"))
+    fact = F.to_json(F.struct(F.lit(1).alias("totalRecords"), F.array(F.struct(F.array(item).alias("windata"))).alias("factContainers")))
+    known = n.where("payload_no % 3 <> 1")
+    return match.key_summary(match.match_registry(n.select("key", "payload_no", mapper.alias("payload")), known.select("key", "payload_no", fact.alias("payload"))))
+
+
 # -- sources and sinks
 
 
@@ -422,6 +475,16 @@ def src_http_guard(spark, d):
     return spark.createDataFrame([(u, verdict(u)) for u in urls], "url string, verdict string")
 
 
+@query
+def src_http_guard_rows(spark, d):
+    """Each refused url is a row of its own, never sent."""
+    host = F.element_at(F.array(*map(F.lit, ["a.example.org", "db.local", "x.internal", "y.localhost", "172.16.0.1", "169.254.169.254", "[::1]", "b.example.org."])), (F.col("c_custkey") % 8 + 1).cast("int"))
+    scheme = F.when(F.col("c_custkey") % 3 == 0, "http://").otherwise("https://")
+    asked = table(spark, d, "customer").select("c_custkey", F.concat(scheme, host, F.lit("/"), F.col("c_custkey").cast("string")).alias("url"))
+    got = http.fetch_rows(asked.select("url", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("payload")), send=lambda *a: (200, "ok"))
+    return got.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("c_custkey"), "status", "body")
+
+
 def _folder(spark, name: str) -> str:
     """A new folder where executors and the driver both read and write."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-")
@@ -601,6 +664,13 @@ def lin_summary(spark, d):
     return lineage.summary(lineage.deduplicate(lineage.extract_lineage(all_templates(spark, d), keep=("query_no",))))
 
 
+@query
+def lin_counts(spark, d):
+    """Rows per rule over the whole corpus of templates."""
+    rows = lineage.deduplicate(lineage.extract_lineage(all_templates(spark, d), keep=("query_no",)))
+    return rows.groupBy(F.regexp_extract("query_no", "^(.*)-", 1).alias("rule")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("databaseName") == "").alias("n_no_database"))
+
+
 @query
 def lin_titled(spark, d):
     rows = lineage.deduplicate(lineage.extract_lineage(corpus(spark, d, TEMPLATES["lin_direct"][0])))
@@ -669,6 +739,25 @@ def edge_status(spark, d):
     return edges.edge_lineage(table(spark, d, "part").select("p_partkey", sql.alias("sql")), keep=("p_partkey",)).select("p_partkey", "status", "ambiguous")
 
 
+@query
+def edge_meta(spark, d):
+    """From catalogue payloads to edges: the reader's queries go straight into the edge walker."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    first = F.concat(F.lit('{"key":"K'), k, F.lit('","sql":"INSERT INTO f.g SELECT a AS x FROM d'), k, F.lit('.t"}'))
+    other = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(',{"key":"L'), k, F.lit('","query":"SELECT 7 AS y FROM e.u"}'))).otherwise("")
+    payload = F.concat(F.lit('{"name":"n","value":{"create_query":['), first, other, F.lit("]}}"))
+    found = edges.edge_lineage(edges.payload_queries(n.select(payload.alias("payload"))), keep=("query_key",))
+    return found.select("query_key", "source_db", "source_table", "source_column", "target_db", "target_table", "target_column", "edge_type", "status")
+
+
+@query
+def edge_odd(spark, d):
+    """Texts that no reader expects give a status row and stop nothing."""
+    sql = F.element_at(F.array(*map(F.lit, ["UPDATE d1.t SET a = view WHERE c = 1", "SELECT ((((", "CREATE VIEW", "SELECT a FROM", "';--", "INSERT OVERWRITE TABLE"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return edges.edge_lineage(table(spark, d, "part").select("p_partkey", sql.alias("sql")), keep=("p_partkey",)).groupBy("p_partkey").agg((F.max("status") == "success").alias("read"))
+
+
 @query
 def edge_extract(spark, d):
     n = table(spark, d, "nation")
