@@ -1,10 +1,11 @@
 """Exact deduplication by progressive refinement: length, prefix hash, full hash.
 
-Each level only looks at rows whose key of the level before occurs more than
-once.  What one level tells the next is a bitmap of fixed size (``bitmap_bits``),
-so no level shuffles texts and nothing that grows with the data is broadcast.
-A bit set by chance only sends a unique text on to the full hash; it can never
-hide a copy.
+One pass over the texts takes lengths and prefix hashes as thin rows; prefixes
+are only counted among rows whose length occurs more than once, and a second
+pass hashes whole texts only where the prefix does, too.  What one level tells
+the next is a bitmap of fixed size (``bitmap_bits``), so no level shuffles texts
+and nothing that grows with the data is broadcast.  A bit set by chance only
+sends a unique text on to the full hash; it can never hide a copy.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap_of, flag_in_bitmap
+from ._common import bitmap_of, cut, flag_in_bitmap
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -46,26 +47,22 @@ def exact_dedup(
     are marked kept, as they are the same row.  A null id sorts after all
     others.  Other columns of ``docs`` are ignored, whatever their names.
     """
-    level = docs.select(
-        F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], normalised(F.col(text_col)).alias("_norm")
-    ).withColumn("_k1", F.xxhash64(F.length("_norm")))
-    prefix = F.xxhash64(F.length("_norm"), F.substring("_norm", 1, prefix_chars))
+    carried = [f"_c{i}" for i in range(len(carry))]
+    texts = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(a) for c, a in zip(carry, carried, strict=True)], normalised(F.col(text_col)).alias("_norm"))
+    level = texts.withColumn("_k1", F.xxhash64(F.length("_norm"))).withColumn("_k2", F.xxhash64(F.length("_norm"), F.substring("_norm", 1, prefix_chars)))
 
-    by_length = _repeated(level.select("_k1"), "_k1", bitmap_bits)
-    level = flag_in_bitmap(level, "_k1", by_length, bitmap_bits, "_s1").withColumn("_k2", F.when(F.col("_s1"), prefix))
-    by_prefix = _repeated(level.where("_s1").select("_k2"), "_k2", bitmap_bits)
-    level = flag_in_bitmap(level, "_k2", by_prefix, bitmap_bits, "_s2").withColumn("_full", F.when(F.col("_s2"), F.sha2(F.col("_norm"), 256)))
+    thin = cut(level.select("_k1", "_k2"))
+    by_length = cut(_repeated(thin, "_k1", bitmap_bits))
+    by_prefix = cut(_repeated(flag_in_bitmap(thin, "_k1", by_length, bitmap_bits, "_s1").where("_s1"), "_k2", bitmap_bits))
+    level = flag_in_bitmap(level, "_k1", by_length, bitmap_bits, "_s1")
+    level = flag_in_bitmap(level, "_k2", by_prefix, bitmap_bits, "_s2")
+    rows = cut(level.select("_id", *carried, F.when(F.col("_s1") & F.col("_s2"), F.sha2(F.col("_norm"), 256)).alias("_full")))
 
-    groups = (
-        level.where("_s2").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        .withColumnRenamed("_full", "_key")
-    )
-    # Texts met once get a key of their own, which spreads them over the join's partitions.
-    rows = level.select(
-        "_id", *[f"_c{i}" for i in range(len(carry))],
-        F.coalesce("_full", F.concat(F.lit("-"), F.coalesce(F.col("_id").cast("string"), F.lit("")))).alias("_key"),
-    )
-    out = rows.join(groups, "_key", "left")
+    # Written first, so that the join below may split a group that holds a large part of the rows.
+    groups = cut(rows.where("_full IS NOT NULL").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    alone = rows.where("_full IS NULL").drop("_full")
+    met = rows.where("_full IS NOT NULL").join(groups, "_full", "left").drop("_full")
+    out = met.unionByName(alone, allowMissingColumns=True)
     grouped = F.col("_n").isNotNull()
     keep = F.when(grouped, F.col("_keep")).otherwise(F.col("_id"))
     return out.select(
