@@ -36,6 +36,16 @@ def uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(joined), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def _spread(key: Column) -> Column:
+    """A number from 0 to 1 that grows with the key and is spread evenly whatever the qualities are, to a small factor.
+
+    The keys of quality q have the distribution 1 - exp(-q * key); this is its
+    mean over qualities between 0.1 and 1.
+    """
+    qualities = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
+    return sum((1 - F.exp(-q * key) for q in qualities), F.lit(0.0)) / float(len(qualities))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """Targets of (source, source_size) rows: shares by weight, stopped at ``most`` times the size.
 
@@ -90,7 +100,7 @@ def mix_sources(
             F.col(source_col).cast("string").alias("_source"),
             word_count(text).alias("_n"),
             (-F.ln(uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(text, F.lit(""))))) / quality_weight(text)).alias("_key"),
-        ).withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).cast("int"))
+        ).withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(_spread(F.col("_key")) * buckets)).cast("int"))
     )
     sums = cut(thin.groupBy("_source", "_bucket").agg(F.sum("_n").alias("_bn")))
     targets = source_targets(sums.groupBy("_source").agg(F.sum("_bn").alias("_size")), weights, most)
