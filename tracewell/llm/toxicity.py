@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seed words of the first two categories; the last is the label itself.
 SEEDS = {
@@ -105,11 +106,13 @@ def run_chain(x: np.ndarray, models: Sequence[np.ndarray]) -> np.ndarray:
 def train(
     docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], id_col: str, text_col: str, max_train: int, max_features: int
 ) -> tuple[dict[int, int], list[np.ndarray]]:
-    """(feature hash -> column, models) from at most ``max_train`` labelled rows, chosen by a hash of their id.
+    """(feature hash -> column, models) from at most ``max_train`` labelled ids, chosen by a hash of their id, and twice as many rows.
 
     ``categories``: (name, Boolean column over the labels' columns and ``_text``).
     """
-    chosen = labels.withColumnRenamed(id_col, "_lid").where(F.col("_lid").isNotNull()).dropDuplicates(["_lid"]).orderBy(F.xxhash64("_lid"), "_lid").limit(max_train)
+    said = [c for c in labels.columns if c not in (id_col, "_id", "_lid", "_text")]
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.struct(*said)).alias("_said"))
+    chosen = known.orderBy(F.xxhash64("_lid"), "_lid").limit(max_train).select("_lid", "_said.*")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The chosen rows are max_train at most, so they may be broadcast.
     rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select(
@@ -128,8 +131,9 @@ def train(
                 names=["o", "f", "c", "n", *[f"y{i}" for i in range(n_y)]],
             )
 
-    found = rows.mapInArrow(featurise, "o long, f binary, c binary, n long, " + ", ".join(f"y{i} int" for i in range(n_y))).collect()
-    found = sorted(found, key=lambda r: (r["o"], r["n"]))[: 2 * max_train]
+    made = rows.mapInArrow(featurise, "o long, f binary, c binary, n long, " + ", ".join(f"y{i} int" for i in range(n_y)))
+    # An id may have many rows; twice max_train rows at most are used and sent.
+    found = made.orderBy("o", "n").limit(2 * max_train).collect()
     y = np.array([[r[f"y{i}"] for i in range(n_y)] for r in found], np.int8).reshape(len(found), n_y)
     ids = [np.frombuffer(r["f"], np.uint32) for r in found]
     every, place = np.unique(np.concatenate([*ids, np.zeros(0, np.uint32)]), return_inverse=True)
@@ -174,7 +178,7 @@ def score_toxicity(
     Rejected: the last category's probability reaches ``threshold``.  Null and
     empty texts have no features and get the models' constant.  Labels that are
     null count as 0; labels of unknown documents are unused; of repeated labels
-    one is used.  Without labelled rows, or where all agree, the models are
+    the one with the greatest values is used.  Without labelled rows, or where all agree, the models are
     constants.  Repeated rows get equal scores.  Other columns are ignored.
     """
     categories = list(categories or default_categories())
@@ -198,5 +202,5 @@ def score_toxicity(
                 )
 
     passed = docs.select(F.col(text_col).cast("string").cast("binary").alias("_b"), F.col(id_col), *[F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema.fields[1:])
-    return passed.mapInArrow(score, f"{schema}, " + ", ".join(f"`p_{n}` double" for n in names) + ", rejected boolean")
+    made = [*(T.StructField(f"p_{n}", T.DoubleType()) for n in names), T.StructField("rejected", T.BooleanType())]
+    return passed.mapInArrow(score, T.StructType([*passed.schema.fields[1:], *made]))
