@@ -179,12 +179,14 @@ def write_token_blocks(
 
     Documents are range-partitioned by id and sorted in their partition; each
     partition streams through one task, block by block.  Rows that share an id
-    are ordered by text; an empty table writes an empty table.
+    are ordered by a hash of the text, then by the text; an empty table writes an empty table.
     """
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
-        .repartitionByRange(F.col("_id"), F.xxhash64("_text"))
-        .sortWithinPartitions("_id", "_text")
+        .withColumn("_th", F.xxhash64("_text"))
+        .repartitionByRange("_id", "_th")
+        .sortWithinPartitions("_id", "_th", "_text")
+        .drop("_th")
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
