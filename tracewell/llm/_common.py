@@ -26,12 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(spark))
     with shuffles_freed(spark):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)
 
 
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in this block leave no shuffle files behind."""
+    """Queries that are made and end in this block leave no shuffle files behind; the setting counts when a DataFrame is made."""
     before = spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:

@@ -357,7 +357,7 @@ def repeated_anchors(base: DataFrame, length: int, deal: int, bits: int, first_p
     out = np.zeros(bits // 8, np.uint8)
     # bits / 8 bytes in all, whatever the corpus.
     with shuffles_freed(base.sparkSession):
-        pieces = made.collect()
+        pieces = made.select("*").collect()
     for r in pieces:
         piece = np.frombuffer(r["bits"], np.uint8)
         out[r["bucket"] * len(piece) : (r["bucket"] + 1) * len(piece)] = piece
