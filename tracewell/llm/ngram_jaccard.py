@@ -52,7 +52,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -134,7 +134,7 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def differing(sketches: list[bytes], x: np.ndarray, y: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def differing(sketches: list[bytes], x: np.ndarray, y: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Least number of shingles in which the sets of the places ``x`` and ``y`` of ``sketches`` differ.
 
     The longer sketch of a pair is folded to the length of the shorter one.
@@ -168,7 +168,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             sets = [shingle_set(t.as_py(), k, hashes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
