@@ -125,9 +125,9 @@ def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFram
     has_alias = F.trim("alias") != ""
     compared = F.when(has_alias & ((F.col("second") == 0) | F.lit(compat)), F.col("alias")).otherwise(F.col("column"))
     pairs = pairs.withColumn("compared", compared).withColumn("_a", norm(F.col("mapperColumn"))).withColumn("_b", norm(F.col("compared")))
-    exact = pairs.where("_a = _b").withColumn("score", F.lit(100.0))
+    exact = pairs.where("_a = _b").withColumn("score", F.lit(100.0)).withColumn("percent", F.lit("100.0%"))
     inexact = pairs.where("_a <> _b")
-    ratios = inexact.select("_a", "_b").distinct().withColumn("score", F.least(ratio_udf("_a", "_b"), F.lit(99.0)))
+    ratios = inexact.select("_a", "_b").distinct().withColumn("score", F.least(ratio_udf("_a", "_b"), F.lit(99.0))).withColumn("percent", percent_udf("score"))
     return exact.unionByName(inexact.join(ratios, ["_a", "_b"]))
 
 
@@ -140,7 +140,7 @@ def _emit(pairs: DataFrame, fields: DataFrame, key: str, regulation: str, thresh
     found = ranked.select(
         "field_no", (F.lit(regulation) if regulation else application).alias("regulation"), name.alias("key"), "mapperColumn", "mapperFactField",
         F.col("db").alias("dbName"), F.col("table").alias("tableName"), F.col("column").alias("columnName"), F.col("alias").alias("columnAliasName"),
-        F.when(F.col("compared") == F.col("alias"), "alias").otherwise("columnName").alias("matchedOn"), percent_udf("score").alias("matchPercentage"), kind.alias("matchType"),
+        F.when(F.col("compared") == F.col("alias"), "alias").otherwise("columnName").alias("matchedOn"), F.col("percent").alias("matchPercentage"), kind.alias("matchType"),
     )
     blank = F.lit("")
     none = fields.where(F.coalesce(F.col("mapperColumn"), F.lit("")) != "").join(found.select("field_no").distinct(), "field_no", "left_anti").select(

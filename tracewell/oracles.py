@@ -236,4 +236,14 @@ FROM (SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 8 IN (0, 7) AS ok FRO
     "edge_meta": """SELECT 'K' || n_nationkey AS query_key, 'd' || n_nationkey AS source_db, 't' AS source_table, 'a' AS source_column, 'f' AS target_db, 'g' AS target_table, 'x' AS target_column, 'column' AS edge_type, 'success' AS status FROM nation
 UNION ALL SELECT 'L' || n_nationkey, 'static', 'static_value', '7', 'dummy', 'dummy_table', 'y', 'static', 'success' FROM nation WHERE n_nationkey % 3 = 0""",
     "edge_odd": "SELECT p_partkey, p_partkey % 6 = 0 AS read FROM part",
+    "src_upload": "SELECT n_nationkey::INT AS n_nationkey, n_name, NULL::VARCHAR AS error FROM nation",
+    "src_sql_file": "SELECT true AS keyed, 'SELECT a FROM d.t' || n_nationkey AS sql FROM nation",
+    "src_inline": "SELECT r_regionkey::INT AS r_regionkey, r_name, CASE WHEN r_regionkey = 0 THEN 'AFRICA' END AS wanted FROM region WHERE r_regionkey < 2",
+    "src_log_lines": """SELECT c_mktsegment AS segment, 0::BIGINT AS line_no, c_mktsegment AS line FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey), c_custkey::VARCHAR FROM customer""",
+    "lin_trace_odd": """SELECT s_suppkey AS query_no, a AS "databaseName", b AS "tableName", c AS "columnName", o AS "aliasName", r AS remarks, 'success' AS status FROM supplier JOIN
+(VALUES (0, '', '', 'a', 'o', 'invalid_table_alias'), (1, '', 's', 'q', 'o', 'via_subquery:s|subquery_output_column_not_found'), (2, '', '', 'a', 'o', 'table_name_ambiguous'), (3, 'd', 't', 'a', 'o', 'via_subquery:s'),
+(4, 'd', 't', 'a', 'b', 'via_subquery:s'), (4, 'd', 't', 'c', 'h', 'via_subquery:s'), (4, 'd', 't', 'g', 'h', 'via_subquery:s'), (5, 'd', 't', '*', '*', 'via_subquery:c'), (5, 'e', 'u', 'i', 'i', 'via_subquery:c')) v(k, a, b, c, o, r) ON s_suppkey % 6 = k""",
+    "lin_star_dive": """SELECT s_suppkey AS query_no, l AS layer_order, 's' AS "tableAliasName", c AS "columnName", a AS "aliasName", CASE l WHEN 2 THEN 'Inner Query Alias Layer' ELSE 'Subquery Layer' END AS remarks FROM supplier JOIN
+(VALUES (0, 2, '*', ''), (0, 3, 'a', 'a'), (0, 3, 'c', 'c'), (1, 2, 'cust', 'x'), (1, 3, 'cust_name', 'x')) v(k, l, c, a) ON s_suppkey % 2 = k""",
 }

@@ -21,6 +21,14 @@ def output_name(item: Expr, alias: str) -> str:
     return alias or (item.columns[0][1] if item.kind == "column" else "*" if item.kind == "star" else item.text)
 
 
+def is_star(item: Expr) -> bool:
+    return item.kind == "star" or item.kind == "column" and item.columns[0][1] == "*"
+
+
+def star_of(item: Expr) -> str:
+    return "" if item.kind == "star" else item.columns[0][0]
+
+
 def name_score(outer: str, inner: str) -> int:
     """1000 for equal names, 100 and 90 for one within the other, 50 for half of the tokens shared, else 0."""
     a, b = outer.upper(), inner.upper()
@@ -63,6 +71,9 @@ def layers_of(sql: str) -> Iterator[tuple]:
                 yield 1, db, table, place.alias if place else q, c, alias, column_remark(item, db, table, len(local))
                 if inner:
                     yield 2, "", inner.alias, inner.alias, c, alias, "Inner Query Alias Layer"
+                    if c == "*":
+                        yield from ((3, db, table, inner.alias, n, n, "Subquery Layer") for n, _ in below)
+                        continue
                     best = max(((name_score(c, n), -k, n) for k, (n, _) in enumerate(below)), default=(0, 0, ""))
                     if best[0]:
                         yield 3, db, table, inner.alias, best[2], name, "Subquery Layer"
@@ -73,7 +84,10 @@ def layers_of(sql: str) -> Iterator[tuple]:
 
 
 def trace_of(sql: str, most_depth: int = 20) -> Iterator[tuple]:
-    """(db, table, column, output, remarks): each output column followed through subqueries and CTEs to its sources."""
+    """(db, table, column, output, remarks): each output column followed through subqueries and CTEs to its sources.
+
+    A star is the outputs of what it stands for, or ``*`` of a table.
+    """
     root = parse(sql)
     ctes = {n.lower(): q for x in root.walk() for n, q in x.ctes}
 
@@ -101,17 +115,39 @@ def trace_of(sql: str, most_depth: int = 20) -> Iterator[tuple]:
             if a.op != "select":
                 continue
             hits = [e for e, al in a.items if output_name(e, al).lower() == column.lower()]
-            stars = [e for e, _ in a.items if e.kind == "star" or e.kind == "column" and e.columns[0][1] == "*"]
+            stars = [e for e, _ in a.items if is_star(e)]
             if hits:
                 for q, c in hits[0].columns:
                     yield from resolve(a, q, c, path, depth + 1)
             elif stars:
-                yield from resolve(a, "" if stars[0].kind == "star" else stars[0].columns[0][0], column, path, depth + 1)
+                yield from resolve(a, star_of(stars[0]), column, path, depth + 1)
             else:
                 yield "", s.key, column, (*path, "subquery_output_column_not_found")
 
+    def outputs(block: Node, qualifier: str, path: tuple[str, ...], depth: int) -> Iterator[tuple]:
+        for s in block.all_sources():
+            if qualifier and s.key.lower() != qualifier.lower():
+                continue
+            below = query_of(s)
+            if below is None:
+                yield s.db, s.table, "*", path, "*"
+            elif depth > most_depth:
+                yield "", s.key, "*", (*path, "subquery_resolution_depth_exceeded"), "*"
+            else:
+                through = (*path, f"via_subquery:{s.key}")
+                for a in (n for n in arms_of(below) if n.op == "select"):
+                    for item, alias in a.items:
+                        if is_star(item):
+                            yield from outputs(a, star_of(item), through, depth + 1)
+                        for q, c in [] if is_star(item) else item.columns:
+                            yield from ((*r, output_name(item, alias)) for r in resolve(a, q, c, through, depth + 1))
+
     for block in arms_of(root):
         for item, alias in block.items:
+            if is_star(item):
+                for db, table, column, path, name in outputs(block, star_of(item), (), 0):
+                    yield db, table, column, name, list(path)
+                continue
             for q, c in item.columns:
                 for db, table, column, path in resolve(block, q, c, (), 0):
                     yield db, table, column, output_name(item, alias), list(path)
@@ -164,9 +200,11 @@ def _table(queries: DataFrame, sql: str, keep: str, of, names: list[str], types:
     return queries.select(keep, sql).mapInPandas(rows, schema)
 
 
-def layered_lineage(queries: DataFrame, sql: str = "sql", keep: str = "query_id") -> DataFrame:
+def layered_lineage(queries: DataFrame, sql: str = "sql", keep: str = "query_id", in_order: bool = False) -> DataFrame:
+    """The layers of each query; ``in_order`` sorts all of them by query and layer, which takes a shuffle."""
     names = ["layer_order", "databaseName", "tableName", "tableAliasName", "columnName", "aliasName", "remarks"]
-    return _table(queries, sql, keep, layers_of, names, ["int"] + ["string"] * 6).orderBy(keep, "layer_order", "ordinal")
+    rows = _table(queries, sql, keep, layers_of, names, ["int"] + ["string"] * 6)
+    return rows.orderBy(keep, "layer_order", "ordinal") if in_order else rows
 
 
 def traced_lineage(queries: DataFrame, sql: str = "sql", keep: str = "query_id") -> DataFrame:

@@ -502,9 +502,44 @@ def src_csv(spark, d):
 def src_json_dir(spark, d):
     path = _folder(spark, "json")
     n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") == 3, "{bad").otherwise(F.to_json(F.struct("n_name"))).alias("value"))
-    n.repartition(5, "n_nationkey").select("value").write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path).select(F.when(F.try_parse_json("value").isNotNull(), F.get_json_object("value", "$.n_name")).alias("name"), F.try_parse_json("value").isNull().alias("bad"))
-    return lines
+    n.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_json_texts(spark, path, "*.txt").select(F.get_json_object("payload", "$.n_name").alias("name"), F.col("error").isNotNull().alias("bad"))
+
+
+@query
+def src_upload(spark, d):
+    """One .json file per nation."""
+    path = f"{_folder(spark, 'upload')}.json"
+    table(spark, d, "nation").select("n_nationkey", "n_name").write.option("maxRecordsPerFile", 1).json(path)
+    got = files.read_uploaded_json(spark, path)
+    return got.select(F.get_json_object("payload", "$.n_nationkey").cast("int").alias("n_nationkey"), F.get_json_object("payload", "$.n_name").alias("n_name"), "error")
+
+
+@query
+def src_sql_file(spark, d):
+    """One statement per file; the second path does not exist and is skipped."""
+    path = _folder(spark, "sql")
+    statement = F.concat(F.lit("SELECT a\nFROM d.t"), F.col("n_nationkey").cast("string"))
+    table(spark, d, "nation").select(statement.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_sql_files(spark, [path, f"{path}-none"]).select(F.col("query_key").rlike("^PART-[0-9A-F-]+-C[0-9]+$").alias("keyed"), F.rtrim(F.replace("sql", F.lit("\n"), F.lit(" "))).alias("sql"))
+
+
+@query
+def src_inline(spark, d):
+    given = files.inline(spark, [(0, "AFRICA"), (1, None), (9, "")], "r_regionkey int, wanted string")
+    return table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name").join(given, "r_regionkey")
+
+
+@query
+def src_log_lines(spark, d):
+    """Numbers and lines of one log file per customer segment."""
+    path = _folder(spark, "log")
+    c = table(spark, d, "customer").select("c_mktsegment", F.col("c_custkey").alias("k"))
+    one = c.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.concat_ws("\n", "c_mktsegment", F.array_join("ks", "\n")).alias("value"))
+    one.write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_log(spark, path)
+    name = read.where("line_no = 0").select("file", F.col("line").alias("segment"))
+    return read.join(name, "file").select("segment", "line_no", "line")
 
 
 @query
@@ -702,6 +737,27 @@ def lin_trace(spark, d):
     return layers.traced_lineage(corpus(spark, d, sql), keep="query_no").select("query_no", "databaseName", "tableName", "columnName", "aliasName", F.array_join("remarks", "|").alias("remarks"))
 
 
+@query
+def lin_trace_odd(spark, d):
+    """Columns that lead nowhere or to several places, and stars."""
+    texts = [
+        "SELECT z.a AS o FROM d.t x", "SELECT s.q AS o FROM (SELECT a AS b FROM d.t) s", "SELECT a AS o FROM d.t x, e.u y", "SELECT s.a AS o FROM (SELECT * FROM d.t) s",
+        "SELECT s.* FROM (SELECT a AS b, f(c, x.g) AS h FROM d.t x) s", "WITH c AS (SELECT x.*, y.i FROM d.t x JOIN e.u y ON x.k = y.k) SELECT * FROM c",
+    ]
+    sql = F.element_at(F.array(*map(F.lit, texts)), (F.col("s_suppkey") % len(texts) + 1).cast("int"))
+    found = layers.traced_lineage(table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_no"), sql.alias("sql")), keep="query_no")
+    return found.select("query_no", "databaseName", "tableName", "columnName", "aliasName", F.array_join("remarks", "|").alias("remarks"), "status")
+
+
+@query
+def lin_star_dive(spark, d):
+    """A star over a subquery has a row for each of its outputs; names that differ are matched by their parts."""
+    texts = ["SELECT s.* FROM (SELECT a, b AS c FROM d.t) s", "SELECT s.cust AS x FROM (SELECT cust_name FROM d.t) s"]
+    sql = F.element_at(F.array(*map(F.lit, texts)), (F.col("s_suppkey") % 2 + 1).cast("int"))
+    found = layers.layered_lineage(table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_no"), sql.alias("sql")), keep="query_no")
+    return found.where("layer_order > 1").select("query_no", "layer_order", "tableAliasName", "columnName", "aliasName", "remarks")
+
+
 @query
 def lin_map_pairs(spark, d):
     return layers.map_pairs(corpus(spark, d, "SELECT map('k{k}', a, 'l', nvl(t.b, c)) AS m FROM d.t"), keep="query_no").select("query_no", "qualifier", "columnName", "aliasName")
@@ -714,7 +770,7 @@ def lin_tables_cols(spark, d):
 
 @query
 def lin3_layers(spark, d):
-    return layers.layered_lineage(corpus(spark, d, "SELECT s.col_a AS x FROM (SELECT col_a FROM d{k}.t) s"), keep="query_no").select("query_no", "layer_order", "databaseName", "tableName", "tableAliasName", "columnName", "aliasName", "remarks")
+    return layers.layered_lineage(corpus(spark, d, "SELECT s.col_a AS x FROM (SELECT col_a FROM d{k}.t) s"), keep="query_no", in_order=True).select("query_no", "layer_order", "databaseName", "tableName", "tableAliasName", "columnName", "aliasName", "remarks")
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,9 @@ def read_rules(spark: SparkSession, path: str) -> dict[str, Any]:
     return rules_from_yaml(spark.read.text(path, wholetext=True).first()[0])
 
 
-def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, payload, error) of each *.json below ``path``, in file order; a bad file has an error and no payload."""
-    texts = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
+def read_json_texts(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(file, payload, error) of each file below ``path`` with such a name; a bad file has an error and no payload."""
+    texts = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     good = F.try_parse_json("value").isNotNull()
     return texts.select("file", F.when(good, F.col("value")).alias("payload"), F.when(~good, "invalid JSON").alias("error"))
 
@@ -68,11 +68,17 @@ def sql_dictionary(spark: SparkSession, queries: Mapping[str, str], metadata: Ma
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of text logs.
 
-    Line numbers come from the order within each file: files are read whole and
-    exploded, as a line alone does not know its place.
+    Lines end at \\n, \\r\\n or \\r.  Numbers start at 0 in each file; what follows the last line end is a line
+    only where it is not empty.  Large files are read in splits: within a split
+    the lines come in order, and what the splits before it hold is added, so no
+    file is gathered in one task.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return whole.select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
+    )
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return read.join(splits, ["file", "_start"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), "line")
 
 
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
