@@ -60,23 +60,28 @@ def _counts(text: bytes | None, features: _Features) -> tuple[Counter, int]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-3, steps: int = 120, rate: float = 0.15) -> np.ndarray:
-    """Weights, the constant last, by Adam over all rows; a constant label gives a constant model."""
+    """Weights, the constant last, by Adam over all rows; a constant label gives a constant model.
+
+    In double precision: the constant's first gradient is 0, and Adam would
+    take whole steps after single precision's rounding, that is after the order of the rows.
+    """
     positive = min(max(float(y.mean()), 1e-4), 1 - 1e-4) if len(y) else 1e-4
-    w = np.zeros(x.shape[1] + 1, np.float32)
+    w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(positive / (1 - positive))
     if not len(y) or y.min() == y.max():
-        return w
-    scale = np.append(1 / np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-3), 1).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]) * scale
-    w /= scale
+        return w.astype(np.float32)
+    rows = np.ones((len(x), len(w)))
+    rows[:, :-1] = x
+    scale = np.append(1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", rows, rows)[:-1] / len(x)), 1e-3), 1)
+    rows *= scale
     m, v = np.zeros_like(w), np.zeros_like(w)
-    shrink = np.append(np.full(len(w) - 1, ridge, np.float32), 0)
+    shrink = np.append(np.full(len(w) - 1, ridge), 0)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + shrink * w
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        g = rows.T @ (p - y) / len(y) + shrink * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = (w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w * scale
+        w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return (w * scale).astype(np.float32)
 
 
 def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
