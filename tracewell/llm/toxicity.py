@@ -65,7 +65,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-3, steps: int =
     In double precision: the constant's first gradient is 0, and Adam would
     take whole steps after single precision's rounding, that is after the order of the rows.
     """
-    positive = min(max(float(y.mean()), 1e-4), 1 - 1e-4) if len(y) else 1e-4
+    positive = min(max(float(y.mean(dtype=np.float64)), 1e-4), 1 - 1e-4) if len(y) else 1e-4
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(positive / (1 - positive))
     if not len(y) or y.min() == y.max():
