@@ -110,3 +110,30 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 
 
 ORACLES = {"op3_mix_sources": OP3, "op5_exact_dedup": OP5, "op6_url_filter": op6(), "op7_decontaminate": OP7, "op10_license_scan": op10()}
+
+#: Phrases of up to four words as rows of (lang, words); words of a piece stand in order.
+OP12 = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, generate_subscripts(p, 1) AS piece, unnest(p) AS t FROM (
+    SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)
+), words AS (SELECT lang, [x FOR x IN regexp_split_to_array(t, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words), (VALUES (1), (2), (3), (4)) s(k) WHERE i + k - 1 <= len(w)
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, x.k AS cut, array_to_string(string_split(c.phrase, ' ')[: x.k], ' ') AS lp, array_to_string(string_split(c.phrase, ' ')[x.k + 1 :], ' ') AS rp
+  FROM f c JOIN (VALUES (1), (2), (3)) x(k) ON x.k < c.k
+), scored AS (
+  SELECT c.*, l.n AS l, r.n AS r, (2000000::HUGEINT * a // (l.n + r.n)::HUGEINT)::BIGINT AS score FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT f.lang, array_to_string(string_split(f.phrase, ' ')[x.i : x.i + y.k - 1], ' ') AS phrase, max(f.n) AS most
+  FROM f, (VALUES (1), (2), (3)) x(i), (VALUES (2), (3)) y(k) WHERE y.k < f.k AND x.i + y.k - 1 <= f.k GROUP BY ALL
+), kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inner_parts p ON p.lang = w.lang AND p.phrase = w.phrase WHERE p.most IS NULL OR 100 * p.most::HUGEINT < 80 * a::HUGEINT
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+ORACLES["op12_collocations"] = OP12

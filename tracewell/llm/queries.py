@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import new_path, table
+from .bpe import decode_ids, encode_texts
+from .collocations import mine_collocations
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import scan_licenses
@@ -13,9 +15,10 @@ from .mix_sources import mix_sources
 from .ngram_jaccard import jaccard_components
 from .ppm import score_documents
 from .suffix_dedup import dedup_substrings
-from .token_file import new_path, read_token_blocks, write_token_blocks
+from .token_file import read_token_blocks, write_token_blocks
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
+from .whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    sha = lambda c: F.sha2(c, 256)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha("decoded").alias("decoded_sha256")
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op4_ngram_jaccard, op5_exact_dedup, op6_url_filter, op7_decontaminate, op8_suffix_dedup, op9_ppm_score, op10_license_scan)
+    for f in (op1_toxicity, op2_token_file, op3_mix_sources, op4_ngram_jaccard, op5_exact_dedup, op6_url_filter, op7_decontaminate, op8_suffix_dedup, op9_ppm_score, op10_license_scan, op11_bpe_codec, op12_collocations, op13_whitening)
 }

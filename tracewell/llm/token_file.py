@@ -14,7 +14,6 @@ keeps the table whole when tasks are repeated, on any store that Spark reads.
 from __future__ import annotations
 
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import shared_dir
+from ._common import new_path  # noqa: F401
 
 #: ASCII marks that may follow a word; the apostrophe may begin a word's ending and is left out.
 TAIL = ",.;:!?|&*#$%)]}"
@@ -259,7 +258,3 @@ def read_document(block: dict, place: int) -> np.ndarray:
     """Random access: the ids of document number ``place`` of a block row."""
     counts = np.frombuffer(block["id_counts"], "<u4").astype(np.int64)
     return unpack(block["payload"], block["width"], int(counts[:place].sum()), int(counts[place]))
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
