@@ -52,7 +52,7 @@ def made(seed: int, n: int):
     rows = []
     for _ in range(n):
         text = "".join(rng.choice(["new york city hall", "new york", "of the"] + words) + rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "\x0b", "!"]) for _ in range(rng.randint(0, 60)))
-        rows.append((text, rng.choice(["en", "en", "en", "de", None, "und", ""])))
+        rows.append((text, rng.choice(["en", "en", "en", "de", None, "und", "", "e\nn\x00"])))
     return rows + [(None, "en"), ("", None), (" \t ", "en"), ("one", "fr"), ("new york " * 5000, "en"), ("same same same", "en"), ("same same same", "en")]
 
 
@@ -67,7 +67,9 @@ def test_small_shards_and_a_full_bitmap_change_nothing(spark, monkeypatch):
     import tracewell.llm.collocations as c
 
     monkeypatch.setattr(c, "SHARD", 300)
-    monkeypatch.setattr(c, "ROWS", 7)
+    monkeypatch.setattr(c, "PATHS", 7)
+    monkeypatch.setattr(c, "RANGE", 50)
+    monkeypatch.setattr(c, "HEADS", 40)
     rows = made(9, 120)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     assert rows_of(mine_collocations(docs, least=4, bits=64)) == by_hand(rows, 4)

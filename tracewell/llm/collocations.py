@@ -1,9 +1,11 @@
 """Phrase collocation mining over depth-limited count tries.
 
 Each shard, a block of texts, counts phrases in a trie: a node of depth d is a
-node of depth d - 1 and one word more.  The trie is written in the order of its
-paths, under the language.  Ranges of the path order are then dealt to tasks,
-where the shards' sorted runs are merged and equal paths summed.
+node of depth d - 1 and one word more.  The trie is serialised in the order of
+its paths, which begin with the language, as blocks of neighbouring paths.  The
+first paths of all blocks show how paths are spread; ranges of the path order
+are cut from them and dealt to tasks, where the shards' sorted runs of a range
+are merged and equal paths summed.
 
 Depths are worked off in three rounds: words, pairs of words, and all longer
 phrases at once.  What was rare in a round cannot be part of a frequent phrase,
@@ -17,7 +19,8 @@ word), depth by depth.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,15 @@ from ._common import BITMAP_ROW_BITS, bitmap_of, cut, drop_path, new_path, shuff
 BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KINDS = bytes(1 if b in BLANKS else 2 if b in ENDS else 0 for b in range(256))
-#: Bytes of text in one trie, and rows of one batch of a serialised trie.
-SHARD, ROWS = 12 << 20, 50_000
-RUN = pa.schema([("lang", pa.binary()), ("path", pa.binary()), ("depth", pa.int32()), ("n", pa.int64())])
+#: Parts the language from the words of a path; no word holds it.
+UNDER = b"\n"
+#: Bytes of text in one trie, paths of one serialised block, paths of a range (before equal ones are summed).
+SHARD, PATHS, RANGE = 3 << 20, 4096, 300_000
+#: First paths of blocks from which ranges are chosen, at most, and most ranges of one round.
+HEADS, RANGES = 100_000, 50_000
+BLOCK = "head binary, paths binary, lengths binary, counts binary"
+SLICE = "range int, paths binary, lengths binary, counts binary"
+NODES = "lang binary, path binary, depth int, n long"
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -58,7 +67,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndar
 
 
 class Likely:
-    """Paths that may be frequent: a bitmap by crc32 of language and path."""
+    """Paths that may be frequent: a bitmap by their crc32."""
 
     def __init__(self, bits: int, rows: list):
         self.bits, self.map = bits, np.zeros(max(bits // 8, BITMAP_ROW_BITS // 8), np.uint8)
@@ -66,23 +75,21 @@ class Likely:
             at = r["bm_bucket"] * (BITMAP_ROW_BITS // 8)
             self.map[at : at + BITMAP_ROW_BITS // 8] = np.frombuffer(r["bm"], np.uint8)
 
-    def __call__(self, langs: pa.Array, paths: pa.Array) -> np.ndarray:
-        keys = pc.binary_join_element_wise(langs, paths, b"\x00").to_pylist()
-        at = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % self.bits
+    def __call__(self, paths: pa.Array) -> np.ndarray:
+        at = np.fromiter(map(zlib.crc32, paths.to_pylist()), np.int64, len(paths)) % self.bits
         return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def likely(spark, frequent: DataFrame, bits: int):
+def likely(frequent: DataFrame, bits: int):
     """A broadcast ``Likely`` of ``bits`` bits, whatever the number of frequent paths."""
-    hashed = frequent.select(F.crc32(F.concat("lang", F.lit(b"\x00"), "path")).alias("_h"))
-    return spark.sparkContext.broadcast(Likely(bits, bitmap_of(hashed, "_h", bits).collect()))
+    hashed = frequent.select(F.crc32(F.concat("lang", F.lit(UNDER), "path")).alias("_h"))
+    return frequent.sparkSession.sparkContext.broadcast(Likely(bits, bitmap_of(hashed, "_h", bits).collect()))
 
 
 class Trie:
-    """Counts of one shard, level by level, each node under its parent.
+    """Counts of one shard at one depth, each node known by its path.
 
     ``at``: where in the word sequence a phrase begins; ``node``: its node.
-    Levels hold the language, the path and the count of each node.
     """
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
@@ -90,8 +97,12 @@ class Trie:
         coded = langs.dictionary_encode()
         lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
         self.depth, self.at = 1, np.arange(len(self.word))
-        keys, self.node, self.counts = np.unique(lang * max(len(self.names), 1) + self.word, return_inverse=True, return_counts=True)
-        self.langs, self.paths = coded.dictionary.take(pa.array(keys // max(len(self.names), 1))), self.names.take(pa.array(keys % max(len(self.names), 1)))
+        self._grow(lang, self.word, coded.dictionary, UNDER)
+
+    def _grow(self, parent: np.ndarray, word: np.ndarray, paths: pa.Array, joint: bytes) -> None:
+        size = max(len(self.names), 1)
+        keys, self.node, self.counts = np.unique(parent * size + word, return_inverse=True, return_counts=True)
+        self.paths = pc.binary_join_element_wise(paths.take(pa.array(keys // size)), self.names.take(pa.array(keys % size)), joint)
 
     def deepen(self, keep: np.ndarray | None) -> None:
         """Go one word deeper; a phrase goes on only where its first and its last part, of this depth, are of nodes to ``keep``."""
@@ -101,28 +112,22 @@ class Trie:
         # Both the phrase that begins here and the one that begins a word later are left, and lie in one piece.
         pair = np.flatnonzero(self.at[1:] == self.at[:-1] + 1)
         last = self.at[pair] + self.depth
-        pair = pair[self.piece[self.at[pair]] == self.piece[last]]
-        at, parent = self.at[pair], self.node[pair]
-        word = self.word[at + self.depth]
-        keys, self.node, self.counts = np.unique(parent * max(len(self.names), 1) + word, return_inverse=True, return_counts=True)
-        up = pa.array(keys // max(len(self.names), 1))
-        self.langs = self.langs.take(up)
-        self.paths = pc.binary_join_element_wise(self.paths.take(up), self.names.take(pa.array(keys % max(len(self.names), 1))), b" ")
-        self.at, self.depth = at, self.depth + 1
-
-    def level(self) -> pa.Table:
-        return pa.table([self.langs, self.paths, pa.array(np.full(len(self.counts), self.depth, np.int32)), pa.array(self.counts, pa.int64())], schema=RUN)
+        inside = self.piece[self.at[pair]] == self.piece[last]
+        pair, last = pair[inside], last[inside]
+        self.at = self.at[pair]
+        self._grow(self.node[pair], self.word[last], self.paths, b" ")
+        self.depth += 1
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(texts, languages) of about ``SHARD`` bytes of whole texts."""
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, languages) of about ``most`` bytes of whole texts."""
     held, size = [], 0
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
         begin = 0
         for end, s in enumerate(sizes.tolist(), 1):
             size += s
-            if size >= SHARD:
+            if size >= most:
                 held.append(batch.slice(begin, end - begin))
                 yield _joined(held)
                 held, size, begin = [], 0, end
@@ -136,58 +141,128 @@ def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.concat_arrays([b.column(c) for b in batches]) for c in ("text", "lang"))
 
 
-def serialised(levels: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """A shard's nodes in the order of language and path."""
-    whole = pa.concat_tables(levels)
-    yield from whole.take(pc.sort_indices(whole, [("lang", "ascending"), ("path", "ascending")])).to_batches(max_chunksize=ROWS)
+def packed(paths: pa.Array) -> tuple[bytes, bytes]:
+    """The bytes of binary ``paths``, and their lengths."""
+    offsets = np.frombuffer(paths.buffers()[1], np.int32, count=len(paths) + 1, offset=4 * paths.offset)
+    return bytes(memoryview(paths.buffers()[2] or b"")[offsets[0] : offsets[-1]]), np.diff(offsets).astype("<i4").tobytes()
+
+
+def unpacked(paths: bytes, lengths: bytes) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i4"))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(paths)])
+
+
+def rows_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def serialised(paths: list[pa.Array], counts: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """A shard's nodes in the order of their paths, in blocks."""
+    paths, counts = pa.concat_arrays(paths), np.concatenate(counts)
+    order = pc.sort_indices(paths)
+    paths, counts = paths.take(order), counts[order.to_numpy()].astype("<i8")
+    for begin in range(0, len(paths), size):
+        block = paths.slice(begin, size)
+        yield rows_batch([(block[0].as_py(), *packed(block), counts[begin : begin + size].tobytes())], ["head", "paths", "lengths", "counts"], [pa.binary()] * 4)
 
 
 def counted(texts: DataFrame, depths: tuple[int, int], known) -> DataFrame:
-    """Sorted runs (lang, path, depth, n): every shard's counts of phrases of the depths asked for.
+    """Sorted runs of blocks: every shard's counts of phrases of the depths asked for.
 
     ``known``: broadcast bitmap of the frequent paths shorter than the first depth.
     """
-    first, last = depths
+    (first, last), shard, size = depths, SHARD, PATHS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, lang in shards(batches):
-            trie, levels = Trie(text, lang), []
+        for text, lang in shards(batches, shard):
+            trie, paths, counts = Trie(text, lang), [], []
             while True:
                 if trie.depth >= first:
-                    levels.append(trie.level())
+                    paths.append(trie.paths)
+                    counts.append(trie.counts)
                 if trie.depth >= last or not len(trie.node):
                     break
-                trie.deepen(known.value(trie.langs, trie.paths) if trie.depth < first else None)
-            if levels:
-                yield from serialised(levels)
+                trie.deepen(known.value(trie.paths) if trie.depth < first else None)
+            if paths:
+                yield from serialised(paths, counts, size)
+
+    return texts.mapInArrow(run, BLOCK)
+
 
-    return texts.mapInArrow(run, "lang binary, path binary, depth int, n long")
+def range_bounds(runs: DataFrame) -> list[bytes]:
+    """Paths at which ranges of about ``RANGE`` paths end, from the first paths of blocks (of ``HEADS`` of them at most)."""
+    blocks, paths = runs.agg(F.count(F.lit(1)), F.sum(F.octet_length("lengths") / 4)).first()
+    ranges = min(RANGES, -(-int(paths or 0) // RANGE))
+    if ranges < 2:
+        return []
+    heads = runs.select("head") if blocks <= HEADS else runs.select("head").sample(HEADS / blocks / 1.1, seed=1)
+    found = sorted(bytes(r["head"]) for r in heads.collect())
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)})
 
 
-def merged(runs: DataFrame, least: int) -> DataFrame:
-    """Equal paths of all runs summed, of which those with at least ``least`` are left.
+def merged(runs: DataFrame, least: int, totals: bool) -> DataFrame:
+    """Equal paths of all runs summed: (lang, path, depth, n) of those with at least ``least``.
 
-    Spark deals ranges of the path order and merges the runs' sorted parts; equal
-    paths are then neighbours, and a task holds one batch and one open path.
+    Runs are cut at the bounds of ranges, ranges dealt to tasks, and the sorted
+    parts of a range merged as they come: a task holds the different paths of one
+    range and a buffer.  ``totals``: also rows of depth 0 with the sums of all
+    paths of a language within a range.
     """
+    bounds, most = range_bounds(runs), RANGE
+
+    def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in map(dict, (zip(batch.schema.names, [c[j].as_py() for c in batch.columns], strict=True) for j in range(batch.num_rows))):
+                paths, size = unpacked(r["paths"], r["lengths"]), len(r["lengths"]) // 4
+                begin, k = 0, bisect_right(bounds, r["head"])
+                while begin < size:
+                    end = size if k == len(bounds) else bisect_left(range(size), bounds[k], lo=begin, key=lambda i: paths[i].as_py())
+                    if end > begin:
+                        rows.append((k, *packed(paths.slice(begin, end - begin)), r["counts"][8 * begin : 8 * end]))
+                    begin, k = end, k + 1
+            yield rows_batch(rows, ["range", "paths", "lengths", "counts"], [pa.int32()] + [pa.binary()] * 3)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
+        now, held = None, []
+
+        def fold() -> None:
+            paths, counts = pa.concat_arrays([p for p, _ in held]), np.concatenate([c for _, c in held])
+            order = pc.sort_indices(paths)
+            paths, counts = paths.take(order), counts[order.to_numpy()]
+            begins = np.concatenate([[0], np.flatnonzero(pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False)) + 1])
+            held[:] = [(paths.take(pa.array(begins)), np.add.reduceat(counts, begins))]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            fold()
+            paths, counts = held.pop()
+            often = pa.array(counts >= least)
+            rows = [(*p.rpartition(UNDER)[::2], n) for p, n in zip(paths.filter(often).to_pylist(), counts[counts >= least].tolist(), strict=True)]
+            out = [(lang, path, path.count(b" ") + 1, n) for lang, path, n in rows]
+            if totals:
+                sums: dict[bytes, int] = {}
+                for p, n in zip(paths.to_pylist(), counts.tolist(), strict=True):
+                    lang = p[: p.rindex(UNDER)]
+                    sums[lang] = sums.get(lang, 0) + n
+                out += [(lang, b"", 0, n) for lang, n in sums.items()]
+            for begin in range(0, len(out), 10_000):
+                yield rows_batch(out[begin : begin + 10_000], ["lang", "path", "depth", "n"], [pa.binary(), pa.binary(), pa.int32(), pa.int64()])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
-            table = table.combine_chunks()
-            same = pc.and_(*[pc.equal(table[c][1:], table[c][:-1]) for c in ("lang", "path")]).to_numpy()
-            begins = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            sums = np.add.reduceat(table["n"].to_numpy(), begins)
-            whole = table.take(pa.array(begins)).set_column(3, RUN.field("n"), pa.array(sums, pa.int64()))
-            carried = whole.slice(whole.num_rows - 1).combine_chunks()
-            yield from whole.slice(0, whole.num_rows - 1).filter(pc.field("n") >= least).to_batches()
-        if carried is not None:
-            yield from carried.filter(pc.field("n") >= least).to_batches()
-
-    return runs.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(add, "lang binary, path binary, depth int, n long")
+            for k, paths, lengths, counts in ([c[j].as_py() for c in batch.columns] for j in range(batch.num_rows)):
+                if k != now:
+                    if held:
+                        yield from close()
+                    now, buffered = k, 0
+                held.append((unpacked(paths, lengths), np.frombuffer(counts, "<i8")))
+                buffered += len(lengths) // 4
+                if buffered > most:
+                    fold()
+                    buffered = 0
+        if held:
+            yield from close()
+
+    return runs.mapInArrow(cut_runs, SLICE).repartition("range").sortWithinPartitions("range").mapInArrow(add, NODES)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -200,19 +275,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def frequent_phrases(texts: DataFrame, longest: int, least: int, bits: int) -> tuple[list[DataFrame], DataFrame]:
     """Tables of frequent nodes per depth, (lang, path, depth, n), and (lang, n) of all words."""
-    spark = texts.sparkSession
     found, totals, known, shorter = [], None, None, None
     for depths in [(1, 1), (2, min(2, longest)), (3, longest)]:
         if depths[0] > depths[1]:
             break
         runs, path = written(counted(texts, depths, known), "tries")
+        nodes = cut(merged(runs, least, totals is None))
+        drop_path(texts.sparkSession, path)
         if totals is None:
-            totals = cut(runs.groupBy("lang").agg(F.sum("n").alias("n")))
-        nodes = cut(merged(runs, least))
-        drop_path(spark, path)
+            totals, nodes = nodes.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("n")), nodes.where("depth > 0")
         found += [nodes.where(F.col("depth") == d) for d in range(depths[0], depths[1] + 1)]
         shorter = nodes if shorter is None else shorter.unionByName(nodes)
-        known = likely(spark, shorter, bits) if depths[1] < longest else None
+        known = likely(shorter, bits) if depths[1] < longest else None
     return found, totals
 
 

@@ -74,8 +74,7 @@ def matrix(lists: pa.Array, dims: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.int64) - SHIFT
 
 
-def blocks(batches: Iterator[pa.RecordBatch], dims: int, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    step = max(1, BLOCK // dims)
+def blocks(batches: Iterator[pa.RecordBatch], dims: int, column: str, step: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         for begin in range(0, batch.num_rows, step):
             part = batch.slice(begin, step)
@@ -103,10 +102,11 @@ def _merge_summaries(table: pa.Table) -> pa.RecordBatch:
 
 def decompose(vectors: DataFrame, dims: int, column: str = "_x") -> Summary | None:
     """The summary of all ``vectors``; None without any."""
+    step = max(1, BLOCK // dims)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for _, rows in blocks(batches, dims, column):
+        for _, rows in blocks(batches, dims, column, step):
             one = Summary.of(rows)
             held = one if held is None else held.merge(one)
         if held is not None:
@@ -142,10 +142,11 @@ def _merge_moments(table: pa.Table) -> pa.RecordBatch:
 
 def identity_error(vectors: DataFrame, dims: int, mean: np.ndarray, weights: np.ndarray, column: str = "_x") -> float:
     """Largest absolute entry of the covariance of the whitened vectors minus the identity, taken over all of them."""
+    step = max(1, BLOCK // dims)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for _, rows in blocks(batches, dims, column):
+        for _, rows in blocks(batches, dims, column, step):
             made = (rows.astype(float) - mean) @ weights
             middle = made.mean(axis=0)
             made -= middle
@@ -206,8 +207,10 @@ def whiten(rows: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id
     explained = whole.s[:count] ** 2 / (whole.s**2).sum()
     error = identity_error(fit, dims, mean, weights)
 
+    step = max(1, BLOCK // dims)
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in blocks(batches, dims, "_x"):
+        for part, x in blocks(batches, dims, "_x", step):
             size = len(x) * count
             each = pa.array(np.repeat(np.arange(len(x)), count))
             made = ((x.astype(float) - mean) @ weights).reshape(-1)
