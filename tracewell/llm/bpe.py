@@ -29,7 +29,21 @@ NONE = np.iinfo(np.int64).max
 #: Most symbols of a word that is worked on together with others.
 WIDE = 64
 #: Distinct pieces and words that a worker keeps, and bytes of text it encodes at a time.
-MOST_PIECES, STEP = 400_000, 4 << 20
+MOST_PIECES, STEP = 200_000, 2 << 20
+#: Ids that are decoded at a time.
+IDS = 1 << 19
+#: A splitting into words whose outcome for ASCII letters with marks behind is known, and those marks.
+LETTERS_AND_MARKS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MARKS = b",.;:!?)]}"
 
 
 class SegmentTreeBpe:
@@ -69,8 +83,8 @@ class SegmentTreeBpe:
         at[at == len(self.keys)] = 0
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.ranks[at] * width + place, NONE)
 
-    def encode_rows(self, words: Sequence[list[int]], width: int) -> list[list[int]]:
-        """Ids of many words of at most ``width`` symbols, one row of a tree each."""
+    def encode_rows(self, words: Sequence[list[int]], width: int) -> list[bytes]:
+        """Ids (int32 bytes) of many words of at most ``width`` symbols, one row of a tree each."""
         n, places = len(words), np.arange(width)
         lengths = np.fromiter(map(len, words), np.int64, n)
         sym = np.full((n, width), -1, np.int64)
@@ -111,12 +125,9 @@ class SegmentTreeBpe:
                 put(r, p, self.pair_leaves(sym[r, p], made[has], p, width))
             rows = rows[tree[rows, 1] < NONE]
         kept = sym >= 0
-        flat, counts = sym[kept].tolist(), kept.sum(axis=1).tolist()
-        out, begin = [], 0
-        for c in counts:
-            out.append(flat[begin : begin + c])
-            begin += c
-        return out
+        flat = sym[kept].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_long(self, word: list[int]) -> list[int]:
         """Ids of one word of any length over the same tree, held in a list."""
@@ -158,16 +169,19 @@ class SegmentTreeBpe:
                 put(before[at], leaf(before[at], at))
         return [s for s in sym if s >= 0]
 
-    def encode_words(self, words: Sequence[str]) -> list[list[int]]:
-        """Ids of each word."""
-        out = [self.symbols(w) for w in words]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
+    def encode_words(self, words: Sequence[str]) -> list[bytes]:
+        """Ids (int32 bytes) of each word."""
+        symbols = [self.symbols(w) for w in words]
+        lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
+        out = [b""] * len(words)
+        for k in np.flatnonzero(lengths == 1):
+            out[k] = np.array(symbols[k], np.int32).tobytes()
         for k in np.flatnonzero(lengths > WIDE):
-            out[k] = self.encode_long(out[k])
+            out[k] = np.array(self.encode_long(symbols[k]), np.int32).tobytes()
         width = 2
         while width <= WIDE:
             rows = np.flatnonzero((lengths <= width) & (lengths > (width // 2 if width > 2 else 1)))
-            for k, ids in zip(rows, self.encode_rows([out[k] for k in rows], width) if len(rows) else [], strict=True):
+            for k, ids in zip(rows, self.encode_rows([symbols[k] for k in rows], width) if len(rows) else [], strict=True):
                 out[k] = ids
             width *= 2
         return out
@@ -195,7 +209,8 @@ class TextEncoder:
         self.normalise = library.normalizer.normalize_str if library.normalizer else str
         self.split = library.pre_tokenizer.pre_tokenize_str if library.pre_tokenizer else lambda s: [(s, None)] * bool(s)
         self.parted = [w for w, _ in self.split(self.normalise("a \t\n\x0b\x0c\r b"))] == ["a", "b"] and not any(re.search(r"\s", a) for a in self.added)
-        self.words: dict[str, list[int]] = {}
+        self.simple = self.parted and all(spec.get(k) == v for k, v in LETTERS_AND_MARKS.items())
+        self.words: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -203,24 +218,31 @@ class TextEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts = self.counts = np.zeros(0, np.int64)
 
-    def pieces_ids(self, pieces: Sequence[bytes]) -> list[list[int]]:
-        """Ids of each piece, its words' ids one after the other."""
-        found: list[list[str | int]] = []
-        for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            parts = self.marks.split(text) if self.marks else [text]
-            found.append([w for part in parts if part for w in ([self.added[part]] if part in self.added else [w for w, _ in self.split(self.normalise(part))])])
+    def words_of(self, piece: bytes) -> list[str | int]:
+        """A piece's words, and the ids of its marked tokens, in order."""
+        if self.simple:
+            core = piece.rstrip(MARKS)
+            if core.isalpha():  # ASCII letters only
+                word = core.decode().lower()
+                return [word] if len(core) == len(piece) else [word, piece[len(core) :].decode()]
+        text = piece.decode("utf-8", "replace")
+        parts = self.marks.split(text) if self.marks else [text]
+        return [w for part in parts if part for w in ([self.added[part]] if part in self.added else [w for w, _ in self.split(self.normalise(part))])]
+
+    def pieces_ids(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """Ids (int32 bytes) of each piece, its words' ids one after the other."""
+        found = [self.words_of(p) for p in pieces]
         if len(self.words) > MOST_PIECES:
             self.words.clear()
-        new = list(dict.fromkeys(w for ws in found for w in ws if isinstance(w, str) and w not in self.words))
+        new = list(dict.fromkeys(w for ws in found for w in ws if w.__class__ is str and w not in self.words))
         self.words.update(zip(new, self.model.encode_words(new), strict=True))
         words = self.words
-        return [[i for w in ws for i in ((w,) if isinstance(w, int) else words[w])] for ws in found]
+        return [b"".join([w.to_bytes(4, "little") if w.__class__ is int else words[w] for w in ws]) for ws in found]
 
     def _learn(self, new: Sequence[bytes]) -> None:
         encoded = self.pieces_ids(new)
-        counts = np.fromiter(map(len, encoded), np.int64, len(new))
-        ids = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
+        counts = np.fromiter(map(len, encoded), np.int64, len(new)) // 4
+        ids = np.frombuffer(b"".join(encoded), "<i4")
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -232,8 +254,7 @@ class TextEncoder:
         """All ids of all texts, one after the other, and the number of ids up to each text's end, 0 first."""
         if not self.parted:
             encoded = self.pieces_ids(texts)
-            ends = np.cumsum([0, *map(len, encoded)])
-            return np.fromiter(chain.from_iterable(encoded), np.int32, int(ends[-1])), ends
+            return np.frombuffer(b"".join(encoded), "<i4"), np.cumsum([0, *map(len, encoded)]) // 4
         if len(self.index) > MOST_PIECES:
             self.clear()
         index, begin, places, n_pieces = self.index, len(self.index), [], np.zeros(len(texts), np.int64)
@@ -309,21 +330,27 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", te
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, join = _tokens(tokenizer_path)
         for batch in batches:
-            lists = batch.columns[place]
-            flat = pc.list_flatten(lists)
-            row = pc.list_parent_indices(lists)
-            known = pc.and_kleene(pc.is_valid(flat), pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))))
-            known = pc.fill_null(known, False)
-            taken = tokens.take(flat.filter(known))
-            has = pc.is_valid(taken)
-            row = row.filter(known).filter(has).to_numpy(zero_copy_only=False)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            joined = join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.filter(has)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=names)
+            sizes = pc.fill_null(pc.list_value_length(batch.columns[place]), 0).to_numpy(zero_copy_only=False)
+            step = np.cumsum(sizes, dtype=np.int64) // IDS
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*part.columns, join(_known(part.columns[place], tokens))], names=names)
 
     return inner.mapInArrow(decode, schema).toDF(*encoded.columns, text_col)
 
 
+def _known(lists: pa.Array, tokens: pa.Array) -> pa.ListArray:
+    """The tokens of lists of ids, without those that no token has."""
+    flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    known = pc.fill_null(pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
+    taken, row = tokens.take(flat.filter(known)), row.filter(known)
+    has = pc.is_valid(taken)
+    ends = np.searchsorted(row.filter(has).to_numpy(zero_copy_only=False), np.arange(len(lists) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.filter(has))
+
+
 _TOKENS: dict[str, tuple] = {}
 
 
