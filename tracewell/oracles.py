@@ -37,12 +37,15 @@ FROM supplier, (VALUES {rows}) v(a, b, c, d, e, f)"""
 NAMES = "SELECT p_partkey, p_brand, regexp_replace(concat_ws('_', p_name, p_brand, 'ID'), '[^A-Za-z0-9_ ]', '', 'g') AS s FROM part"
 DOTTED = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a.b.' || p_brand WHEN 1 THEN 'a.' || p_brand ELSE p_brand END AS s FROM part"
 SQL_TEXT = """SELECT p_partkey, 'SELECT ndv(a), len(b) -- note ' || p_partkey || chr(10) || 'FROM t /* x' || chr(10) || 'y */ WHERE d = ''#START_DATE#'' AND now() > DATE ''2024-01-01'';  SELECT isnull(c, '';'') FROM u OFFSET 5 ROWS' AS sql FROM part"""
-LOG = r"""
+#: Whole document lines with marks and blank lines between; what follows has them as n(file, line_no, line).
+LOG_LINES = r"""
 WITH l AS (
-  SELECT doc_id AS file, unnest(generate_series(0, len(x) - 1)) AS line_no, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
-), n AS (
-  SELECT file, line_no, CASE line_no % 7 WHEN 1 THEN 'ERROR at ' || substr(t, 1, 10) WHEN 3 THEN 'Caused by: x' || line_no WHEN 5 THEN '' ELSE substr(t, 1, 20) END AS line FROM l
-), s AS (
+  SELECT doc_id AS file, unnest(generate_series(0, len(x) - 1)) AS p, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), m AS (
+  SELECT file, 2 * p AS line_no, CASE p % 7 WHEN 1 THEN 'ERROR at ' || t WHEN 3 THEN 'Caused by: x' || p || ' ' || t ELSE t END AS line FROM l
+  UNION ALL SELECT file, 2 * p + 1, '' FROM l WHERE p % 7 = 5
+)"""
+LOG_BLOCKS = r""", s AS (
   SELECT *, regexp_matches(line, 'Exception|ERROR|Caused by') AS start, coalesce(lag(trim(line) = '') OVER (PARTITION BY file ORDER BY line_no), false) AS after FROM n
 ), g AS (
   SELECT *, sum((start OR after)::INT) OVER (PARTITION BY file ORDER BY line_no) AS seg FROM s
@@ -50,14 +53,9 @@ WITH l AS (
   SELECT *, first_value(start) OVER (PARTITION BY file, seg ORDER BY line_no) AS inside FROM g
 ), b AS (SELECT file, dense_rank() OVER (PARTITION BY file ORDER BY seg) AS block_id, line_no, line FROM i WHERE inside)
 """
-#: The same over whole lines.
-LOG_WHOLE = r"""
-WITH l AS (
-  SELECT doc_id AS file, unnest(generate_series(0, len(x) - 1)) AS p, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
-), n AS (
-  SELECT file, 2 * p AS line_no, CASE p % 7 WHEN 1 THEN 'ERROR at ' || t WHEN 3 THEN 'Caused by: x' || p || ' ' || t ELSE t END AS line FROM l
-  UNION ALL SELECT file, 2 * p + 1, '' FROM l WHERE p % 7 = 5
-""" + LOG[LOG.index("), s AS (") :]
+LOG = LOG_LINES + ", n AS (SELECT * FROM m)" + LOG_BLOCKS
+LOG_ONE = LOG_LINES + ", n AS (SELECT 'all' AS file, file * 1000000 + line_no AS line_no, line FROM m)" + LOG_BLOCKS
+ROOT = r"coalesce(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), 'Caused by:\s+([^\n]*)', 1)[-1], 'NO ROOT CAUSE FOUND') AS root_cause"
 MATCH = """
 WITH f AS (
   SELECT n_nationkey AS field_no, 'brand_' || ['name', 'type', 'key', 'size', 'zone'][n_nationkey % 5 + 1] || '_' || n_name AS m, 'f' || n_nationkey AS fact FROM nation
@@ -174,12 +172,12 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "src_http": """SELECT 'https://h/' || n_name AS url, CASE WHEN n_name[-1] IN ('A', 'E', 'I', 'O', 'U') THEN 200 ELSE 404 END::INT AS status,
   CASE WHEN n_name[-1] IN ('A', 'E', 'I', 'O', 'U') THEN '{"u": "' || n_name[-1] || '"}' END AS body, CASE WHEN n_name[-1] NOT IN ('A', 'E', 'I', 'O', 'U') THEN 'none' END AS error FROM nation""",
     "snk_json": """SELECT true AS success, 'ok' AS message, (SELECT count(*) FROM region) AS total_records, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS record FROM region""",
-    "log_blocks": LOG + "SELECT file, block_id, line_no FROM b",
-    "log_root": LOG + r"SELECT file, block_id, coalesce(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), 'Caused by:\s+([^\n]*)', 1)[-1], 'NO ROOT CAUSE FOUND') AS root_cause FROM b GROUP BY file, block_id",
-    "log_count": LOG + "SELECT file, count(DISTINCT block_id) AS n_blocks FROM b GROUP BY file",
-    "log_blocks_whole": LOG_WHOLE + "SELECT file, block_id, line_no FROM b",
-    "log_root_whole": LOG_WHOLE + r"SELECT file, block_id, coalesce(regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), 'Caused by:\s+([^\n]*)', 1)[-1], 'NO ROOT CAUSE FOUND') AS root_cause FROM b GROUP BY file, block_id",
-    "log_count_whole": LOG_WHOLE + "SELECT file, count(DISTINCT block_id) AS n_blocks FROM b GROUP BY file",
+    "log_blocks_whole": LOG + "SELECT file, block_id, line_no FROM b",
+    "log_root_whole": LOG + f"SELECT file, block_id, {ROOT} FROM b GROUP BY file, block_id",
+    "log_count_whole": LOG + "SELECT file, count(DISTINCT block_id) AS n_blocks FROM b GROUP BY file",
+    "log_stream": LOG + f"SELECT file, block_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines, {ROOT}, substr(string_agg(line, chr(10) ORDER BY line_no), 1, 5000) AS trace FROM b GROUP BY file, block_id",
+    "log_one_file": LOG_ONE + "SELECT block_id, line_no FROM b",
+    "log_one_file_root": LOG_ONE + f"SELECT block_id, {ROOT}, substr(string_agg(line, chr(10) ORDER BY line_no), 1, 5000) AS trace FROM b GROUP BY block_id",
     "nosql_mongo": """SELECT n_nationkey, o AS ordinal, n_name AS "tableName", c AS "columnName", a AS "aliasName", r AS remark FROM nation JOIN
 (VALUES (0, 0, 'a', '', 'Mongo Query'), (0, 1, 'b', 'b', 'Mongo Query'), (1, 0, '*', '', 'Mongo query'), (2, 0, 'x', '', 'project_included'), (2, 1, '$lookup->o', 'z', 'lookup_join')) v(k, o, c, a, r) ON n_nationkey % 3 = k""",
     "nosql_elastic": """SELECT n_nationkey, o AS ordinal, CASE o WHEN 0 THEN 'f' || n_nationkey ELSE c END AS "columnName", t AS clause FROM nation, (VALUES (0, '', 'match'), (1, 'g', 'range'), (2, 'h', 'exists'), (3, 't', 'term')) v(o, c, t)""",

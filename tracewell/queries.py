@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,6 +16,7 @@ from .operators import dq, logs, match, metadata, nosql, recon
 from .plans import edges, layers, lineage
 from .plans.corpus import TEMPLATES
 from .sources import files, http, sinks
+from .streaming import blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -487,7 +489,10 @@ def src_http_guard_rows(spark, d):
 
 def _folder(spark, name: str) -> str:
     """A new folder where executors and the driver both read and write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="tracewell-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -598,50 +603,58 @@ def snk_json(spark, d):
 # -- logs and no-SQL payloads
 
 
-def _log_lines(spark, d) -> DataFrame:
+def _whole_log_lines(spark, d) -> DataFrame:
+    """The document lines in full, some behind a marker, with a blank line after each sixth of seven."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "t"))
-    return docs.select(
-        F.col("doc_id").alias("file"), F.col("p").cast("long").alias("line_no"),
-        F.when(F.col("p") % 7 == 1, F.concat(F.lit("ERROR at "), F.substring("t", 1, 10))).when(F.col("p") % 7 == 3, F.concat(F.lit("Caused by: x"), F.col("p").cast("string"))).when(F.col("p") % 7 == 5, "").otherwise(F.substring("t", 1, 20)).alias("line"),
-    )
+    line = F.when(F.col("p") % 7 == 1, F.concat(F.lit("ERROR at "), "t")).when(F.col("p") % 7 == 3, F.concat(F.lit("Caused by: x"), F.col("p").cast("string"), F.lit(" "), "t")).otherwise(F.col("t"))
+    lines = F.when(F.col("p") % 7 == 5, F.array(line, F.lit(""))).otherwise(F.array(line))
+    return docs.select(F.col("doc_id").alias("file"), "p", F.posexplode(lines).alias("k", "line")).select("file", (F.col("p").cast("long") * 2 + F.col("k")).alias("line_no"), "line")
 
 
 @query
-def log_blocks(spark, d):
-    return logs.error_blocks(_log_lines(spark, d)).select("file", F.col("block_id").cast("long").alias("block_id"), "line_no")
+def log_blocks_whole(spark, d):
+    return logs.error_blocks(_whole_log_lines(spark, d)).select("file", "block_id", "line_no")
 
 
 @query
-def log_root(spark, d):
-    return logs.root_causes(logs.error_blocks(_log_lines(spark, d))).select("file", F.col("block_id").cast("long").alias("block_id"), "root_cause")
+def log_root_whole(spark, d):
+    return logs.root_causes(logs.error_blocks(_whole_log_lines(spark, d))).select("file", "block_id", "root_cause")
 
 
 @query
-def log_count(spark, d):
-    return logs.block_count(logs.error_blocks(_log_lines(spark, d)))
+def log_count_whole(spark, d):
+    return logs.block_count(logs.error_blocks(_whole_log_lines(spark, d)))
 
 
-def _whole_log_lines(spark, d) -> DataFrame:
-    """The document lines in full, some behind a marker, with a blank line after each sixth of seven."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "t"))
-    line = F.when(F.col("p") % 7 == 1, F.concat(F.lit("ERROR at "), "t")).when(F.col("p") % 7 == 3, F.concat(F.lit("Caused by: x"), F.col("p").cast("string"), F.lit(" "), "t")).otherwise(F.col("t"))
-    lines = F.when(F.col("p") % 7 == 5, F.array(line, F.lit(""))).otherwise(F.array(line))
-    return docs.select(F.col("doc_id").alias("file"), "p", F.posexplode(lines).alias("k", "line")).select("file", (F.col("p").cast("long") * 2 + F.col("k")).alias("line_no"), "line")
+def _one_log(spark, d) -> DataFrame:
+    """All document lines as one log file, numbered with gaps between documents."""
+    lines = _whole_log_lines(spark, d)
+    return lines.select(F.lit("all").alias("file"), (F.col("file") * 1_000_000 + F.col("line_no")).alias("line_no"), "line")
 
 
 @query
-def log_blocks_whole(spark, d):
-    return logs.error_blocks(_whole_log_lines(spark, d)).select("file", F.col("block_id").cast("long").alias("block_id"), "line_no")
+def log_one_file(spark, d):
+    """Blocks of one log as long as the corpus, running on from document to document."""
+    return logs.error_blocks(_one_log(spark, d)).select("block_id", "line_no")
 
 
 @query
-def log_root_whole(spark, d):
-    return logs.root_causes(logs.error_blocks(_whole_log_lines(spark, d))).select("file", F.col("block_id").cast("long").alias("block_id"), "root_cause")
+def log_one_file_root(spark, d):
+    causes = logs.root_causes(logs.error_blocks(_one_log(spark, d)))
+    return causes.select("block_id", "root_cause", "trace")
 
 
 @query
-def log_count_whole(spark, d):
-    return logs.block_count(logs.error_blocks(_whole_log_lines(spark, d)))
+def log_stream(spark, d):
+    """Blocks of logs whose lines come in three batches, the last with the ends of all files."""
+    arrived, found, checkpoint = (_folder(spark, n) for n in ("log-lines", "log-blocks", "log-state"))
+    lines = _whole_log_lines(spark, d)
+    ends = lines.groupBy("file").agg((F.max("line_no") + 1).alias("line_no")).withColumn("line", F.lit(None).cast("string"))
+    for low, high in ((0, 20), (20, 60), (60, None)):
+        part = lines.where((F.col("line_no") >= low) & (F.lit(high is None) | (F.col("line_no") < F.lit(high))))
+        (part if high else part.unionByName(ends)).write.mode("append").parquet(arrived)
+        blocks.append_blocks(spark.readStream.schema(lines.schema).parquet(arrived), found, checkpoint)
+    return spark.read.parquet(found)
 
 
 @query
