@@ -1,8 +1,11 @@
 """Fuzzy matching of mapper fields to lineage rows.
 
 The all-pairs comparison becomes an equi-join on meaningful tokens: a pair
-passes the gate exactly when it shares one.  Ratios are computed once per
-distinct pair of normalised names.
+passes the gate exactly when it shares one.  What is joined are distinct names,
+not rows; each pair of names comes out of the join once, at its least shared
+token, and tokens that very many names have are split.  Letter counts bound the
+ratio from above, so that only pairs which may reach the threshold are compared,
+and others only for fields that nothing reaches it for.  Rows are attached last.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.python import percent_udf, ratio_udf
 from ..functions.text import meaningful, norm
 from ..schemas import MATCH_FIELDS
+from ..shared import settled
 
 #: Least score of a match; database part that marks staging tables; the application's name in winkeys.
 THRESHOLD = 40.0
 STAGING = "gfolyreg_work"
 APPLICATION = "olympusApplication"
+#: Names that one task takes of a token.
+HOT = 50_000
 WINDATA = {"db": "a1", "table": "a2", "table_alias": "a3", "column": "a4", "alias": "a5", "file": "a6", "view": "a7"}
 WINDATA_COMPAT = WINDATA | {"db": "a3", "alias": "a6"}
 
@@ -71,6 +77,70 @@ def usable(rows: DataFrame, staging: str | None = STAGING) -> DataFrame:
     return found.where(~F.lower("db").contains(staging.lower())) if staging else found
 
 
+def _keys(fields: DataFrame, rows: DataFrame) -> list[str]:
+    return ["key"] if "key" in fields.columns and "key" in rows.columns else []
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with ``_al`` and ``_co``, their alias and column without nulls."""
+    return rows.select("*", F.coalesce("alias", F.lit("")).alias("_al"), F.coalesce("column", F.lit("")).alias("_co"))
+
+
+def name_pairs(fields: DataFrame, rows: DataFrame, compat: bool = False, hot: int = HOT) -> DataFrame:
+    """Pairs of distinct names that pass the gate: mapperColumn, _al, _co, second, compared, both normalised names _a and _b.
+
+    ``second`` is 1 where only the column shares a token with the field.  A token
+    of more than ``hot`` names is dealt to several tasks, to each of which its
+    fields are sent.
+    """
+    by = _keys(fields, rows)
+    wanted = fields.where(F.coalesce(F.col("mapperColumn"), F.lit("")) != "").select(*by, "mapperColumn").distinct().withColumn("_tf", meaningful(F.col("mapperColumn")))
+    has_alias = F.trim("_al") != ""
+    names = _named(rows).select(*by, "_al", "_co").distinct().withColumn("_t1", meaningful(F.when(has_alias, F.col("_al")).otherwise(F.col("_co"))))
+    names = names.withColumn("_tr", F.when(has_alias & (F.trim("_co") != "*"), F.array_union("_t1", meaningful(F.col("_co")))).otherwise(F.col("_t1")))
+    offered = names.withColumn("t", F.explode("_tr"))
+    parts = names.select(F.explode("_tr").alias("_hot")).groupBy("_hot").count().where(F.col("count") > hot).select("_hot", F.ceil(F.col("count") / hot).cast("int").alias("_parts"))
+    many = F.coalesce("_parts", F.lit(1))
+    offered = offered.join(parts, F.col("t") == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64("_al", "_co"), many).cast("int")).drop("_hot", "_parts")
+    asked = wanted.withColumn("t", F.explode("_tf")).join(parts, F.col("t") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_hot", "_parts")
+    met = asked.join(offered, [*by, "t", "_salt"]).where(F.array_min(F.array_intersect("_tf", "_tr")) == F.col("t"))
+    second = F.when(F.arrays_overlap("_tf", "_t1"), 0).otherwise(1)
+    compared = F.when(has_alias & ((F.col("second") == 0) | F.lit(compat)), F.col("_al")).otherwise(F.col("_co"))
+    return met.withColumn("second", second).withColumn("compared", compared).select(
+        *by, "mapperColumn", "_al", "_co", "second", "compared", norm(F.col("mapperColumn")).alias("_a"), norm(F.col("compared")).alias("_b")
+    )
+
+
+def letters(name: Column) -> Column:
+    """A name's letters, each with the number of its occurrence: arrays that meet in as many entries as the names have letters in common."""
+    places = F.sequence(F.lit(1), F.length(name))
+    all_letters = F.transform(places, lambda i: F.substring(name, i, F.lit(1)))
+    marked = F.transform(places, lambda i: F.concat(F.get(all_letters, i - 1), F.size(F.filter(F.slice(all_letters, F.lit(1), i), lambda c: c == F.get(all_letters, i - 1))).cast("string")))
+    return F.when(F.length(name) > 0, marked).otherwise(F.array().cast("array<string>"))
+
+
+def most_ratio(pairs: DataFrame) -> DataFrame:
+    """Distinct (_a, _b) of names that differ, with ``_most``: no ratio of theirs is above it."""
+    each = pairs.where("_a <> _b").select("_a", "_b").distinct()
+    common = F.size(F.array_intersect(letters(F.col("_a")), letters(F.col("_b"))))
+    return each.withColumn("_most", 200.0 * common / (F.length("_a") + F.length("_b")))
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    """Distinct (_a, _b) with score and percent."""
+    return pairs.withColumn("score", F.least(ratio_udf("_a", "_b"), F.lit(99.0))).withColumn("percent", percent_udf("score")).select("_a", "_b", "score", "percent")
+
+
+def _exact(pairs: DataFrame) -> DataFrame:
+    return pairs.where("_a = _b").withColumn("score", F.lit(100.0)).withColumn("percent", F.lit("100.0%"))
+
+
+def _attached(pairs: DataFrame, fields: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fields and rows of pairs of names."""
+    by = _keys(fields, rows)
+    return pairs.join(fields, [*by, "mapperColumn"]).join(_named(rows).drop(*([] if by else ["key"])), [*by, "_al", "_co"])
+
+
 def gate(fields: DataFrame, rows: DataFrame) -> DataFrame:
     """(field, row, compared) pairs that share a meaningful token by alias or, failing that, by column.
 
@@ -78,17 +148,8 @@ def gate(fields: DataFrame, rows: DataFrame) -> DataFrame:
     have a column ``key``, only fields and rows of one key meet; the numbers must
     then be unique over all keys.
     """
-    keyed = "key" in fields.columns and "key" in rows.columns
-
-    def tokens(name: Column) -> Column:
-        return F.explode(F.transform(meaningful(name), lambda t: F.concat_ws("\x1f", "key", t)) if keyed else meaningful(name)).alias("t")
-
-    wanted = fields.select("field_no", tokens(F.col("mapperColumn")))
-    has_alias = F.trim("alias") != ""
-    first = F.when(has_alias, F.col("alias")).otherwise(F.col("column"))
-    by_alias = rows.select("row_no", tokens(first), F.lit(0).alias("second"))
-    by_column = rows.where(has_alias & (F.trim("column") != "*")).select("row_no", tokens(F.col("column")), F.lit(1).alias("second"))
-    return wanted.join(by_alias.unionByName(by_column), "t").groupBy("field_no", "row_no").agg(F.min("second").alias("second"))
+    by = _keys(fields, rows)
+    return _attached(name_pairs(fields, rows), fields.select(*by, "field_no", "mapperColumn"), rows.select(*by, "row_no", "column", "alias")).select("field_no", "row_no", "second")
 
 
 def match_columns(
@@ -102,7 +163,20 @@ def match_columns(
     to the longer compared name, then the first row.  A whole registry is matched
     at once when both sides have a column ``key``.
     """
-    return _emit(scored(fields, usable(rows, staging), compat), fields, key, regulation, threshold)
+    rows = usable(rows, staging)
+    by = _keys(fields, rows)
+    pairs = settled(name_pairs(fields, rows, compat))
+    # Only names whose letters allow it are compared; what reaches the threshold is a match of the field.
+    near = _rated(most_ratio(pairs).where(F.col("_most") >= threshold - 1e-6)).where((F.col("score") >= threshold) & (F.col("score") > 0))
+    strong = settled(_exact(pairs).unionByName(pairs.join(near, ["_a", "_b"])).drop("second"))
+    # Fields without one take the best of all their pairs, of equal ones that with the first row.
+    left = pairs.where("_a <> _b").join(strong.select(*by, "mapperColumn").distinct(), [*by, "mapperColumn"], "left_anti")
+    first = _named(rows).groupBy(*by, "_al", "_co").agg(F.min("row_no").alias("row_no"))
+    faint = left.join(_rated(left.select("_a", "_b").distinct()), ["_a", "_b"]).where("score > 0").join(first, [*by, "_al", "_co"])
+    best = faint.groupBy(*by, "mapperColumn").agg(F.min(F.struct((-F.col("score")).alias("_s"), (-F.length("compared")).alias("_l"), "row_no", "compared", "score", "percent")).alias("_m"))
+    weak = best.select(*by, "mapperColumn", "_m.row_no", "_m.compared", "_m.score", "_m.percent").join(fields, [*by, "mapperColumn"]).join(_named(rows).drop("key"), "row_no")
+    found = _attached(strong, fields, rows)
+    return _emit(found.unionByName(weak.select(*[c for c in found.columns if c in weak.columns]), allowMissingColumns=True), fields, key, regulation, threshold)
 
 
 def match_registry(
@@ -120,24 +194,17 @@ def match_registry(
 
 
 def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFrame:
-    fields = fields.where(F.coalesce(F.col("mapperColumn"), F.lit("")) != "")
-    pairs = gate(fields, rows).join(fields, "field_no").join(rows.drop("key"), "row_no")
-    has_alias = F.trim("alias") != ""
-    compared = F.when(has_alias & ((F.col("second") == 0) | F.lit(compat)), F.col("alias")).otherwise(F.col("column"))
-    pairs = pairs.withColumn("compared", compared).withColumn("_a", norm(F.col("mapperColumn"))).withColumn("_b", norm(F.col("compared")))
-    exact = pairs.where("_a = _b").withColumn("score", F.lit(100.0)).withColumn("percent", F.lit("100.0%"))
-    inexact = pairs.where("_a <> _b")
-    ratios = inexact.select("_a", "_b").distinct().withColumn("score", F.least(ratio_udf("_a", "_b"), F.lit(99.0))).withColumn("percent", percent_udf("score"))
-    return exact.unionByName(inexact.join(ratios, ["_a", "_b"]))
+    """All pairs of fields and rows that pass the gate, with score and percent."""
+    pairs = name_pairs(fields, rows, compat)
+    rated = _exact(pairs).unionByName(pairs.join(_rated(pairs.where("_a <> _b").select("_a", "_b").distinct()), ["_a", "_b"]))
+    return _attached(rated, fields, rows)
 
 
 def _emit(pairs: DataFrame, fields: DataFrame, key: str, regulation: str, threshold: float) -> DataFrame:
     name = F.col("key") if "key" in fields.columns else F.lit(key)
-    best = Window.partitionBy("field_no").orderBy(F.desc("score"), F.desc(F.length("compared")), "row_no")
-    ranked = pairs.where("score > 0").withColumn("_n", F.row_number().over(best)).where((F.col("score") >= threshold) | (F.col("_n") == 1))
     kind = F.when(F.col("score") == 100.0, "exact").when(F.col("score") >= threshold, "fuzzy").otherwise("weak")
     application = F.coalesce(F.col("application"), F.lit("")) if "application" in pairs.columns else F.lit("")
-    found = ranked.select(
+    found = pairs.select(
         "field_no", (F.lit(regulation) if regulation else application).alias("regulation"), name.alias("key"), "mapperColumn", "mapperFactField",
         F.col("db").alias("dbName"), F.col("table").alias("tableName"), F.col("column").alias("columnName"), F.col("alias").alias("columnAliasName"),
         F.when(F.col("compared") == F.col("alias"), "alias").otherwise("columnName").alias("matchedOn"), F.col("percent").alias("matchPercentage"), kind.alias("matchType"),

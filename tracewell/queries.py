@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +12,7 @@ from .functions.python import SplitColumns, SplitStatements, decode_lenient_udf,
 from .operators import dq, logs, match, metadata, nosql, recon
 from .plans import edges, layers, lineage
 from .plans.corpus import TEMPLATES
+from .shared import new_folder
 from .sources import files, http, sinks
 from .streaming import blocks
 
@@ -487,25 +485,16 @@ def src_http_guard_rows(spark, d):
     return got.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("c_custkey"), "status", "body")
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder where executors and the driver both read and write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="tracewell-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def src_csv(spark, d):
-    path = _folder(spark, "csv")
+    path = new_folder(spark, "csv")
     sinks.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
     return files.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
 
 
 @query
 def src_json_dir(spark, d):
-    path = _folder(spark, "json")
+    path = new_folder(spark, "json")
     n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") == 3, "{bad").otherwise(F.to_json(F.struct("n_name"))).alias("value"))
     n.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_json_texts(spark, path, "*.txt").select(F.get_json_object("payload", "$.n_name").alias("name"), F.col("error").isNotNull().alias("bad"))
@@ -514,7 +503,7 @@ def src_json_dir(spark, d):
 @query
 def src_upload(spark, d):
     """One .json file per nation."""
-    path = f"{_folder(spark, 'upload')}.json"
+    path = f"{new_folder(spark, 'upload')}.json"
     table(spark, d, "nation").select("n_nationkey", "n_name").write.option("maxRecordsPerFile", 1).json(path)
     got = files.read_uploaded_json(spark, path)
     return got.select(F.get_json_object("payload", "$.n_nationkey").cast("int").alias("n_nationkey"), F.get_json_object("payload", "$.n_name").alias("n_name"), "error")
@@ -523,7 +512,7 @@ def src_upload(spark, d):
 @query
 def src_sql_file(spark, d):
     """One statement per file; the second path does not exist and is skipped."""
-    path = _folder(spark, "sql")
+    path = new_folder(spark, "sql")
     statement = F.concat(F.lit("SELECT a\nFROM d.t"), F.col("n_nationkey").cast("string"))
     table(spark, d, "nation").select(statement.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return files.read_sql_files(spark, [path, f"{path}-none"]).select(F.col("query_key").rlike("^PART-[0-9A-F-]+-C[0-9]+$").alias("keyed"), F.rtrim(F.replace("sql", F.lit("\n"), F.lit(" "))).alias("sql"))
@@ -538,7 +527,7 @@ def src_inline(spark, d):
 @query
 def src_log_lines(spark, d):
     """Numbers and lines of one log file per customer segment."""
-    path = _folder(spark, "log")
+    path = new_folder(spark, "log")
     c = table(spark, d, "customer").select("c_mktsegment", F.col("c_custkey").alias("k"))
     one = c.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.concat_ws("\n", "c_mktsegment", F.array_join("ks", "\n")).alias("value"))
     one.write.option("maxRecordsPerFile", 1).text(path)
@@ -549,7 +538,7 @@ def src_log_lines(spark, d):
 
 @query
 def src_log(spark, d):
-    path = _folder(spark, "log")
+    path = new_folder(spark, "log")
     table(spark, d, "region").select(F.concat_ws("\n", F.concat(F.lit("ERROR "), "r_name"), F.lit(" at x"), F.lit("")).alias("value")).repartition(3, "value").write.text(path)
     return files.read_log(spark, path).where("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
@@ -561,7 +550,7 @@ def src_sql_dict(spark, d):
 
 @query
 def src_yaml(spark, d):
-    path = _folder(spark, "yaml")
+    path = new_folder(spark, "yaml")
     spark.createDataFrame([("columns:\n  p_size: {min: 5, max: 45}\n",)], "value string").coalesce(1).write.text(path)
     rules = files.read_rules(spark, path)
     return dq.run_checks(table(spark, d, "part"), rules)["range:p_size"].select("p_partkey", "p_size")
@@ -647,7 +636,7 @@ def log_one_file_root(spark, d):
 @query
 def log_stream(spark, d):
     """Blocks of logs whose lines come in three batches, the last with the ends of all files."""
-    arrived, found, checkpoint = (_folder(spark, n) for n in ("log-lines", "log-blocks", "log-state"))
+    arrived, found, checkpoint = (new_folder(spark, n) for n in ("log-lines", "log-blocks", "log-state"))
     lines = _whole_log_lines(spark, d)
     ends = lines.groupBy("file").agg((F.max("line_no") + 1).alias("line_no")).withColumn("line", F.lit(None).cast("string"))
     for low, high in ((0, 20), (20, 60), (60, None)):
