@@ -245,3 +245,25 @@ UNION ALL SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDE
     "lin_star_dive": """SELECT s_suppkey AS query_no, l AS layer_order, 's' AS "tableAliasName", c AS "columnName", a AS "aliasName", CASE l WHEN 2 THEN 'Inner Query Alias Layer' ELSE 'Subquery Layer' END AS remarks FROM supplier JOIN
 (VALUES (0, 2, '*', ''), (0, 3, 'a', 'a'), (0, 3, 'c', 'c'), (1, 2, 'cust', 'x'), (1, 3, 'cust_name', 'x')) v(k, l, c, a) ON s_suppkey % 2 = k""",
 }
+
+
+def feeder() -> str:
+    """The feeder's columns written out."""
+    yes = lambda test, name: f"CASE WHEN {test} THEN 'Y' ELSE 'N' END AS {name}"
+    columns = [
+        "'rec_' || l_orderkey || '_' || l_linenumber AS record_id", "'LINES' AS source_system", "7::INT AS batch",
+        "CASE l_returnflag WHEN 'R' THEN 'MASKING' WHEN 'A' THEN 'NON_MASKING' ELSE 'OPEN' END AS reporting_type", "CASE l_linestatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' END AS status",
+        "l_linenumber = 1 AS is_first", "upper(l_linestatus) AS mode", "substr(l_shipdate::VARCHAR, 1, 10) AS ship_day", "l_extendedprice::DOUBLE AS amount", "upper(l_linestatus || '/' || l_returnflag || 'x') AS label",
+        *[f"substr(l_partkey::VARCHAR, {k}, 1) AS part_{k}" for k in range(1, 6)], *[yes(f"l_returnflag = '{m}'", f"flag_{m.lower()}") for m in "RAN"],
+        *[yes(f"l_linenumber = {k}", f"line_{k}") for k in range(1, 8)], *[f"'c{k}' AS constant_{k}" for k in range(1, 9)], *[f"'{k}:' || l_suppkey AS key_{k}" for k in range(1, 8)],
+        *[f"l_{c} AS raw_{c}" for c in ("orderkey", "linenumber", "partkey", "suppkey", "returnflag", "linestatus")],
+    ]
+    return "SELECT " + ", ".join(columns) + " FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber IN (1, 2, 3, 5) AND l_suppkey IS NOT NULL"
+
+
+ORACLES |= {
+    "recon_feeder": feeder(),
+    "src_http_pages": """SELECT c_custkey, 'https://a.example.org/' || c_custkey AS url, CASE WHEN c_custkey % 10 = 7 THEN 404 ELSE 200 END::INT AS status,
+  CASE WHEN c_custkey % 10 <> 7 THEN c_custkey::VARCHAR END AS n, CASE WHEN c_custkey % 10 = 7 THEN 'none' END AS error FROM customer""",
+    "snk_ordered": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS order_no FROM customer",
+}

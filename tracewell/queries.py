@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.python import SplitColumns, SplitStatements, decode_lenient_udf, percent_udf, ratio_udf
-from .operators import dq, logs, match, metadata, nosql, recon
+from .operators import dq, extract, logs, match, metadata, nosql, recon
 from .plans import edges, layers, lineage
 from .plans.corpus import TEMPLATES
 from .shared import new_folder
-from .sources import files, http, sinks
+from .sources import files, http, http_pages, ordered, sinks
 from .streaming import blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,27 @@ def recon_extract(spark, d):
     )
 
 
+#: A feeder over order lines as data, with columns in the shapes that feeders have.
+FEEDER = extract.Extract(
+    rules=[
+        extract.Rule("record_id", parts=["=rec_", "l_orderkey", "=_", "l_linenumber"]), extract.Rule("source_system", value="LINES"), extract.Rule("batch", value=7, kind="int"),
+        extract.Rule("reporting_type", arms=[("l_returnflag", "R", "MASKING"), ("l_returnflag", "A", "NON_MASKING")], default="OPEN"),
+        extract.Rule("status", arms=[("l_linestatus", "O", "open"), ("l_linestatus", "F", "closed")]), extract.Rule("is_first", arms=[("l_linenumber", 1, True)], default=False),
+        extract.Rule("mode", column="l_linestatus", upper=True, default="NONE"), extract.Rule("ship_day", column="l_shipdate", cut=(1, 10)), extract.Rule("amount", column="l_extendedprice", kind="double"),
+        extract.Rule("label", parts=["l_linestatus", "=/", "l_returnflag", "=x"], upper=True),
+        *[extract.Rule(f"part_{k}", column="l_partkey", kind="string", cut=(k, 1)) for k in range(1, 6)], *[extract.Rule(f"flag_{m.lower()}", arms=[("l_returnflag", m, "Y")], default="N") for m in "RAN"],
+        *[extract.Rule(f"line_{k}", arms=[("l_linenumber", k, "Y")], default="N") for k in range(1, 8)], *[extract.Rule(f"constant_{k}", value=f"c{k}") for k in range(1, 9)],
+        *[extract.Rule(f"key_{k}", parts=[f"={k}:", "l_suppkey"]) for k in range(1, 8)], *[extract.Rule(f"raw_{c}", column=f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey", "returnflag", "linestatus")],
+    ],
+    among={"l_returnflag": ["R", "A"], "l_linenumber": [1, 2, 3, 5]}, present=["l_suppkey"],
+)
+
+
+@query
+def recon_feeder(spark, d):
+    return extract.run_extract(table(spark, d, "lineitem"), FEEDER)
+
+
 @query
 def recon_latest(spark, d):
     return recon.latest(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
@@ -584,6 +605,26 @@ def src_http(spark, d):
     return http.fetch_rows(asked, send=send)
 
 
+@query
+def src_http_pages(spark, d):
+    """A page per customer through the data source; the transport answers without a network."""
+    spark.dataSource.register(http_pages.HttpPages)
+    c = table(spark, d, "customer")
+    low, high = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    pages = spark.read.format("http_pages").option("url", "https://a.example.org/{n}").option("first", low).option("last", high).option("per_partition", 1000).option("transport", "tracewell.sources.http_pages:echo").load()
+    return c.join(pages, F.col("c_custkey") == F.col("request_no")).select("c_custkey", "url", "status", F.get_json_object("body", "$.n").alias("n"), "error")
+
+
+@query
+def snk_ordered(spark, d):
+    """Customers sorted by name and key, with the places that a reader finds; no row is out of place."""
+    path = new_folder(spark, "ordered")
+    by = ["c_mktsegment", "c_custkey"]
+    ordered.write_ordered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), path, by)
+    read = ordered.read_ordered(spark, path)
+    return read.join(ordered.misplaced(read, by).select("order_no"), "order_no", "left_anti").select("c_custkey", "c_mktsegment", "order_no")
+
+
 @query
 def snk_json(spark, d):
     return sinks.envelope(table(spark, d, "region").select("r_regionkey", "r_name")).select("success", "message", "total_records", "record")
