@@ -267,3 +267,31 @@ ORACLES |= {
   CASE WHEN c_custkey % 10 <> 7 THEN c_custkey::VARCHAR END AS n, CASE WHEN c_custkey % 10 = 7 THEN 'none' END AS error FROM customer""",
     "snk_ordered": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS order_no FROM customer",
 }
+
+
+def by_shape(columns: list[str], rows: list[tuple], shapes: int, text: str = "FROM supplier") -> str:
+    """Rows (shape, values...) for the suppliers whose number has that remainder; ? stands for the number."""
+    values = ", ".join(f"({r[0]}, " + ", ".join(map(quoted, r[1:])) + ")" for r in rows)
+    names = [f"c{i}" for i in range(len(columns))]
+    shown = ", ".join(f"replace({n}, '?', s_suppkey::VARCHAR) AS \"{c}\"" for n, c in zip(names, columns, strict=True))
+    return f"SELECT s_suppkey AS query_no, {shown} {text} JOIN (VALUES {values}) v(k, {', '.join(names)}) ON s_suppkey % {shapes} = k"
+
+
+FULL, BLANK, AMBIGUOUS, CALL = "column_selected_with_database", "database_not_specified_in_query", "table_name_ambiguous", "derived_expression|function_expression"
+ISLANDS = [
+    (0, "d?", "t", "x1", FULL), (0, "unknown", "unknown", "COL_ONE", AMBIGUOUS), (0, "e", "u", "y", FULL), (0, "d?", "t", "i", FULL), (0, "e", "u", "i", FULL),
+    (1, "unknown", "z", "q", AMBIGUOUS), (1, "d?", "t", "VALUE_A", FULL), (4, "s", "t", "c", FULL), (4, "unknown", "q", "v", AMBIGUOUS), (4, "unknown", "unknown", "AMOUNT", AMBIGUOUS),
+    (5, "d?", "t", "p.q", FULL), (5, "d?", "t", "LEFT_SIDE", FULL),
+]
+PLACES = ["databaseName", "tableName", "columnName", "remark"]
+ORACLES |= {
+    "lin3_refs_bare": by_shape(PLACES, [r for r in ISLANDS if r[3].isupper()], 7),
+    "lin3_fallback": by_shape([*PLACES, "status"], [(*r, "recovered") for r in ISLANDS] + [(2, "N/A", "N/A", "N/A", "empty query", "placeholder"), (3, "ERROR", "ERROR", "ERROR", "tech_failure", "failed")], 7),
+    "lin_no_input_ctx": by_shape(
+        ["databaseName", "tableName", "tableAliasName", "columnName", "aliasName", "remarks"],
+        [
+            (0, "d?", "t", "x", "now()", "n", CALL), (0, "d?", "t", "x", "a", "", FULL), (1, "d?", "t", "s", "n", "", FULL), (1, "d?", "t", "", "date_format(now(), 'yyyy')", "n", CALL),
+            (2, "d", "t", "x", "?", "k", "derived_expression"), (2, "d", "t", "x", "'v'", "w", "derived_expression"), (3, "", "", "q", "n", "", BLANK), (3, "", "__DERIVED__", "q", "uuid()", "n", CALL),
+            (3, "d", "t", "x", "a", "", FULL), (4, "e?", "u", "main", "now()", "n", CALL),
+        ], 5),
+}

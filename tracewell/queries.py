@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.python import SplitColumns, SplitStatements, decode_lenient_udf, percent_udf, ratio_udf
 from .operators import dq, extract, logs, match, metadata, nosql, recon
-from .plans import edges, layers, lineage
+from .plans import edges, layers, lineage, recover
 from .plans.corpus import TEMPLATES
 from .shared import new_folder
 from .sources import files, http, http_pages, ordered, sinks
@@ -792,6 +792,43 @@ def lin_trace_odd(spark, d):
     return found.select("query_no", "databaseName", "tableName", "columnName", "aliasName", F.array_join("remarks", "|").alias("remarks"), "status")
 
 
+def _shapes(spark, d, texts: list[str]) -> DataFrame:
+    """Supplier number k has text number k modulo their count, with its number for {k}."""
+    k = F.col("s_suppkey")
+    sql = F.replace(F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    return table(spark, d, "supplier").select(k.alias("query_no"), sql.alias("sql"), F.lit("").alias("regulation"), F.lit("").alias("metadatakey"), F.lit("").alias("view_name"))
+
+
+@query
+def lin_no_input_ctx(spark, d):
+    """Literals and functions without columns belong to the table of their block."""
+    texts = [
+        "SELECT now() AS n, a FROM d{k}.t x", "SELECT s.n FROM (SELECT date_format(now(), 'yyyy') AS n FROM d{k}.t) s", "SELECT {k} AS k, 'v' AS w FROM d.t x, e.u y",
+        "SELECT q.n FROM (SELECT uuid() AS n FROM (SELECT x.a FROM d.t x, e.u y) r) q", "SELECT now() AS n FROM d.t x, e{k}.u main",
+    ]
+    return shown(lineage.deduplicate(lineage.extract_lineage(_shapes(spark, d, texts), keep=("query_no",), context=True, prefer="main")))
+
+
+#: Texts that cannot be read.
+BROKEN = [
+    "SELECT a.x1, COL_ONE, lower(b.y) FROM d{k}.t a JOIN e.u AS b ON a.i = b.i WHERE ((", "SELEC z.q, VALUE_A, 'NOT_THIS' FROM d{k}.t x", "", "((((", "SELECT s.t.c, q.v, MAX(AMOUNT FROM WHERE",
+    "SELECT t.p.q FROM d{k}.t WHERE LEFT_SIDE = (SELECT", "SELECT fine FROM d.t",
+]
+
+
+@query
+def lin3_refs_bare(spark, d):
+    """Upper-case names without a qualifier, in texts that cannot be read."""
+    found = recover.recovered_lineage(_shapes(spark, d, BROKEN), keep="query_no")
+    return found.where(F.col("columnName").rlike("^[A-Z][A-Z0-9_]{2,}$") & (F.col("status") == "recovered")).select("query_no", "databaseName", "tableName", "columnName", "remark")
+
+
+@query
+def lin3_fallback(spark, d):
+    """All rows of texts that cannot be read, with their marks."""
+    return recover.recovered_lineage(_shapes(spark, d, BROKEN), keep="query_no").drop("ordinal")
+
+
 @query
 def lin_star_dive(spark, d):
     """A star over a subquery has a row for each of its outputs; names that differ are matched by their parts."""
