@@ -64,3 +64,11 @@ def test_guard_judges_addresses_and_redirects():
         http.check_url("https://public.org", resolve=lambda h: ["10.1.2.3"])
     with pytest.raises(http.UnsafeUrl):
         http.GuardedRedirects().redirect_request(None, None, 302, "", {}, "https://169.254.169.254/")
+
+
+@pytest.mark.parametrize(("given", "made"), [
+    ("select f(a\0) from t", "select f(a\0) from t"), ("select (a\0", "select (a\0"), ("select len(a, (b", "select len(a, (b"), ("select t.len(x), len(x) from t", "select t.len(x), length(x) from t"),
+    ("PERCENTILE_CONT(0.3) WITHIN GROUP (ORDER BY x DESC) OVER ()", "PERCENTILE(x, 1 - 0.3)"), ("PERCENTILE_CONT(0.3) WITHIN GROUP (ORDER BY x asc) OVER ()", "PERCENTILE(x, 0.3)"),
+])
+def test_rewrite_of_odd_calls(given, made):
+    assert rewrite(given) == made

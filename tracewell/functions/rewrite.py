@@ -43,26 +43,26 @@ class Rewriter:
             k += 1
         return k
 
-    def until(self, closed: bool) -> list[str]:
-        """Texts between commas, up to the closing parenthesis (``closed``) or the end."""
+    def until(self, closed: bool) -> tuple[list[str], bool]:
+        """Texts between commas, up to the closing parenthesis (``closed``) or the end, and whether that was found."""
         parts = [""]
         while self.i < len(self.t):
             x = self.t[self.i]
             if closed and x == ")":
                 self.i += 1
-                return parts
+                return parts, True
             if closed and x == ",":
                 self.i += 1
                 parts.append("")
             else:
                 parts[-1] += self.item()
-        return parts if not closed else [*parts[:-1], parts[-1] + "\0"]
+        return parts, not closed
 
     def item(self) -> str:
-        word = self.t[self.i]
+        begin, word = self.i, self.t[self.i]
         self.i += 1
         if word == "(":
-            return self.closed("(", self.until(True))
+            return self.closed("(", *self.until(True))
         if word.startswith("/*") and word[2:].lstrip().startswith("+"):
             return ""
         if not (word[0].isalpha() or word[0] == "_"):
@@ -72,7 +72,8 @@ class Rewriter:
         if k > 0:
             space = "".join(self.t[self.i : k - 1])
             self.i = k
-            return self.call(word, space, self.until(True))
+            qualified = begin > 0 and self.t[begin - 1] == "."
+            return self.closed(f"{word}{space}(", *self.until(True)) if qualified else self.call(word, space, *self.until(True))
         if upper in ("DATE", "TIMESTAMP"):
             k = self.i
             while k < len(self.t) and self.t[k].isspace():
@@ -95,25 +96,28 @@ class Rewriter:
         return word
 
     @staticmethod
-    def closed(head: str, parts: list[str]) -> str:
-        text = ",".join(parts)
-        return head + (text[:-1] if text.endswith("\0") else text + ")")
+    def closed(head: str, parts: list[str], done: bool) -> str:
+        return head + ",".join(parts) + ")" * done
 
-    def call(self, name: str, space: str, parts: list[str]) -> str:
-        if parts[-1].endswith("\0"):
-            return self.closed(f"{name}{space}(", parts)
+    def call(self, name: str, space: str, parts: list[str], done: bool) -> str:
+        if not done:
+            return self.closed(f"{name}{space}(", parts, done)
         args, low = [p.strip() for p in parts], name.lower()
         args = [] if args == [""] else args
         if (k := self.peek("WITHIN", "GROUP", "(", "ORDER", "BY")) > 0:
             self.i = k
-            order = ",".join(self.until(True)).strip()
+            order = ",".join(self.until(True)[0]).strip()
+            if low in ("percentile_cont", "percentile_disc") and (way := re.search(r"\s+(ASC|DESC)$", order, re.I)):
+                # The call takes no direction: from the other end it is the rest of the fraction.
+                order = order[: way.start()]
+                args = [f"1 - {a}" for a in args] if way[1].upper() == "DESC" else args
             over = self.peek("OVER", "(", ")")
             if low in ("percentile_cont", "percentile_disc") and over > 0:
                 self.i, name = over, "PERCENTILE"
             return f"{name}({', '.join([order, *args])})"
         made = CALLS.get((low, len(args)))
         if made is None:
-            return self.closed(f"{NAMES.get(low, name)}{space}(", parts)
+            return self.closed(f"{NAMES.get(low, name)}{space}(", parts, done)
         if low == "group_concat" and args[0][:8].upper() == "DISTINCT" and args[0][8:9].isspace():
             made, args[0] = made.replace("collect_list", "collect_set"), args[0][8:].strip()
         return made.format(*args)
@@ -123,10 +127,12 @@ def rewrite(sql: str) -> str:
     """Spark SQL for Impala text; ADD_MONTHS and MONTHS_BETWEEN stay, as Spark has them; hints go.
 
     A call whose parenthesis is never closed keeps its name and its text, and so
-    does a text nested too deeply to be read.
+    does a text nested too deeply to be read.  Qualified names are no functions.
+    DATEADD and DATESUB become day arithmetic whatever their unit, as in the
+    dialect this follows.
     """
     try:
-        return "".join(Rewriter(sql).until(False))
+        return "".join(Rewriter(sql).until(False)[0])
     except RecursionError:
         return sql
 

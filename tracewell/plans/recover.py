@@ -59,7 +59,7 @@ def islands(sql: str) -> list[tuple[str, str, str, str]]:
             place = (parts[0] if len(parts) > 1 else "", parts[2] if len(parts) > 2 else parts[-1])
             names.setdefault(place[1].lower(), place)
             waiting = place
-        elif plain and waiting and before not in ("(", ",", "=", "."):
+        elif plain and waiting and before not in ("(", ")", ",", "=", "."):
             tables.setdefault(parts[0].lower(), waiting)
             waiting = None
         else:
