@@ -311,7 +311,8 @@ def with_parts(levels: list[DataFrame]) -> DataFrame:
         here = here.withColumn("_up", F.expr("substring(path, 1, octet_length(path) - octet_length(_last) - 1)")).withColumn("_link", F.expr("substring(path, octet_length(_first) + 2)")).drop("_first", "_last")
         up = below.select(F.col("lang").alias("_ul"), F.col("path").alias("_u"), F.concat("lefts", F.array("n")).alias("lefts"))
         link = below.select(F.col("lang").alias("_ll"), F.col("path").alias("_l"), F.concat(F.array("n"), "rights").alias("rights"))
-        joined = here.join(up, (F.col("lang") == F.col("_ul")) & (F.col("_up") == F.col("_u"))).join(link, (F.col("lang") == F.col("_ll")) & (F.col("_link") == F.col("_l")))
+        # Linked nodes are unique and thin: their shares are hashed instead of sorting both sides.
+        joined = here.join(up.hint("shuffle_hash"), (F.col("lang") == F.col("_ul")) & (F.col("_up") == F.col("_u"))).join(link.hint("shuffle_hash"), (F.col("lang") == F.col("_ll")) & (F.col("_link") == F.col("_l")))
         below = cut(joined.select("lang", "path", "n", "lefts", "rights"))
         made.append(below)
     out = made[0]
