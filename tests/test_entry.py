@@ -15,5 +15,5 @@ def test_every_oracle_has_a_query():
 
 
 def test_queries_build_over_empty_results(spark):
-    for name in ("dq_range", "recon_classify", "meta_flatten", "match_gate", "log_root", "lin_direct", "edge_many"):
+    for name in ("dq_range", "recon_classify", "meta_flatten", "match_gate", "log_root_whole", "lin_direct", "edge_many"):
         assert contract.queries()[name](spark, SF).limit(1).count() <= 1
