@@ -187,7 +187,6 @@ def test_log_blocks(spark, tmp_path):
 def test_nosql_shapes():
     assert list(nosql.mongo_rows({"op": "find", "collection": "c", "projection": {"a": 1, "b": True, "d": 0}})) == [("c", "a", "", "Mongo Query"), ("c", "b", "", "Mongo Query"), ("c", "d", "d", "Mongo Query")]
     assert list(nosql.mongo_rows({"op": "other"})) == []
-    assert list(nosql.elastic_fields({"bool": {"must": {"term": {"a": 1}}, "must_not": [{"wildcard": {"b": "x*"}}, {"c": {"query": 1}}, 5]}})) == [("a", "term"), ("b", "wildcard"), ("c", "unknown")]
 
 
 def test_http_guard_and_retries():

@@ -5,9 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import difflib
-import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -91,31 +89,6 @@ class SplitColumns:
         yield from enumerate(split_columns(clause or ""))
 
 
-def walk_queries(node: object, name: str = "", classname: str = "") -> Iterator[tuple[str, str, str, str]]:
-    """(name, classname, view_name, sql_query) of every object with a view and a query, at any depth, each once."""
-    if isinstance(node, dict):
-        name, classname = str(node.get("name") or name), str(node.get("classname") or classname)
-        if "view_name" in node and "sql_query" in node:
-            yield name, classname, str(node["view_name"] or ""), str(node["sql_query"] or "")
-        for v in node.values():
-            yield from walk_queries(v, name, classname)
-    elif isinstance(node, list):
-        for v in node:
-            yield from walk_queries(v, name, classname)
-
-
-@udtf(returnType=row_of("name", "classname", "view_name", "sql_query"))
-class WalkQueries:
-    """Rows of ``walk_queries``; text that is not JSON gives none."""
-
-    def eval(self, payload: str):
-        try:
-            node = json.loads(payload or "null")
-        except ValueError:
-            return
-        yield from walk_queries(node)
-
-
 def distinct_ratio(pairs, left: str, right: str, out: str):
     """Join ``out`` = ratio of the two columns, computed once per distinct pair."""
     scored = pairs.select(left, right).distinct().withColumn(out, ratio_udf(F.col(left), F.col(right)))

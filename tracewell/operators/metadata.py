@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python import WalkQueries
+from ..functions import variants
 from ..functions.text import b64_strict
 
 QUERY = "struct<view_name: string, sql_query: string>"
@@ -33,8 +33,29 @@ def flatten(recs: DataFrame) -> DataFrame:
 
 
 def walk(payloads: DataFrame, json: str = "payload") -> DataFrame:
-    """Queries at any depth of free-form payloads, each once."""
-    return payloads.lateralJoin(WalkQueries(F.col(json).outer())).select("name", "classname", "view_name", "sql_query").distinct()
+    """Queries at any depth of free-form payloads, each once.
+
+    Every object with a view and a query counts; name and classname are its own or
+    those of the nearest object around it that has some.
+    """
+    shape = "struct<name: string, classname: string, view_name: string, sql_query: string>"
+    own = lambda e, name: F.coalesce(F.nullif(variants.text_at(e["keys"][name]), F.lit("")), e[name])
+    text = lambda e, name: F.coalesce(variants.text_at(e["keys"][name]), F.lit("")).alias(name)
+
+    def entry(name: Column, classname: Column, node: Column) -> Column:
+        return F.struct(name.alias("name"), classname.alias("classname"), variants.members(node).alias("keys"), variants.items(node).alias("list"))
+
+    def below(e: Column) -> Column:
+        under = F.coalesce(F.map_values(e["keys"]), e["list"], F.array().cast("array<variant>"))
+        return F.transform(under, lambda v: entry(own(e, "name"), own(e, "classname"), v))
+
+    def found(e: Column) -> Column:
+        here = F.map_contains_key(e["keys"], "view_name") & F.map_contains_key(e["keys"], "sql_query")
+        row = F.struct(own(e, "name").alias("name"), own(e, "classname").alias("classname"), text(e, "view_name"), text(e, "sql_query"))
+        return F.when(here, F.array(row)).otherwise(F.array().cast(f"array<{shape}>"))
+
+    rows = variants.walk(F.col(json), lambda v: entry(F.lit(""), F.lit(""), v), below, found, shape)
+    return payloads.select(F.explode(rows).alias("r")).select("r.*").distinct()
 
 
 def matches(column: Column, wanted: str | Sequence[str] | None, lenient: bool = False) -> Column:

@@ -5,15 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions import variants
 from ..functions.python import row_of
 
 #: Clause kinds that name fields, and the parts of a bool query.
 FIELD_CLAUSES = ("match", "match_phrase", "term", "range", "exists", "prefix", "wildcard")
 BOOL_PARTS = ("must", "should", "filter", "must_not")
+#: Kinds whose body may be the field itself, bounds of a range in the order of their text, remark of other clauses.
+WITH_PLAIN_BODY = ("match", "match_phrase", "term")
+BOUNDS = ("from", "gte", "gt", "to", "lte", "lt")
+PLAIN = "Mongo query"
 
 
 def projected(entries: dict, included: str, computed: str) -> Iterator[tuple[str, str, str]]:
@@ -38,30 +43,6 @@ def mongo_rows(op: dict) -> Iterator[tuple[str, str, str, str]]:
                 yield collection, f"$lookup->{other}", stage["$lookup"].get("as", other) or "", "lookup_join"
 
 
-def clause_fields(clause: object) -> list[tuple[str, str]]:
-    """(field, kind) named by one clause."""
-    if not isinstance(clause, dict):
-        return []
-    for kind in FIELD_CLAUSES:
-        if kind in clause:
-            body = clause[kind]
-            if kind == "exists":
-                return [(body.get("field") or body.get("name") or "", kind)] if isinstance(body, dict) else []
-            return [(f, kind) for f in body] if isinstance(body, dict) else [(str(body), kind)] if kind in FIELD_CLAUSES[:3] else []
-    return [(k, "unknown") for k, v in clause.items() if isinstance(v, dict) and len(v) == 1 and next(iter(v)) in ("query", "value", "match")]
-
-
-def elastic_fields(node: object) -> Iterator[tuple[str, str]]:
-    """(field, kind) of a query, bools followed to any depth."""
-    if isinstance(node, dict) and "bool" in node:
-        for part in BOOL_PARTS:
-            below = node["bool"].get(part) or [] if isinstance(node["bool"], dict) else []
-            for clause in below if isinstance(below, list) else [below]:
-                yield from elastic_fields(clause)
-    else:
-        yield from clause_fields(node)
-
-
 def _json(text: str):
     try:
         return json.loads(text or "null")
@@ -77,18 +58,73 @@ class MongoLineage:
             yield k, *r
 
 
-@udtf(returnType=row_of("ordinal:int", "columnName", "clause"))
-class ElasticLineage:
-    def eval(self, payload: str):
-        node = _json(payload)
-        root = node.get("query", node) if isinstance(node, dict) else None
-        for k, r in enumerate(elastic_fields(root)):
-            yield k, *r
-
-
 def mongo_lineage(df: DataFrame, column: str, *keep: str) -> DataFrame:
     return df.select(*keep, column).lateralJoin(MongoLineage(F.col(column).outer())).drop(column)
 
 
+FIELD = "struct<columnName: string, clause: string, remark: string>"
+CLAUSE = "struct<path: array<int>, row: struct<columnName: string, clause: string, remark: string>>"
+NO_FIELDS = f"array<{FIELD}>"
+
+
+def _field(name: Column, kind: str, remark: Column | None = None) -> Column:
+    return F.struct(name.alias("columnName"), F.lit(kind).alias("clause"), (F.lit(PLAIN) if remark is None else remark).alias("remark"))
+
+
+def range_text(body: Column) -> Column:
+    """The bounds of a range as text; the plain remark without any."""
+    bounds = F.concat_ws(",", *[F.concat(F.lit(f"{b}="), variants.text_at(body, f"$.{b}")) for b in BOUNDS])
+    return F.when(bounds != "", F.concat(F.lit("range:"), bounds)).otherwise(PLAIN)
+
+
+def clause_fields(keys: Column) -> Column:
+    """The fields that a clause of these keys names: those of the first known kind it has, else keys whose value looks like a clause's."""
+    none = F.array().cast(NO_FIELDS)
+    found = F.when(keys.isNull(), none)
+    for kind in FIELD_CLAUSES:
+        body = keys[kind]
+        inside = variants.members(body)
+        if kind == "exists":
+            name = F.coalesce(F.nullif(variants.text_at(body, "$.field"), F.lit("")), variants.text_at(body, "$.name"), F.lit(""))
+            named = F.when(inside.isNotNull(), F.array(_field(name, kind))).otherwise(none)
+        else:
+            remark = range_text if kind == "range" else lambda v: None
+            plain = F.array(_field(F.coalesce(variants.text_at(body), F.lit("")), kind)) if kind in WITH_PLAIN_BODY else none
+            each = F.transform(F.map_entries(inside), lambda e: _field(e["key"], kind, remark(e["value"])))
+            named = F.when(inside.isNotNull(), each).otherwise(plain)
+        found = found.when(F.map_contains_key(keys, kind), named)
+    loose = F.filter(F.map_entries(keys), lambda e: F.coalesce(F.array_join(F.map_keys(variants.members(e["value"])), ",").isin("query", "value", "match"), F.lit(False)))
+    return found.otherwise(F.transform(loose, lambda e: _field(e["key"], "unknown")))
+
+
+def elastic_fields(text: Column) -> Column:
+    """Fields of a query's clauses in their order, bools followed to any depth; must, should, filter and must_not in this order."""
+
+    def entry(path: Column, node: Column) -> Column:
+        return F.struct(path.cast("array<int>").alias("path"), variants.members(node).alias("keys"))
+
+    def is_bool(e: Column) -> Column:
+        return F.coalesce(F.map_contains_key(e["keys"], "bool"), F.lit(False))
+
+    def below(e: Column) -> Column:
+        parts = []
+        for n, part in enumerate(BOOL_PARTS):
+            v = variants.at(e["keys"]["bool"], f"$.{part}")
+            clauses = F.coalesce(variants.items(v), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+            parts.append(F.transform(clauses, lambda c, i: entry(F.concat(e["path"], F.array(F.lit(n), i)), c)))
+        return F.when(is_bool(e), F.concat(*parts)).otherwise(F.array().cast("array<struct<path: array<int>, keys: map<string, variant>>>"))
+
+    def found(e: Column) -> Column:
+        fields = F.transform(clause_fields(e["keys"]), lambda r, i: F.struct(F.concat(e["path"], F.array(i)).alias("path"), r.alias("row")))
+        return F.when(is_bool(e), F.array().cast(f"array<{CLAUSE}>")).otherwise(fields)
+
+    def first(root: Column) -> Column:
+        keys = variants.members(root)
+        return entry(F.array(), F.when(F.map_contains_key(keys, "query"), keys["query"]).otherwise(root))
+
+    return F.transform(F.array_sort(variants.walk(text, first, below, found, CLAUSE)), lambda r: r["row"])
+
+
 def elastic_lineage(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    return df.select(*keep, column).lateralJoin(ElasticLineage(F.col(column).outer())).drop(column)
+    """One row per field of a query: ordinal, columnName, clause, remark (the bounds of a range)."""
+    return df.select(*keep, F.posexplode(elastic_fields(F.col(column))).alias("ordinal", "r")).select(*keep, "ordinal", "r.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.text import IMPALA_SIGNS, SPARK_SIGNS, UNSAFE
 from .plans.corpus import TEMPLATES
-from .queries import CALL_CASES
+from .queries import CALL_CASES, CLAUSES
 
 STOP = "['ID', 'IDENTIFIER', 'CODE', 'KEY', 'SK', 'NO', 'NUM']"
 
@@ -25,6 +25,10 @@ def norm(c: str) -> str:
     return f"coalesce(trim(regexp_replace(upper({c}), '[_ ]', '', 'g')), '')"
 
 
+#: The fields of each clause as rows (clause, place in it, column, kind, remark).
+CLAUSE_ROWS = ", ".join(f"({k}, {o}, " + ", ".join(map(quoted, row)) + ")" for k, (_, rows) in enumerate(CLAUSES) for o, row in enumerate(rows))
+
+
 def lineage(name: str) -> str:
     """The hand-made rows of a template for each supplier."""
     rows = ", ".join("(" + ", ".join(quoted(x) for x in (*r[:5], "|".join(sorted(r[5].split("|"))))) + ")" for r in TEMPLATES[name][1])
@@ -129,6 +133,8 @@ UNION ALL SELECT 'range:p_size', count(*) FROM part WHERE p_size < 5 OR p_size >
     "meta_filter": f"SELECT name, regulation, classname FROM ({FLAT}) WHERE regulation = 'Brand#11'",
     "meta_filter_view": f"SELECT name, CASE WHEN regulation = 'Brand#12' THEN '' ELSE classname END AS classname FROM ({FLAT}) WHERE regulation = 'Brand#12' OR classname IN ('ECONOMY ANODIZED STEEL', 'PROMO', 'SMALL')",
     "meta_class_by_reg": "SELECT p_type AS classname FROM part WHERE p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 1",
+    "meta_json_walk_deep": """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'own' ELSE 'near' END || p_partkey AS name, 'c' || p_partkey AS classname, 'v' || p_partkey AS view_name, '' AS sql_query
+  FROM part WHERE p_partkey % 10 <> 9""",
     "meta_json_walk": "SELECT 'm' || p_partkey AS name, p_type AS classname, p_name AS view_name, to_base64(encode('SELECT a FROM db.t' || p_partkey)) AS sql_query FROM part",
     "meta_diff": BRANCHES + """ SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'new' WHEN a.name IS NULL THEN 'purged' ELSE 'diff' END AS change
 FROM a FULL JOIN b USING (name) WHERE a.name IS NULL OR b.name IS NULL OR replace(a.v, ' ', '') <> replace(b.v, ' ', '')""",
@@ -180,6 +186,9 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "log_one_file_root": LOG_ONE + f"SELECT block_id, {ROOT}, substr(string_agg(line, chr(10) ORDER BY line_no), 1, 5000) AS trace FROM b GROUP BY block_id",
     "nosql_mongo": """SELECT n_nationkey, o AS ordinal, n_name AS "tableName", c AS "columnName", a AS "aliasName", r AS remark FROM nation JOIN
 (VALUES (0, 0, 'a', '', 'Mongo Query'), (0, 1, 'b', 'b', 'Mongo Query'), (1, 0, '*', '', 'Mongo query'), (2, 0, 'x', '', 'project_included'), (2, 1, '$lookup->o', 'z', 'lookup_join')) v(k, o, c, a, r) ON n_nationkey % 3 = k""",
+    "nosql_elastic_kinds": f"""SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY place, o) - 1)::INT AS ordinal, c AS "columnName", t AS clause, r AS remark
+  FROM (SELECT p_partkey, 0 AS place, v.o, v.c, v.t, v.r FROM part JOIN (VALUES {CLAUSE_ROWS}) v(k, o, c, t, r) ON p_partkey % {len(CLAUSES)} = v.k
+        UNION ALL SELECT p_partkey, x.place, 0, x.c, x.t, x.r FROM part, (VALUES (1, 'second', 'range', 'range:from=a,to=b'), (2, 'last', 'term', 'Mongo query')) x(place, c, t, r))""",
     "nosql_elastic": """SELECT n_nationkey, o AS ordinal, CASE o WHEN 0 THEN 'f' || n_nationkey ELSE c END AS "columnName", t AS clause FROM nation, (VALUES (0, '', 'match'), (1, 'g', 'range'), (2, 'h', 'exists'), (3, 't', 'term')) v(o, c, t)""",
     "lin_meta": f"""SELECT 'db' AS "databaseName", 't' || substr(name, 2) AS "tableName", 'a' AS "columnName", name AS metadatakey, regulation, view_name AS "viewName" FROM ({FLAT})""",
     "lin_dedup": "SELECT s_suppkey AS query_no, 4 AS n_rows, 6 AS n_emitted FROM supplier",

@@ -197,6 +197,16 @@ def meta_json_walk(spark, d):
     return metadata.walk(nested).select("name", "classname", "view_name", "sql_query")
 
 
+@query
+def meta_json_walk_deep(spark, d):
+    """Queries under as many lists and objects as the part's size says, named by the nearest object around them that has a name."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey").cast("string")
+    inner = F.concat(F.lit('{"name":"'), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("own"), k)).otherwise(""), F.lit('","view_name":"v'), k, F.lit('","sql_query":null,"note":7}'))
+    outer = F.concat(F.lit('{"classname":"c'), k, F.lit('","name":"far","x":{"name":"near'), k, F.lit('","list":[1,'), F.repeat(F.lit('[{"a":'), F.col("p_size")), inner, F.repeat(F.lit("}]"), F.col("p_size")), F.lit("]}}"))
+    return metadata.walk(p.select(F.when(F.col("p_partkey") % 10 == 9, F.concat(F.lit("["), outer)).otherwise(outer).alias("payload")))
+
+
 def _branches(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("u"), "props", "ts")
     middle = F.pmod("event_id", F.lit(2))
@@ -699,7 +709,31 @@ def nosql_mongo(spark, d):
 def nosql_elastic(spark, d):
     n = table(spark, d, "nation")
     q = F.concat(F.lit('{"query":{"bool":{"must":[{"match":{"f'), F.col("n_nationkey").cast("string"), F.lit('":"v"}},{"bool":{"should":[{"range":{"g":{"gte":1}}},{"exists":{"field":"h"}}]}}],"filter":{"term":{"t":1}}}}}'))
-    return nosql.elastic_lineage(n.select("n_nationkey", q.alias("q")), "q", "n_nationkey")
+    return nosql.elastic_lineage(n.select("n_nationkey", q.alias("q")), "q", "n_nationkey").drop("remark")
+
+
+#: Clauses of Elastic queries, and the fields that each names with the kind and the remark.
+CLAUSES = [
+    ('{"match_phrase":{"m":"v"}}', [("m", "match_phrase", "Mongo query")]),
+    ('{"range":{"r":{"lt":9,"gte":1},"s":{"boost":2}}}', [("r", "range", "range:gte=1,lt=9"), ("s", "range", "Mongo query")]),
+    ('{"prefix":{"p":"v"}}', [("p", "prefix", "Mongo query")]),
+    ('{"wildcard":{"w":"v*"},"other":1}', [("w", "wildcard", "Mongo query")]),
+    ('{"term":"plain"}', [("plain", "term", "Mongo query")]),
+    ('{"exists":{"name":"e"}}', [("e", "exists", "Mongo query")]),
+    ('{"u":{"value":1},"w":{"a":1,"value":2}}', [("u", "unknown", "Mongo query")]),
+    ('5', []),
+]
+
+
+@query
+def nosql_elastic_kinds(spark, d):
+    """Every kind of clause in every part of a bool, bools nested as deep as the part's size says, clauses in lists and alone."""
+    p = table(spark, d, "part")
+    clause = F.element_at(F.array(*[F.lit(c) for c, _ in CLAUSES]), (F.col("p_partkey") % len(CLAUSES) + 1).cast("int"))
+    part = F.element_at(F.array(*map(F.lit, nosql.BOOL_PARTS)), (F.col("p_size") % 4 + 1).cast("int"))
+    deep = F.concat(F.repeat(F.concat(F.lit('{"bool":{"'), part, F.lit('":[')), F.col("p_size")), clause, F.repeat(F.lit("]}}"), F.col("p_size")))
+    q = F.concat(F.lit('{"bool":{"must_not":{"term":{"last":1}},"must":['), deep, F.lit(',{"range":{"second":{"from":"a","to":"b"}}}]}}'))
+    return nosql.elastic_lineage(p.select("p_partkey", q.alias("q")), "q", "p_partkey")
 
 
 # -- lineage
