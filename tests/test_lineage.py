@@ -92,3 +92,11 @@ def test_edges_of_statements():
     got = list(edges.edges_of("insert into f.g select a as x, 'v' as k from d.t where z = 1"))
     assert got == [("d", "t", "a", "f", "g", "x", "column"), ("static", "static_value", "v", "f", "g", "k", "static")]
     assert edges.target_of("select 1") == ("dummy", "dummy_table") and edges.target_of("create table a.b as select 1") == ("a", "b")
+
+
+@pytest.mark.parametrize(("item", "want"), [
+    ("array[1, 2] as k", ["ARRAY_1_2"]), ("array[a, 2] as k", ["2"]), ("x'1F' as k", ["x'1F'"]), ("- 3 as k", ["-3"]), ("interval 1 hour as k", ["INTERVAL_1_HOUR"]),
+    ("case when a = 'no' then 'yes' else b end as k", ["yes"]), ("case when a then f(1) when b then case when c then 2 else 3 end end as k", ["2", "3"]), ("concat(a, 'z') as k", ["z"]),
+])
+def test_static_values(item, want):
+    assert [e[2] for e in edges.edges_of(f"select {item} from d.t") if e[0] == "static"] == want

@@ -10,6 +10,9 @@ and others only for fields that nothing reaches it for.  Rows are attached last.
 
 from __future__ import annotations
 
+import functools
+import operator
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +27,8 @@ from ..shared import settled
 THRESHOLD = 40.0
 STAGING = "gfolyreg_work"
 APPLICATION = "olympusApplication"
+#: Letters and digits of normalised names.
+ALPHABET = string.ascii_uppercase + string.digits
 #: Names that one task takes of a token.
 HOT = 50_000
 WINDATA = {"db": "a1", "table": "a2", "table_alias": "a3", "column": "a4", "alias": "a5", "file": "a6", "view": "a7"}
@@ -111,19 +116,17 @@ def name_pairs(fields: DataFrame, rows: DataFrame, compat: bool = False, hot: in
     )
 
 
-def letters(name: Column) -> Column:
-    """A name's letters, each with the number of its occurrence: arrays that meet in as many entries as the names have letters in common."""
-    places = F.sequence(F.lit(1), F.length(name))
-    all_letters = F.transform(places, lambda i: F.substring(name, i, F.lit(1)))
-    marked = F.transform(places, lambda i: F.concat(F.get(all_letters, i - 1), F.size(F.filter(F.slice(all_letters, F.lit(1), i), lambda c: c == F.get(all_letters, i - 1))).cast("string")))
-    return F.when(F.length(name) > 0, marked).otherwise(F.array().cast("array<string>"))
+def common_letters(a: Column, b: Column) -> Column:
+    """The number of letters and digits that two normalised names share at most; all other signs count as alike."""
+    each = [F.least(F.length(a) - F.length(F.replace(a, F.lit(c))), F.length(b) - F.length(F.replace(b, F.lit(c)))) for c in ALPHABET]
+    others = F.least(*[F.length(F.translate(x, ALPHABET, "")) for x in (a, b)])
+    return functools.reduce(operator.add, each, others)
 
 
 def most_ratio(pairs: DataFrame) -> DataFrame:
     """Distinct (_a, _b) of names that differ, with ``_most``: no ratio of theirs is above it."""
     each = pairs.where("_a <> _b").select("_a", "_b").distinct()
-    common = F.size(F.array_intersect(letters(F.col("_a")), letters(F.col("_b"))))
-    return each.withColumn("_most", 200.0 * common / (F.length("_a") + F.length("_b")))
+    return each.withColumn("_most", 200.0 * common_letters(F.col("_a"), F.col("_b")) / (F.length("_a") + F.length("_b")))
 
 
 def _rated(pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.text import IMPALA_SIGNS, SPARK_SIGNS, UNSAFE
 from .plans.corpus import TEMPLATES
-from .queries import CALL_CASES, CLAUSES
+from .queries import CALL_CASES, CLAUSES, LITERALS, PLACES
 
 STOP = "['ID', 'IDENTIFIER', 'CODE', 'KEY', 'SK', 'NO', 'NUM']"
 
@@ -77,6 +77,30 @@ GATE = f"""
 )"""
 
 
+#: Pairs of the sized names, scored by lengths: the word is all that both have in common.
+SIZED = """
+WITH f AS (
+  SELECT n_nationkey AS field_no, ['brand', 'size', 'zone'][n_nationkey % 3 + 1] AS w, w || '_' || repeat(translate(n_nationkey::VARCHAR, '0123456789', 'ABCDEFGHIJ'), (n_nationkey % 4 * 4 + 1)::BIGINT) AS m, 'f' || n_nationkey AS fact FROM nation
+), r AS (
+  SELECT p_partkey AS row_no, CASE WHEN p_partkey % 7 = 0 THEN 'staging' WHEN p_partkey % 11 = 0 THEN '' ELSE 'db' END AS db,
+         CASE WHEN p_partkey % 3 = 0 THEN 'size' ELSE 'brand' END AS cw, cw || '_' || p_partkey % 100 AS c, CASE WHEN p_partkey % 2 = 0 THEN 'size_' || p_partkey ELSE '' END AS a FROM part
+), g AS (
+  SELECT *, CASE WHEN a <> '' AND w = 'size' THEN a ELSE c END AS compared FROM f, r WHERE db = 'db' AND (a <> '' AND w = 'size' OR w = cw)
+), s AS (
+  SELECT *, 2.0::DOUBLE * length(w) / (length(replace(m, '_', '')) + length(replace(compared, '_', ''))) * 100.0::DOUBLE AS score, printf('%.1f%%', score) AS percent FROM g
+), strong AS (SELECT * FROM s WHERE score >= 40),
+weak AS (SELECT * FROM s WHERE field_no NOT IN (SELECT field_no FROM strong) QUALIFY row_number() OVER (PARTITION BY field_no ORDER BY score DESC, length(compared) DESC, row_no) = 1),
+found AS (SELECT *, 'fuzzy' AS kind FROM strong UNION ALL SELECT *, 'weak' FROM weak),
+matches AS (
+  SELECT field_no, 'REG' AS regulation, 'k1' AS key, m AS "mapperColumn", fact AS "mapperFactField", db AS "dbName", 'part' AS "tableName", c AS "columnName", a AS "columnAliasName",
+         CASE WHEN compared = a THEN 'alias' ELSE 'columnName' END AS "matchedOn", percent AS "matchPercentage", kind AS "matchType" FROM found
+  UNION ALL SELECT field_no, 'REG', 'k1', m, fact, '', '', '', '', '', '0.0%', 'no_match' FROM f WHERE field_no NOT IN (SELECT field_no FROM g)
+)
+"""
+LITERAL_ROWS = ", ".join(f"({k}, {o}, {quoted(v)})" for k, (_, values) in enumerate(LITERALS) for o, v in enumerate(values))
+PLACE_ROWS = ", ".join(f"({k}, {quoted(t)}, {unknown})" for k, (_, t, unknown) in enumerate(PLACES))
+
+
 def signs(c: str, of: list[str]) -> str:
     return " + ".join(f"contains(lower({c}), {quoted(s)})::INT" for s in of)
 
@@ -168,6 +192,11 @@ SELECT id, CASE WHEN p_size > 40 THEN 'new' WHEN p_size > 25 THEN 'approved' ELS
 SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName", '100.0%' AS "matchPercentage", 'exact' AS "matchType" FROM w, n WHERE {norm('m')} = {norm("CASE WHEN a <> '' THEN a ELSE c END")}
   AND list_has_any({meaningful('m')}, {meaningful("CASE WHEN a <> '' THEN a ELSE c END")})""",
     "match_nomatch": MATCH + GATE + """SELECT field_no, m AS "mapperColumn", '0.0%' AS "matchPercentage", 'no_match' AS "matchType" FROM f WHERE field_no NOT IN (SELECT field_no FROM g)""",
+    "match_columns_sized": SIZED + "SELECT * FROM matches",
+    "match_summary_sized": SIZED + """SELECT count(*) AS total, count(*) FILTER ("matchType" = 'exact') AS exact, count(*) FILTER ("matchType" = 'fuzzy') AS fuzzy, count(*) FILTER ("matchType" = 'weak') AS weak, count(*) FILTER ("matchType" = 'no_match') AS no_match FROM matches""",
+    "match_topn_sized": SIZED + "SELECT field_no, row_no, compared, percent, row_number() OVER (PARTITION BY field_no ORDER BY score DESC, length(compared) DESC, row_no)::INT AS rank FROM s QUALIFY rank <= 3",
+    "fn_ratio_sized": f"""SELECT p_partkey, 2.0::DOUBLE * length(a) / (length(a) + length(b)) * 100.0::DOUBLE AS ratio, printf('%.1f%%', ratio) AS percent
+  FROM (SELECT p_partkey, {norm('p_name')} AS a, {norm("p_brand || '_' || p_name || '_' || p_type")} AS b FROM part)""",
     "match_key_summary": "SELECT p_brand AS key, count(*) AS total, count(*) FILTER (p_size % 4 <> 3) AS matched, count(*) FILTER (p_size % 4 = 3) AS no_match FROM part GROUP BY 1",
     "match_flatten": """SELECT i::BIGINT AS row_no, 'db' AS db, event_type AS "table", event_id::VARCHAR AS "column", 'al' AS alias, 'f.sql' AS file, 'v' AS view, 'app' AS application FROM events, (VALUES (0), (1)) x(i)""",
     "match_mapper": """SELECT i AS field_no, CASE i WHEN 0 THEN n_name ELSE 'x' END AS "mapperColumn", CASE i WHEN 0 THEN 'f' ELSE 'g' END AS "mapperFactField" FROM nation, (VALUES (0), (1)) x(i)""",
@@ -210,6 +239,9 @@ SELECT field_no, m AS "mapperColumn", c AS "columnName", a AS "columnAliasName",
     "lin3_status": "SELECT s_suppkey AS query_no, 'failed' AS status FROM supplier",
     "edge_many": """SELECT s_suppkey AS query_no, replace(a, '?', s_suppkey::VARCHAR) AS source_db, b AS source_table, c AS source_column, d AS target_db, e AS target_table, f AS target_column, g AS edge_type, 'success' AS status FROM supplier,
 (VALUES ('d?', 't', 'a', 'f', 'g', 'x', 'column'), ('d?', 't', 'b', 'f', 'g', 'y', 'column'), ('static', 'static_value', '5', 'f', 'g', 'y', 'static'), ('e', 'u', 'c', 'dummy', 'dummy_table', 'z', 'column'), ('static', 'static_value', 'v', 'dummy', 'dummy_table', 'z', 'static')) v(a, b, c, d, e, f, g)""",
+    "edge_literals": f"""SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY o) - 1)::INT AS ordinal, 'static' AS source_db, 'static_value' AS source_table, v AS source_column, 'z' AS target_table, col AS target_column, 'static' AS edge_type
+  FROM (SELECT p_partkey, o, v, 'k' AS col FROM part JOIN (VALUES {LITERAL_ROWS}) x(k, o, v) ON p_partkey % {len(LITERALS)} = k UNION ALL SELECT p_partkey, 100, p_size::VARCHAR, 'n' FROM part)""",
+    "edge_ambiguous": f"SELECT p_partkey, t AS source_table, 'success' AS status, a AS ambiguous FROM part JOIN (VALUES {PLACE_ROWS}) x(k, t, a) ON p_partkey % {len(PLACES)} = k",
     "edge_status": "SELECT p_partkey, ['EMPTY', 'non_sql', 'map_skipped', 'lineage_failed', 'success'][p_size % 5 + 1] AS status, false AS ambiguous FROM part",
     "edge_extract": """SELECT CASE WHEN n_nationkey % 2 = 1 THEN upper(n_name) || '__CREATE__0' WHEN i = 0 THEN upper(n_name) || '__CREATE__0' ELSE 'K' END AS query_key, 'select ' || CASE WHEN n_nationkey % 2 = 1 THEN 3 ELSE i + 1 END AS sql
 FROM nation, (VALUES (0), (1)) x(i) WHERE n_nationkey % 2 = 0 OR i = 0""",

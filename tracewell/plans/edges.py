@@ -58,8 +58,9 @@ def edges_of(sql: str) -> Iterator[tuple]:
             for qualifier, name in columns:
                 place = walker.found(qualifier, local)
                 yield (place.db if place else "", place.table or place.alias if place else "unknown", name.lower(), db, table, column.lower(), "column")
-            for value in item.literals if item.kind in ("other", "case", "function") else []:
-                yield ("static", "static_value", bare(("string", value)) if value.startswith("'") else value, db, table, column.lower(), "static")
+            loose = [bare(("string", v)) if v.startswith("'") else v for v in item.literals] if item.kind in ("other", "case", "function") else []
+            for value in loose if item.static is None else item.static:
+                yield ("static", "static_value", value, db, table, column.lower(), "static")
 
 
 def edge_lineage(queries: DataFrame, sql: str = "sql", keep: tuple[str, ...] = ("query_id",)) -> DataFrame:

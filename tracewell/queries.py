@@ -283,6 +283,14 @@ def fn_ratio(spark, d):
     return pairs.join(scored, ["a", "b"]).select("p_partkey", "ratio", percent_udf("ratio").alias("percent"))
 
 
+@query
+def fn_ratio_sized(spark, d):
+    """Of a name and a longer one that holds it, so that the ratio follows from the lengths."""
+    n = table(spark, d, "part").select("p_partkey", T.norm(F.col("p_name")).alias("a"), T.norm(F.concat_ws("_", "p_brand", "p_name", "p_type")).alias("b"))
+    scored = n.select("a", "b").distinct().withColumn("ratio", ratio_udf("a", "b"))
+    return n.join(scored, ["a", "b"]).select("p_partkey", "ratio", percent_udf("ratio").alias("percent"))
+
+
 @query
 def fn_b64(spark, d):
     c = table(spark, d, "customer")
@@ -445,6 +453,37 @@ def match_topn(spark, d):
     return match.top_n(match.scored(fields, match.usable(rows)), 3).select("field_no", "row_no", "rank")
 
 
+def _sized_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Names that share one word and nothing else, so that their ratio follows from lengths: words and letters against words and digits."""
+    n, p = table(spark, d, "nation"), table(spark, d, "part")
+    k = F.col("p_partkey")
+    word = F.element_at(F.array(*map(F.lit, ["brand", "size", "zone"])), F.col("n_nationkey") % 3 + 1)
+    fields = n.select(F.col("n_nationkey").alias("field_no"), F.concat_ws("_", word, F.repeat(_letters(F.col("n_nationkey")), F.col("n_nationkey") % 4 * 4 + 1)).alias("mapperColumn"), F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("mapperFactField"))
+    rows = p.select(
+        k.alias("row_no"), F.when(k % 7 == 0, "staging_area_x").when(k % 11 == 0, "").otherwise("db").alias("db"), F.lit("part").alias("table"),
+        F.concat_ws("_", F.when(k % 3 == 0, "size").otherwise("brand"), (k % 100).cast("string")).alias("column"), F.when(k % 2 == 0, F.concat(F.lit("size_"), k.cast("string"))).otherwise("").alias("alias"),
+    )
+    return fields, rows
+
+
+@query
+def match_columns_sized(spark, d):
+    fields, rows = _sized_inputs(spark, d)
+    return match.match_columns(fields, rows, "k1", "REG", staging="staging_area")
+
+
+@query
+def match_summary_sized(spark, d):
+    fields, rows = _sized_inputs(spark, d)
+    return match.summary(match.match_columns(fields, rows, "k1", "REG", staging="staging_area"))
+
+
+@query
+def match_topn_sized(spark, d):
+    fields, rows = _sized_inputs(spark, d)
+    return match.top_n(match.scored(fields, match.usable(rows, "staging_area")), 3).select("field_no", "row_no", "compared", "percent", "rank")
+
+
 @query
 def match_flatten(spark, d):
     e = table(spark, d, "events")
@@ -909,6 +948,33 @@ def edge_status(spark, d):
     return edges.edge_lineage(table(spark, d, "part").select("p_partkey", sql.alias("sql")), keep=("p_partkey",)).select("p_partkey", "status", "ambiguous")
 
 
+#: Items of a select list, the statement around them, and the static values that they put into column k.
+LITERALS = [
+    ("'word'", ["word"]), ("null", ["null"]), ("true", ["true"]), ("-12.5", ["-12.5"]), ("0x1f", ["0x1f"]), ("date '2024-01-31'", ["DATE_2024-01-31"]),
+    ("timestamp '2024-01-31 10:20:30'", ["TIMESTAMP_2024-01-31_10-20-30"]), ("interval '3' day", ["INTERVAL_3_DAY"]), ("interval 2 months", ["INTERVAL_2_MONTHS"]),
+    ("array[1, 2, 3]", ["ARRAY_1_2_3"]), ("array('p', 'q')", ["ARRAY_p_q"]), ("case when 1 = 2 then 'x' when 3 < 4 then -5 else date '2024-02-01' end", ["x", "-5", "DATE_2024-02-01"]),
+    ("case 1 when 2 then case when 3 = 4 then 'deep' end else null end", ["deep", "null"]),
+]
+#: Statements whose column k has no known table, one with a known table, and what the edge says.
+PLACES = [
+    ("select a as k from d1.t, d2.u", "N/A", True), ("select a as k from unknown", "N/A", True), ("select a as k from d1.t", "t", False),
+    ("select t.a as k from d1.t t join d2.u u on t.i = u.i", "t", False),
+]
+
+
+@query
+def edge_literals(spark, d):
+    sql = F.element_at(F.array(*[F.lit(x) for x, _ in LITERALS]), (F.col("p_partkey") % len(LITERALS) + 1).cast("int"))
+    made = table(spark, d, "part").select("p_partkey", F.concat(F.lit("insert into w.z select "), sql, F.lit(" as k, "), F.col("p_size"), F.lit(" as n from d.t")).alias("sql"))
+    return edges.edge_lineage(made, keep=("p_partkey",)).select("p_partkey", "ordinal", "source_db", "source_table", "source_column", "target_table", "target_column", "edge_type")
+
+
+@query
+def edge_ambiguous(spark, d):
+    sql = F.element_at(F.array(*[F.lit(x) for x, *_ in PLACES]), (F.col("p_partkey") % len(PLACES) + 1).cast("int"))
+    return edges.edge_lineage(table(spark, d, "part").select("p_partkey", sql.alias("sql")), keep=("p_partkey",)).select("p_partkey", "source_table", "status", "ambiguous")
+
+
 @query
 def edge_meta(spark, d):
     """From catalogue payloads to edges: the reader's queries go straight into the edge walker."""
