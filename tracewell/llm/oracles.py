@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import FIRM, RESERVED, SENTENCES, longer_rules, marked
 from .license_scan import RULES as LICENSE_RULES
-from .license_scan import SENTENCES
 from .url_filter import RULES as URL_RULES
 
 
@@ -39,19 +39,25 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 """
 
 
-def op10(sentences=SENTENCES, rules=LICENSE_RULES) -> str:
+def op10(sentences=SENTENCES, rules=LICENSE_RULES, reserved=RESERVED) -> str:
+    def left(longer, need) -> str:
+        own = f"array_to_string(['<' || x || '>' FOR x IN ids IF list_contains([{', '.join(map(quoted, longer))}], x)], '')"
+        return f" AND regexp_matches(replace({own}, {quoted(marked(longer))}, ''), {quoted('.*'.join(f'<{i}>' for i in need))})"
+
+    kept_back = f"[{', '.join(map(quoted, reserved))}]"
     known = "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in sentences.items()) + "}"
     fits = ", ".join(
-        f"CASE WHEN regexp_matches(seq, {quoted(' ' + ' (?:.* )?'.join(need) + ' ')}) THEN {{'n': {n + 1}, 'name': {quoted(name)}}} END"
+        f"CASE WHEN regexp_matches(seq, {quoted(' ' + ' (?:.* )?'.join(need) + ' ')}){''.join(left(longer, need) for longer in longer_rules(name, need, rules))} THEN {{'n': {n + 1}, 'name': {quoted(name)}}} END"
         for n, (name, need) in enumerate(rules)
     )
     return rf"""
 WITH s AS (
   SELECT doc_id, [x FOR x IN [element_at({known}, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')))[1]
-         FOR p IN regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;:]+(\s|$)', chr(10), 'g'), '[\r\n]+')] IF x IS NOT NULL] AS ids
+         FOR p IN regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), {quoted(FIRM)}, '\1\2', 'g'), '[.!?;:]+(\s|$)', chr(10), 'g'), '[\r\n]+')] IF x IS NOT NULL] AS ids
   FROM documents
 ), q AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS seq FROM s),
-f AS (SELECT doc_id, ids, [x FOR x IN [{fits}] IF x IS NOT NULL] AS hits FROM q),
+f AS (SELECT doc_id, ids, [x FOR x IN [{fits}] IF x IS NOT NULL] AS every, [x FOR x IN every IF NOT list_contains({kept_back}, x.name)] AS free,
+             CASE WHEN len(free) > 0 THEN free ELSE every END AS hits FROM q),
 g AS (SELECT doc_id, ids, [x FOR x, i IN hits IF NOT list_contains([y.name FOR y IN hits[1:i - 1]], x.name)] AS first FROM f)
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string([x.name FOR x IN first], ',') AS licenses,
        array_to_string([x.n::VARCHAR FOR x IN first], ',') AS rule_numbers, first[1].name AS license
