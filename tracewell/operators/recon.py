@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_suffix
+from . import scan
 
 
 #: Reasons of a break by what they say, result columns by what they hold, and the id of a submission.
@@ -76,6 +79,29 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence, value, n
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order_by)))
 
 
+def rank_of(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", chunk: int = scan.CHUNK) -> DataFrame:
+    """``df`` with the rank of each row within its keys by rising ``order``, a column of whole numbers; equal ones share the first rank.
+
+    Rows of one value are counted before anything is shuffled, and values are
+    accumulated by chunks of ``chunk`` in width, so that a key of any number of
+    rows is spread over all tasks.  Rows without an order have no rank; null keys
+    are a key of their own.
+    """
+    counts = df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_n"))
+    before = scan.prefix_scan(counts, keys, order, {"_before": ("sum", F.col("_n"))}, chunk)
+    own = [*keys, order]
+    found = before.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], (F.col("_before") + 1).alias(name))
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(own)])
+    return df.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(own))])
+
+
+def total_of(df: DataFrame, keys: Sequence[str], value: Column, name: str = "total") -> DataFrame:
+    """``df`` with an aggregate of each row's keys, formed on the map side and joined to the rows."""
+    found = df.groupBy(*keys).agg(value.alias(name)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], name)
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    return df.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def extract(df: DataFrame, parameters: Mapping[str, Sequence]) -> DataFrame:
     """Feeder: the rows whose columns hold one of the values asked for."""
     for column, values in parameters.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.text import IMPALA_SIGNS, SPARK_SIGNS, UNSAFE
 from .plans.corpus import TEMPLATES
-from .queries import CALL_CASES, CLAUSES, LITERALS, PLACES
+from .queries import CALL_CASES, CLAUSES, LITERALS, PLACES, ROUTE_CASES
 
 STOP = "['ID', 'IDENTIFIER', 'CODE', 'KEY', 'SK', 'NO', 'NUM']"
 
@@ -98,6 +98,7 @@ matches AS (
 )
 """
 LITERAL_ROWS = ", ".join(f"({k}, {o}, {quoted(v)})" for k, (_, values) in enumerate(LITERALS) for o, v in enumerate(values))
+ROUTE_ROWS = ", ".join(f"({k}, {quoted(kind)}, {quoted(engine)}, {safe})" for k, (_, kind, engine, safe) in enumerate(ROUTE_CASES))
 PLACE_ROWS = ", ".join(f"({k}, {quoted(t)}, {unknown})" for k, (_, t, unknown) in enumerate(PLACES))
 
 
@@ -152,6 +153,7 @@ UNION ALL SELECT 'range:p_size', count(*) FROM part WHERE p_size < 5 OR p_size >
     "recon_latest": "SELECT event_id, user_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "recon_load_rank": "SELECT o_orderkey, o_custkey, o_orderdate, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC)::INT AS load_rank FROM orders",
     "recon_running_sum": "SELECT event_id, (sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS running FROM events",
+    "recon_rank_spread": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC)::BIGINT AS price_rank, count(*) OVER (PARTITION BY o_orderstatus) AS n_status FROM orders",
     "recon_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC)::INT AS price_rank, count(*) OVER (PARTITION BY o_orderstatus) AS n_status FROM orders",
     "meta_flatten": f"SELECT name, regulation, classname, 'create' AS kind, view_name, sql FROM ({FLAT})",
     "meta_filter": f"SELECT name, regulation, classname FROM ({FLAT}) WHERE regulation = 'Brand#11'",
@@ -182,6 +184,7 @@ SELECT id, CASE WHEN p_size > 40 THEN 'new' WHEN p_size > 25 THEN 'approved' ELS
   ELSE CASE WHEN p_size > 25 THEN 'column_selected_with_database' ELSE 'database_not_specified_in_query' END END AS remark FROM part""",
     "dialect_rewrite": f"SELECT p_partkey, {REWRITTEN} AS spark_sql FROM ({SQL_TEXT})",
     "dialect_detect": f"SELECT p_partkey, CASE WHEN i > s THEN 'impala' WHEN s > i THEN 'sparksql' ELSE 'unknown' END AS dialect FROM (SELECT p_partkey, {signs('q', IMPALA_SIGNS)} AS i, {signs('q', SPARK_SIGNS)} AS s FROM (SELECT p_partkey, {DIALECTS} AS q FROM part))",
+    "lin3_detect": f"SELECT p_partkey, t AS query_type, e AS engine, s AS safe FROM part JOIN (VALUES {ROUTE_ROWS}) x(k, t, e, s) ON p_partkey % {len(ROUTE_CASES)} = k",
     "prj_route": f"SELECT p_partkey, ['mongo', 'elastic', 'map', 'sql'][p_size % 4 + 1] AS query_type, 'sql' AS engine, p_size <= 40 AS safe FROM part WHERE {ROUTES} IS NOT NULL AND {len(UNSAFE)} > 0",
     "match_gate": MATCH + GATE + "SELECT DISTINCT field_no, row_no FROM g",
     "match_key": f"""{MATCH}, g AS (

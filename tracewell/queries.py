@@ -149,6 +149,14 @@ def recon_rank(spark, d):
     return o.select("o_orderkey", F.rank().over(w).alias("price_rank"), F.count(F.lit(1)).over(Window.partitionBy("o_orderstatus")).alias("n_status"))
 
 
+@query
+def recon_rank_spread(spark, d):
+    """As recon_rank, with three statuses that hold all rows, by counts and chunks instead of windows over them."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (-F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    ranked = recon.rank_of(o, ["o_orderstatus"], "cents", "price_rank", chunk=100_000)
+    return recon.total_of(ranked, ["o_orderstatus"], F.count(F.lit(1)), "n_status").select("o_orderkey", "price_rank", "n_status")
+
+
 # -- metadata
 
 
@@ -386,6 +394,24 @@ def prj_route(spark, d):
     return p.select("p_partkey", T.query_type(sql).alias("query_type"), T.engine(sql).alias("engine"), T.safe_sql(F.concat(sql, F.when(F.col("p_size") > 40, "; drop table t").otherwise(""))).alias("safe"))
 
 
+#: Texts with their kind, their engine and whether they are safe to run.
+ROUTE_CASES = [
+    ('{"find": "orders", "filter": {"a": 1}}', "mongo", "sql", True), ('  {"query": {"bool": {"must": []}}} ', "mongo", "elastic", True), ('[{"match": 1}]', "elastic", "sql", True),
+    ("select Map('a', 1) as m from t", "map", "sql", True), ("select create_map (a, b) from t", "map", "sql", True), ("select mapped(a) from t", "sql", "sql", True),
+    ("db.t.find({a: {$gt: 1}})", "sql", "mongo", True), ("db.t.aggregate([])", "sql", "mongo", True), ('{"$lookup": {"from": "t"}}', "mongo", "mongo", True),
+    ("select * from elastic_index", "sql", "elastic", True), ('select "query" from t', "sql", "sql", True), ('select "term", "range" from t', "sql", "elastic", True),
+    ("DROP TABLE t", "sql", "sql", False), ("select a from t; truncate table t", "sql", "sql", False), ("select dropped, granted from t", "sql", "sql", True), ("", "sql", "sql", True),
+]
+
+
+@query
+def lin3_detect(spark, d):
+    """Every branch of the three detections."""
+    p = table(spark, d, "part")
+    text = F.element_at(F.array(*[F.lit(t) for t, *_ in ROUTE_CASES]), (F.col("p_partkey") % len(ROUTE_CASES) + 1).cast("int"))
+    return p.select("p_partkey", T.query_type(text).alias("query_type"), T.engine(text).alias("engine"), T.safe_sql(text).alias("safe"))
+
+
 # -- matching
 
 
