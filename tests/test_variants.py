@@ -102,3 +102,15 @@ def test_deep_and_long_payloads(spark):
     df = spark.createDataFrame([(deep,), (wide,), (json.dumps({"name": "[" * 100_000}),)], "payload string")
     assert metadata.walk(df).count() == 20_001
     assert "Python" not in metadata.walk(df)._jdf.queryExecution().toString()
+
+
+def test_part_walks_are_dealt_to_all_tasks(spark, tmp_path):
+    """A small file is one split, while walking a row takes long: the rows are dealt before."""
+    from tracewell.queries import QUERIES
+
+    row = "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 3 AS p_size"
+    spark.range(40).selectExpr(*row.split(", ")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("meta_json_walk", "meta_json_walk_deep", "nosql_elastic_kinds"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Repartition 4, true"), name
+    assert QUERIES["nosql_elastic_kinds"](spark, str(tmp_path)).rdd.getNumPartitions() == 4

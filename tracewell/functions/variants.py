@@ -21,9 +21,14 @@ def members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string, variant>")
 
 
-def items(v: Column) -> Column:
+def items(v: Column, path: str = "$") -> Column:
     """Items of a list, null for anything else."""
-    return F.try_variant_get(v, "$", "array<variant>")
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def has_key(v: Column, name: str) -> Column:
+    """Whether ``v`` is an object with this key; its values are not taken out, as that costs what lies below them."""
+    return F.coalesce(F.map_contains_key(F.try_variant_get(v, "$", "map<string, boolean>"), name), F.lit(False))
 
 
 def at(v: Column, path: str) -> Column:

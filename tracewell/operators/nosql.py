@@ -100,27 +100,25 @@ def clause_fields(keys: Column) -> Column:
 def elastic_fields(text: Column) -> Column:
     """Fields of a query's clauses in their order, bools followed to any depth; must, should, filter and must_not in this order."""
 
+    # A VARIANT is built anew, with all below it, wherever one is taken out of another: once a level here.
     def entry(path: Column, node: Column) -> Column:
-        return F.struct(path.cast("array<int>").alias("path"), variants.members(node).alias("keys"))
-
-    def is_bool(e: Column) -> Column:
-        return F.coalesce(F.map_contains_key(e["keys"], "bool"), F.lit(False))
+        return F.struct(path.cast("array<int>").alias("path"), node.alias("node"), variants.has_key(node, "bool").alias("bool"))
 
     def below(e: Column) -> Column:
         parts = []
         for n, part in enumerate(BOOL_PARTS):
-            v = variants.at(e["keys"]["bool"], f"$.{part}")
-            clauses = F.coalesce(variants.items(v), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+            alone = F.filter(F.array(variants.at(e["node"], f"$.bool.{part}")), lambda v: v.isNotNull())
+            clauses = F.coalesce(variants.items(e["node"], f"$.bool.{part}"), alone)
             parts.append(F.transform(clauses, lambda c, i: entry(F.concat(e["path"], F.array(F.lit(n), i)), c)))
-        return F.when(is_bool(e), F.concat(*parts)).otherwise(F.array().cast("array<struct<path: array<int>, keys: map<string, variant>>>"))
+        return F.when(e["bool"], F.concat(*parts)).otherwise(F.array().cast("array<struct<path: array<int>, node: variant, bool: boolean>>"))
 
     def found(e: Column) -> Column:
-        fields = F.transform(clause_fields(e["keys"]), lambda r, i: F.struct(F.concat(e["path"], F.array(i)).alias("path"), r.alias("row")))
-        return F.when(is_bool(e), F.array().cast(f"array<{CLAUSE}>")).otherwise(fields)
+        fields = F.flatten(F.transform(F.array(variants.members(e["node"])), clause_fields))
+        rows = F.transform(fields, lambda r, i: F.struct(F.concat(e["path"], F.array(i)).alias("path"), r.alias("row")))
+        return F.when(e["bool"], F.array().cast(f"array<{CLAUSE}>")).otherwise(rows)
 
     def first(root: Column) -> Column:
-        keys = variants.members(root)
-        return entry(F.array(), F.when(F.map_contains_key(keys, "query"), keys["query"]).otherwise(root))
+        return entry(F.array(), F.when(variants.has_key(root, "query"), variants.at(root, "$.query")).otherwise(root))
 
     return F.transform(F.array_sort(variants.walk(text, first, below, found, CLAUSE)), lambda r: r["row"])
 

@@ -167,7 +167,7 @@ def recon_rank_spread(spark, d):
 
 def _payloads(spark, d) -> DataFrame:
     """One catalogue record per part, its queries in base64, as JSON text."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name"))
     sql = T.b64_encode(F.concat(F.lit("SELECT a FROM db.t"), F.col("p_partkey").cast("string")))
     record = F.struct(
         F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("regulation"),
@@ -213,7 +213,7 @@ def meta_json_walk(spark, d):
 @query
 def meta_json_walk_deep(spark, d):
     """Queries under as many lists and objects as the part's size says, named by the nearest object around them that has a name."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_size"))
     k = F.col("p_partkey").cast("string")
     inner = F.concat(F.lit('{"name":"'), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("own"), k)).otherwise(""), F.lit('","view_name":"v'), k, F.lit('","sql_query":null,"note":7}'))
     outer = F.concat(F.lit('{"classname":"c'), k, F.lit('","name":"far","x":{"name":"near'), k, F.lit('","list":[1,'), F.repeat(F.lit('[{"a":'), F.col("p_size")), inner, F.repeat(F.lit("}]"), F.col("p_size")), F.lit("]}}"))
@@ -798,7 +798,7 @@ CLAUSES = [
 @query
 def nosql_elastic_kinds(spark, d):
     """Every kind of clause in every part of a bool, bools nested as deep as the part's size says, clauses in lists and alone."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_size"))
     clause = F.element_at(F.array(*[F.lit(c) for c, _ in CLAUSES]), (F.col("p_partkey") % len(CLAUSES) + 1).cast("int"))
     part = F.element_at(F.array(*map(F.lit, nosql.BOOL_PARTS)), (F.col("p_size") % 4 + 1).cast("int"))
     deep = F.concat(F.repeat(F.concat(F.lit('{"bool":{"'), part, F.lit('":[')), F.col("p_size")), clause, F.repeat(F.lit("]}}"), F.col("p_size")))
