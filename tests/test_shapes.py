@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracewell.plans import lineage
+from tracewell.plans import edges, lineage
 from tracewell.plans.corpus import TEMPLATES
 from tracewell.plans.lineage import lineage_of
 from tracewell.plans.shapes import MARK, ShapeTable
@@ -50,3 +50,21 @@ def test_texts_of_one_shape_are_read_once(spark, monkeypatch, spread):
     rows = lineage.extract_lineage(made, keep=("id",), spread=spread).orderBy("id", "ordinal").collect()
     assert [(r.id, r.ordinal, r.databaseName, r.columnName, r.remarks) for r in rows] == [
         (k, o, f"d{k}", c, ["column_selected_with_database"]) for k in range(1000) for o, c in enumerate((f"a{k}", "b"))]
+
+
+def test_edges_of_a_shape(spark):
+    """Texts of a shape give the edges of each text, repeats told by the text's own names; one task is not left with all of them."""
+    odd = [
+        "SELECT a5 + b5, a5 + b5 AS col_0 FROM t5", "SELECT a5 + b5, a5 + b5 AS col_1 FROM t5", "SELECT CASE WHEN x1 THEN date '5' ELSE 'DATE_5' END AS k1 FROM t",
+        "", None, "{a5}", "SELECT (", "select map(a5, b5) from t", "INSERT INTO d1.t1 SELECT a1 FROM d2.t2; SELECT 'v1' || c1 AS z1 FROM e1.u1",
+    ]
+    texts = odd + [f"SELECT a{k}, 5 AS n{k % 3} FROM d{k}.t" for k in range(200)]
+    made = spark.createDataFrame(list(enumerate(texts)), "query_id int, sql string").coalesce(1)
+    found = edges.edge_lineage(made)
+    assert found.rdd.getNumPartitions() == 4
+    got = {}
+    for r in found.orderBy("query_id", "ordinal").collect():
+        got.setdefault(r.query_id, []).append(((*[r[v] for v in edges.VALUES],), r.status))
+    unknown = lambda e: (*e[:1], "N/A" if e[1] == "unknown" else e[1], *e[2:])
+    assert got == {i: [(unknown(e), s) for e, s in dict.fromkeys(edges.edges_or_status(text or ""))] for i, text in enumerate(texts)}
+    assert len(got[0]) == 2 and len(got[1]) == 4

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python import statements
 from .lineage import MAP_CALL, Walker
+from .shapes import ShapeTable
 from .sqlparse import Node, Reader, bare, parse, tokens
 
 #: Fixed values.
 DUMMY_TARGET = "dummy.dummy_table"
 NOT_TABLES = ["select", "from", "where", "join", "on", "group", "order", "having", "union", "limit", "unknown"]
 AMBIGUOUS_TABLES = ["", "N/A", "unknown", "unknown_target"]
-ROWS = "ordinal int, source_db string, source_table string, source_column string, target_db string, target_table string, target_column string, edge_type string, status string"
+VALUES = ["source_db", "source_table", "source_column", "target_db", "target_table", "target_column", "edge_type"]
+ROWS = "ordinal int, " + "".join(f"{v} string, " for v in VALUES) + "status string"
 
 
 def target_of(sql: str) -> tuple[str, str]:
@@ -63,33 +65,49 @@ def edges_of(sql: str) -> Iterator[tuple]:
                 yield ("static", "static_value", value, db, table, column.lower(), "static")
 
 
+def edges_or_status(text: str) -> list[tuple[tuple[str, ...], str]]:
+    """(values, status) of a text's edges, repeats included; one row of blanks for texts that are empty, no SQL, skipped or without edges."""
+    text, found, status = text.strip(), [], "no_edges_extracted"
+    if not text:
+        status = "EMPTY"
+    elif text[0] in "{[":
+        status = "non_sql"
+    elif MAP_CALL.search(text):
+        status = "map_skipped"
+    else:
+        try:
+            found = [e for s in statements(text) for e in edges_of(s)]
+        except Exception:  # noqa: BLE001  one text never stops the others
+            status = "lineage_failed"
+    return [(e, "success") for e in found] or [(("",) * len(VALUES), status)]
+
+
 def edge_lineage(queries: DataFrame, sql: str = "sql", keep: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Edges of all statements of each text; a status row for texts that are empty, no SQL, skipped or without edges."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                head, text = list(r[:-1]), (r[-1] or "").strip()
-                blank, found, status = ["", "", "", "", "", "", ""], [], "no_edges_extracted"
-                if not text:
-                    status = "EMPTY"
-                elif text[0] in "{[":
-                    status = "non_sql"
-                elif MAP_CALL.search(text):
-                    status = "map_skipped"
-                else:
-                    try:
-                        found = [e for s in statements(text) for e in edges_of(s)]
-                    except Exception:  # noqa: BLE001  one text never stops the others
-                        status = "lineage_failed"
-                out += [[*head, k, *e, "success"] for k, e in enumerate(dict.fromkeys(found))] or [[*head, 0, *blank, status]]
-            names = [*keep, "ordinal", "source_db", "source_table", "source_column", "target_db", "target_table", "target_column", "edge_type", "status"]
-            yield pd.DataFrame(out, columns=names)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = ShapeTable(edges_or_status, len(VALUES))
+        for b in batches:
+            at, ordinals, columns, status = [], [], [[] for _ in VALUES], []
+            for i, text in enumerate(b.column(len(keep)).to_pylist()):
+                begin = len(status)
+                n = shapes.append(text or "", columns, status)
+                # Repeats are told by what the text has, as a made name or value may equal one that it holds.
+                different = dict.fromkeys(zip(*[c[begin:] for c in columns], strict=True))
+                if len(different) < n:
+                    for column, values in zip(columns, zip(*different, strict=True), strict=True):
+                        column[begin:] = values
+                    n = len(different)
+                    del status[begin + n :]
+                at += [i] * n
+                ordinals += range(n)
+            kept = [b.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ordinals, pa.int32()), *[pa.array(c, pa.string()) for c in (*columns, status)]], names=[*keep, "ordinal", *VALUES, "status"])
 
     source = queries.select(*keep, sql)
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    found = source.mapInPandas(rows, kept + ROWS)
+    # Reading costs far more than the bytes of a text tell, so the rows are spread over all tasks first.
+    found = source.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(rows, kept + ROWS)
     return sanitise(found)
 
 
