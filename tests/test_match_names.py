@@ -83,3 +83,11 @@ def test_letters_bound_the_ratio(spark):
     pairs = [("".join(rng.choice("AABCÉ😀") for _ in range(rng.randint(0, 12))), "".join(rng.choice("AABCÉ😀") for _ in range(rng.randint(1, 12)))) for _ in range(200)]
     for r in match.most_ratio(spark.createDataFrame(pairs, "_a string, _b string")).collect():
         assert ratio(r["_a"], r["_b"]) <= r["_most"] + 1e-9
+
+
+def test_names_are_compared_in_all_tasks(spark):
+    """Pairs of few bytes are not left to one task, as each takes long to compare."""
+    pairs = spark.range(2000).selectExpr("concat('A', id % 500) AS _a", "concat('B', id % 500) AS _b")
+    rated = match._rated(match.most_ratio(pairs).where("_most >= 0"))
+    assert rated.count() == 500
+    assert len([n for n in rated.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]) == 4

@@ -123,9 +123,15 @@ def common_letters(a: Column, b: Column) -> Column:
     return functools.reduce(operator.add, each, others)
 
 
+def differing(pairs: DataFrame) -> DataFrame:
+    """Distinct (_a, _b) of names that differ, dealt to all tasks: comparing them takes far longer than their bytes tell."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.where("_a <> _b").select("_a", "_b").repartition(tasks, "_a", "_b").distinct()
+
+
 def most_ratio(pairs: DataFrame) -> DataFrame:
     """Distinct (_a, _b) of names that differ, with ``_most``: no ratio of theirs is above it."""
-    each = pairs.where("_a <> _b").select("_a", "_b").distinct()
+    each = differing(pairs)
     return each.withColumn("_most", 200.0 * common_letters(F.col("_a"), F.col("_b")) / (F.length("_a") + F.length("_b")))
 
 
@@ -175,7 +181,7 @@ def match_columns(
     # Fields without one take the best of all their pairs, of equal ones that with the first row.
     left = pairs.where("_a <> _b").join(strong.select(*by, "mapperColumn").distinct(), [*by, "mapperColumn"], "left_anti")
     first = _named(rows).groupBy(*by, "_al", "_co").agg(F.min("row_no").alias("row_no"))
-    faint = left.join(_rated(left.select("_a", "_b").distinct()), ["_a", "_b"]).where("score > 0").join(first, [*by, "_al", "_co"])
+    faint = left.join(_rated(differing(left)), ["_a", "_b"]).where("score > 0").join(first, [*by, "_al", "_co"])
     best = faint.groupBy(*by, "mapperColumn").agg(F.min(F.struct((-F.col("score")).alias("_s"), (-F.length("compared")).alias("_l"), "row_no", "compared", "score", "percent")).alias("_m"))
     weak = best.select(*by, "mapperColumn", "_m.row_no", "_m.compared", "_m.score", "_m.percent").join(fields, [*by, "mapperColumn"]).join(_named(rows).drop("key"), "row_no")
     found = _attached(strong, fields, rows)
@@ -199,7 +205,7 @@ def match_registry(
 def scored(fields: DataFrame, rows: DataFrame, compat: bool = False) -> DataFrame:
     """All pairs of fields and rows that pass the gate, with score and percent."""
     pairs = name_pairs(fields, rows, compat)
-    rated = _exact(pairs).unionByName(pairs.join(_rated(pairs.where("_a <> _b").select("_a", "_b").distinct()), ["_a", "_b"]))
+    rated = _exact(pairs).unionByName(pairs.join(_rated(differing(pairs)), ["_a", "_b"]))
     return _attached(rated, fields, rows)
 
 
