@@ -91,3 +91,13 @@ def test_names_are_compared_in_all_tasks(spark):
     rated = match._rated(match.most_ratio(pairs).where("_most >= 0"))
     assert rated.count() == 500
     assert len([n for n in rated.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]) == 4
+
+
+def test_best_rows_are_chosen_per_name_first(spark):
+    """A thousand rows of three names: the same best rows as by ranking all pairs, of which only n a name are made."""
+    fields = spark.createDataFrame([(1, "brand_name", "f"), (2, "size", "g")], "field_no int, mapperColumn string, mapperFactField string")
+    rows = spark.range(1000).selectExpr(
+        "id AS row_no", "'db' AS db", "'t' AS table", "element_at(array('brand_name', 'brand_size', 'brand'), cast(id % 3 + 1 AS int)) AS column", "CASE WHEN id % 2 = 0 THEN 'size_x' WHEN id % 5 = 0 THEN '' END AS alias")
+    want = match.top_n(match.scored(fields, rows), 4).select("field_no", "row_no", "compared", "rank").collect()
+    assert sorted(match.best_matches(fields, rows, 4).select("field_no", "row_no", "compared", "rank").collect()) == sorted(want) and len(want) == 8
+    assert match.first_rows(rows, 4).count() == 24

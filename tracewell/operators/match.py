@@ -226,6 +226,17 @@ def _emit(pairs: DataFrame, fields: DataFrame, key: str, regulation: str, thresh
     return found.unionByName(none).select("field_no", *MATCH_FIELDS)
 
 
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The n first rows of each name (and key): rows of one name are equally good for a field, so that no others are among its n best."""
+    named = Window.partitionBy(*[c for c in ("key",) if c in rows.columns], F.coalesce("alias", F.lit("")), F.coalesce("column", F.lit(""))).orderBy("row_no")
+    return rows.withColumn("_nth", F.row_number().over(named)).where(F.col("_nth") <= n).drop("_nth")
+
+
+def best_matches(fields: DataFrame, rows: DataFrame, n: int, compat: bool = False) -> DataFrame:
+    """The n best rows of each field, as ``top_n`` of ``scored``; only rows that may be among them are paired with fields."""
+    return top_n(scored(fields, first_rows(rows, n), compat), n)
+
+
 def top_n(pairs: DataFrame, n: int) -> DataFrame:
     """The n best candidates of each field."""
     order = Window.partitionBy("field_no").orderBy(F.desc("score"), F.desc(F.length("compared")), "row_no")

@@ -481,7 +481,7 @@ def match_key_summary(spark, d):
 @query
 def match_topn(spark, d):
     fields, rows = _match_inputs(spark, d)
-    return match.top_n(match.scored(fields, match.usable(rows)), 3).select("field_no", "row_no", "rank")
+    return match.best_matches(fields, match.usable(rows), 3).select("field_no", "row_no", "rank")
 
 
 def _sized_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -512,7 +512,7 @@ def match_summary_sized(spark, d):
 @query
 def match_topn_sized(spark, d):
     fields, rows = _sized_inputs(spark, d)
-    return match.top_n(match.scored(fields, match.usable(rows, "staging_area")), 3).select("field_no", "row_no", "compared", "percent", "rank")
+    return match.best_matches(fields, match.usable(rows, "staging_area"), 3).select("field_no", "row_no", "compared", "percent", "rank")
 
 
 @query
