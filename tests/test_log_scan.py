@@ -2,13 +2,15 @@
 
 import random
 import re
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.logs import block_count, error_blocks, root_causes
 from tracewell.operators.scan import prefix_scan
-from tracewell.streaming.blocks import OpenBlock, append_blocks
+from tracewell.streaming.blocks import BlockProcessor, OpenBlock, append_blocks
 
 LINES = ["", " ", "\t", "noise", "ERROR a", "x Exception y", "Caused by: bad thing", "Caused by:", "Caused by:  ", "  at z", "Caused by:x Caused by:", "Caused by: Caused by: twice", "q" * 900]
 
@@ -99,3 +101,65 @@ def test_a_block_closed_by_waiting():
     assert list(block.feed(1, "ERROR a", 50)) == [] and list(block.close()) == [(1, 1, 1, 1, "NO ROOT CAUSE FOUND", "ERROR a")]
     assert list(block.feed(2, "rest", 50)) == [] and list(block.close()) == []
     assert list(block.feed(2, "ERROR again", 50)) == [] and list(block.feed(3, "ERROR b", 50)) == [] and list(block.close())[0][0] == 2
+
+
+class Kept:
+    """A list state and the timers of one key, in memory."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_one_call_for_all_files_of_a_part():
+    kept = Kept()
+    processor = BlockProcessor("file", "bigint", 50, 10)
+    processor.init(kept)
+
+    def feed(at, *rows):
+        new = pd.DataFrame([(f or 0, f is not None, n, line) for f, n, line in rows], columns=["name", "named", "line_no", "line"])
+        return [tuple(r) for d in processor.handleInputRows((0,), iter([new]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: at)) for r in d.itertuples(index=False)]
+
+    def expire(at):
+        kept.timers.remove(at)
+        return [tuple(r) for d in processor.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: at)) for r in d.itertuples(index=False)]
+
+    many = [(f, n, line) for f in range(1, 500) for n, line in ((2, "rest"), (1, "ERROR"))]
+    assert feed(0, *many) == [] and kept.calls == 1 and len(kept.rows) == 499 and kept.timers == [10_000]
+    assert feed(4_000, (1, 3, ""), (2, 3, "more"), (None, 1, "ERROR"), (0, 1, "Exception")) == [(1, 1, 1, 3, 3, "NO ROOT CAUSE FOUND", "ERROR\nrest\n")]
+    assert kept.calls == 3 and kept.timers == [10_000]
+    assert [r[0] for r in expire(10_000)] == list(range(3, 500)) and kept.timers == [14_000]
+    assert sorted(expire(14_000), key=str) == sorted([(2, 1, 1, 3, 3, "NO ROOT CAUSE FOUND", "ERROR\nrest\nmore"), (None, 1, 1, 1, 1, "NO ROOT CAUSE FOUND", "ERROR"), (0, 1, 1, 1, 1, "NO ROOT CAUSE FOUND", "Exception")], key=str)
+    assert kept.timers == [] and feed(20_000, (3, 3, "ERROR"), (3, 4, None))[0][:2] == (3, 2) and kept.timers == []
+
+
+def test_stream_of_files_dealt_to_few_parts(spark, tmp_path):
+    big = (1 << 53) + 1
+    batches = [[(big, 1, "ERROR"), (big + 1, 1, "ERROR"), (None, 1, "ERROR"), (0, 1, "ERROR"), (0, None, "lost")], [(big, 2, "x"), (None, 2, ""), (big, None, None), (big + 1, 2, "Exception"), (big + 1, 3, None), (0, None, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "_f long, line_no long, line string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        append_blocks(spark.readStream.schema("_f long, line_no long, line string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", file="_f", parts=1)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, found.select("_f", "block_id", "first_line", "last_line", "trace").collect()), key=str) == sorted(
+        [(big, 1, 1, 2, "ERROR\nx"), (big + 1, 1, 1, 1, "ERROR"), (big + 1, 2, 2, 2, "Exception"), (None, 1, 1, 2, "ERROR\n"), (0, 1, 1, 1, "ERROR")], key=str)
