@@ -9,7 +9,7 @@ import pytest
 from tracewell.llm.decontaminate import decontaminate
 from tracewell.llm.graph import components
 from tracewell.llm.ngram_jaccard import Schemes, differing, jaccard_components, signatures, sketch
-from tracewell.llm.suffix_dedup import RunLengthIndex, dedup_substrings
+from tracewell.llm.suffix_dedup import RunLengthIndex, _parts, _sorted_places, _suffix_order, dedup_substrings
 
 
 def lower(text):
@@ -189,3 +189,34 @@ def test_run_length_index_streams_exact_matches():
             seen += 1
     assert seen == sum(max(0, len(s) - 3) for s in strings)
     assert len(index.heads) < sum(len(s) + 1 for s in strings)
+
+
+@pytest.mark.parametrize("depth", [3, 4, 5, 9, 50])
+def test_suffix_order_and_classes(depth):
+    rng = random.Random(depth)
+    strings = [b"a" * 130, b"", b"ab" * 60, b"a" * 129, b"\xff\x00" * 3] + [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 90))) for _ in range(60)] + [b"ab" * 60]
+    text = np.array([c for s in strings for c in [*(b + 1 for b in s), 0]])
+    to_end = np.concatenate([np.arange(len(s), -1, -1) for s in strings])
+    suffixes = [[*(b + 1000 for b in s[i:]), k] for k, s in enumerate(strings) for i in range(len(s) + 1)]
+    order, starts = _suffix_order(text, to_end, depth)
+    assert order.tolist() == sorted(range(len(text)), key=suffixes.__getitem__)
+    heads = [suffixes[p][:depth] for p in order]
+    assert starts.tolist() == [i for i, h in enumerate(heads) if not i or h != heads[i - 1]]
+
+
+def test_an_index_holds_few_anchors():
+    rng = np.random.default_rng(1)
+    anchors, sizes = rng.integers(0, 40, 3000).astype("<u4"), rng.integers(50, 70, 3000).astype("<u4")
+    sizes[anchors == 7] += 900
+    parts = list(_parts(anchors, sizes, 20_000))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(3000)) and sum(len(set(anchors[p])) for p in parts) == 40
+    largest = int(np.bincount(anchors, sizes).max())
+    assert all(sizes[p].sum() < 20_000 + largest for p in parts) and len(parts) > 5
+    assert list(_parts(anchors[:0], sizes[:0])) == []
+
+
+def test_places_are_sorted_alike_whatever_their_width():
+    keys = np.random.default_rng(2).integers(0, 9, 500)
+    for width in (4, 60):
+        got, at = _sorted_places(keys, width)
+        assert at.tolist() == np.argsort(keys, kind="stable").tolist() and got.tolist() == sorted(keys.tolist())

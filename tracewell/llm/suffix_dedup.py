@@ -14,7 +14,8 @@ strings, builds a run-compressed Burrows-Wheeler transform of the different
 ones with samples at run ends, streams each string through it by LF steps, and
 marks windows whose matches include a document with a smaller id.  An index
 never holds more than its bucket, and a bucket holds a fixed share of the
-postings, of which equal ones are merged before and after the shuffle.
+postings, of which equal ones are merged before and after the shuffle.  Strings of
+different anchors share no window, so a large bucket builds several indexes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,55 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM = 32
+#: About how many bytes one index holds, if no single anchor's strings are more: what fits into a processor's caches, and into sorts of numbers.
+INDEXED = 1 << 19
+
+
+def _sorted_places(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of ``width`` bits and where each was; equal keys in their order."""
+    bits = len(keys).bit_length()
+    if width + bits > 63:
+        at = np.argsort(keys, kind="stable")
+        return keys[at], at
+    # A sort of numbers is several times faster than one of places.
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _suffix_order(text: np.ndarray, to_end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and where in it each class of ``depth`` equal symbols starts.
+
+    ``text``: symbols from 1, and a 0 behind each string, which sorts before all
+    symbols, in the strings' order; ``to_end``: how far it is to that.  Each round
+    sorts only the places that symbols so far leave equal, by twice as many symbols.
+    """
+    n, bits = len(text), len(text).bit_length()
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = min(4, depth)
+    keys = text.copy()
+    for k in range(1, known):
+        keys <<= 9
+        keys[: n - k] |= np.where(to_end[: n - k] >= k, text[k:], 0)
+    keys, order = _sorted_places(keys, 9 * known)
+    new = np.append(True, keys[1:] != keys[:-1]) | (to_end[order] < known)
+    slots, rank, starts = np.arange(n), np.empty(n, np.int64), None
+    while True:
+        # The rank of a place is the first slot of those it is equal to.
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(new)))
+        rank[order[slots]] = np.repeat(slots[first], counts)
+        if known == depth:
+            starts = np.flatnonzero(rank[order] == np.arange(n))
+        slots = slots[np.repeat(counts > 1, counts)]
+        if not len(slots) and known >= depth:
+            return order, starts
+        step = min(known, depth - known) if known < depth else known
+        known += step
+        places = order[slots]
+        keys, at = _sorted_places(rank[places] << bits | rank[places + step], 2 * bits)
+        order[slots] = places[at]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(slots)]
 
 
 class RunLengthIndex:
@@ -53,25 +103,8 @@ class RunLengthIndex:
         inside[ends] = False
         text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         owner = np.repeat(owners, self.sizes + 1)
-        # Separators sort before all bytes, in the strings' order.
-        rank = np.where(inside, text + len(strings), np.cumsum(~inside) - 1)
         to_end = np.repeat(ends, self.sizes + 1) - np.arange(n)
-        step, by_depth = 1, None
-        rank = np.unique(rank, return_inverse=True)[1]
-        while n:
-            if by_depth is None and 2 * step >= depth:
-                # Two overlapping halves give the classes of exactly ``depth`` symbols.
-                shift = depth - step
-                second = np.zeros(n, np.int64)
-                second[: n - shift] = rank[shift:] + 1
-                by_depth = np.unique(rank * (n + 2) + second, return_inverse=True)[1]
-            if by_depth is not None and int(rank.max()) == n - 1:
-                break
-            second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:] + 1
-            rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1]
-            step *= 2
-        order = np.argsort(rank)
+        order, by_depth = _suffix_order(text, to_end, depth)
         bwt = text[order - 1]
         change = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1])) if n else np.zeros(0, np.int64)
         lengths = np.diff(np.append(change, n))
@@ -85,10 +118,9 @@ class RunLengthIndex:
         totals = np.bincount(heads, lengths, 258).astype(np.int64) if n else np.zeros(258, np.int64)
         self.first_of[1:] = np.cumsum(totals)
         self.symbol_base = self.before[np.minimum(np.searchsorted(self.heads, np.arange(259)), max(0, len(heads) - 1))] if n else np.zeros(259, np.int64)
-        classes = by_depth[order] if n else order
-        self.class_starts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if n else np.zeros(0, np.int64)
+        self.class_starts = by_depth
         self.class_least = np.minimum.reduceat(owner[order], self.class_starts) if n else np.zeros(0, np.int64)
-        del to_end
+        self.least = np.repeat(self.class_least, np.diff(np.append(by_depth, n)))
 
     def lf(self, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Row of symbol + suffix for rows of suffixes, from the runs alone."""
@@ -112,7 +144,7 @@ class RunLengthIndex:
             live, rows, sizes = live[:on], rows[:on], sizes[:on]
             rows = self.lf(rows, flat[begins[live] + sizes - back])
             if back >= self.depth:
-                yield live, sizes - back, self.class_least[np.searchsorted(self.class_starts, rows, side="right") - 1]
+                yield live, sizes - back, self.least[rows]
 
 
 #: ``chash`` and ``check`` are two unlike 64-bit hashes of the bytes; pieces are equal where both are.
@@ -416,14 +448,13 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
             # Strings alone with their anchor match no other.
             anchors, many = np.unique(found["anchor"][one], return_counts=True)
             one = one[np.isin(found["anchor"][one], anchors[many > 1])]
-            strings = [raw[begins[i] : stops[i]] for i in one]
-            owners = found["doc"][one]
-            index = RunLengthIndex(strings, owners, length)
             which, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for numbers, at, least in index.stream(strings):
-                hit = least < owners[numbers]
-                which.append(numbers[hit])
-                places.append(at[hit])
+            for part in _parts(found["anchor"][one], found["size"][one]):
+                strings, owners = [raw[begins[i] : stops[i]] for i in one[part]], found["doc"][one[part]]
+                for numbers, at, least in RunLengthIndex(strings, owners, length).stream(strings):
+                    hit = least < owners[numbers]
+                    which.append(part[numbers[hit]])
+                    places.append(at[hit])
             which, places = np.concatenate(which), np.concatenate(places)
             order = np.lexsort((places, which))
             which, places = which[order], places[order]
@@ -448,6 +479,21 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
     return posted.groupBy("bucket").applyInArrow(meet, "bucket long, blob binary")
 
 
+def _parts(anchors: np.ndarray, sizes: np.ndarray, most: int = INDEXED) -> Iterator[np.ndarray]:
+    """Places of whole anchors' strings, about ``most`` bytes at a time, those with long strings together."""
+    if not len(anchors):
+        return
+    names, group = np.unique(anchors, return_inverse=True)
+    longest, total = np.zeros(len(names), np.int64), np.bincount(group, sizes).astype(np.int64)
+    np.maximum.at(longest, group, sizes)
+    by_length = np.argsort(longest, kind="stable")
+    number = np.empty(len(names), np.int64)
+    number[by_length] = (np.cumsum(total[by_length]) - total[by_length]) // most
+    number = number[group]
+    order = np.argsort(number, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+
+
 def _same(strings: list[bytes]) -> np.ndarray:
     """A number for each string, the same for equal bytes."""
     numbers: dict[bytes, int] = {}
