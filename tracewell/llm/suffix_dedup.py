@@ -37,6 +37,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM = 32
 #: About how many bytes one index holds, if no single anchor's strings are more: what fits into a processor's caches, and into sorts of numbers.
 INDEXED = 1 << 19
+#: About how many bytes of text are hashed before what is found in them is dealt; the hashing itself takes fewer at a time, for memory.
+DEALT = 1 << 22
 
 
 def _sorted_places(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,14 +274,24 @@ def settle_pieces(base: DataFrame, length: int, deal: int, bits: int, buckets: i
     """(top, bits, bucket, blob): per range of piece hashes the marks of first pieces, and the ranges of the others by row bucket."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, cuts_only=True)
-        for texts, others in _texts(batches, 1 << 22):
+        anchors, held, size = Anchors(length, cuts_only=True), [], 0
+        for texts, others in _texts(batches):
             anchors.of(texts)
             rows, begin, last = anchors.pieces(others)
-            if len(rows):
-                raw = memoryview(anchors.raw)
-                rows["check"] = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(begin.tolist(), (last + length).tolist(), strict=True)), U, len(rows))
-                yield _deal(rows["chash"] >> U(64 - deal), rows, None, None)
+            raw = memoryview(anchors.raw)
+            rows["check"] = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(begin.tolist(), (last + length).tolist(), strict=True)), U, len(rows))
+            held.append(rows)
+            size += len(raw)
+            if size >= DEALT:
+                yield flush(held)
+                size = 0
+        if held:
+            yield flush(held)
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        held.clear()
+        return _deal(rows["chash"] >> U(64 - deal), rows, None, None)
 
     def meet(t: pa.Table) -> pa.Table:
         top = t.column("bucket")[0].as_py()
@@ -298,7 +310,7 @@ def settle_pieces(base: DataFrame, length: int, deal: int, bits: int, buckets: i
     return posted.groupBy("bucket").applyInArrow(meet, "top long, bits binary, bucket long, blob binary")
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list[bytes], list]]:
+def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[list[bytes], list]]:
     """Texts (first column) and their rows' other columns, about ``most`` bytes at a time."""
     texts, others, size = [], [], 0
     for b in batches:
@@ -401,19 +413,15 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
     shift = U(64 - (bits.bit_length() - 1))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length)
-        for texts, others in _texts(batches, 1 << 22):
+        anchors, held, strings, size = Anchors(length), [], [], 0
+        for texts, others in _texts(batches):
             anchors.of(texts)
             anchors.only(others, first_pieces.value)
             first, last = anchors.runs()
-            if not len(first):
-                continue
             h = anchors.least[first]
             at = (h >> shift).astype(np.int64)
             often = (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             first, last, h = first[often], last[often], h[often]
-            if not len(first):
-                continue
             ids = np.array([o[0] for o in others], np.int64)
             keys = np.array([o[1] for o in others], np.int64)
             doc = anchors.doc[first]
@@ -421,12 +429,24 @@ def covered(base: DataFrame, length: int, bitmap, buckets: int, bits: int, first
             rows = np.empty(len(first), SEGMENT)
             rows["anchor"], rows["doc"], rows["key"] = (h & U(0xFFFFFFFF)).astype(np.uint32), ids[doc], keys[doc]
             rows["size"], rows["start"] = stop - first, first - (anchors.ends[doc] - anchors.sizes[doc])
-            strings = [anchors.raw[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
-            done, rows, keep = _settle(rows, _same(strings))
-            if len(done):
-                dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
-                yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(dealt.num_rows, pa.binary())], names=["bucket", "blob", "text"])
-            yield _deal(_place(h[keep], buckets), rows, np.array([strings[i] for i in keep] + [b""], object)[:-1], rows["size"])
+            held.append((rows, h))
+            strings += [anchors.raw[i:j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+            size += len(anchors.raw)
+            if size >= DEALT:
+                yield from flush(held, strings)
+                size = 0
+        if held:
+            yield from flush(held, strings)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        done, rows, keep = _settle(rows, _same(strings))
+        if len(done):
+            dealt = _deal(_place(_mix(done["key"].view(U)), buckets), done, None, None)
+            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(dealt.num_rows, pa.binary())], names=["bucket", "blob", "text"])
+        yield _deal(_place(h[keep], buckets), rows, np.array([strings[i] for i in keep] + [b""], object)[:-1], rows["size"])
+        held.clear()
+        strings.clear()
 
     def meet(t: pa.Table) -> pa.Table:
         out, rows, texts = [], [], []
