@@ -56,6 +56,13 @@ def test_chunks_of_any_width(spark, many, chunk):
     assert dict(map(tuple, block_count(found).collect())) == {f: max(k for g, k in want if g == f) for f in {f for f, _ in want}}
 
 
+@pytest.mark.parametrize("most", [*range(4, 16), 30])
+def test_trace_ends_beside_a_line_break(spark, most):
+    block = ["ERROR ab", "", "cdé", "f"]
+    blocks = spark.createDataFrame([("f", 1, n, line) for n, line in enumerate(block)], "file string, block_id long, line_no long, line string")
+    assert [r["trace"] for r in root_causes(blocks, most=most).collect()] == ["\n".join(block)[:most]]
+
+
 def test_no_window_over_a_file(spark):
     df = spark.createDataFrame([("f", 1, "ERROR")], "file string, line_no long, line string")
     plan = error_blocks(df)._jdf.queryExecution().analyzed().toString()

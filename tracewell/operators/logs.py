@@ -49,7 +49,8 @@ def root_causes(blocks: DataFrame, file: str = "file", line_no: str = "line_no",
         F.when(marked, F.regexp_extract("_t", r"Caused by:\s+([^\n]*)", 1)).when(F.col("_t").rlike(r"Caused by:\s+$"), "")
         .when(F.col("_open") & ~waiting, F.regexp_replace("_t", r"^\s+", ""))
     )
-    begun = F.collect_list(F.when(F.col("_at") < most, F.struct("_n", "_t")))
+    # A line that begins right after the last character still gives its line break.
+    begun = F.collect_list(F.when(F.col("_at") <= most, F.struct("_n", "_t")))
     whole = scanned.withColumn("_c", cause).groupBy("_f", "_b").agg(F.max_by("_c", F.when(F.col("_c").isNotNull(), F.col("_n"))).alias("_c"), begun.alias("_x"))
     trace = F.array_join(F.transform(F.array_sort("_x"), lambda s: s["_t"]), "\n")
     return whole.select(F.col("_f").alias(file), F.col("_b").alias("block_id"), F.coalesce("_c", F.lit(NO_CAUSE)).alias("root_cause"), F.substring(trace, 1, most).alias("trace"))
