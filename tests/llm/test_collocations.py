@@ -2,9 +2,12 @@
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm.collocations import mine_collocations
 
@@ -88,3 +91,70 @@ def test_counts_past_64_bit_products(spark):
     docs = spark.createDataFrame([("p q", "en")] * 40, "text string, lang string")
     got = rows_of(mine_collocations(docs, scale=400_000_000_000))
     assert got == by_hand([("p q", "en")] * 40, scale=400_000_000_000)
+
+
+class Steps:
+    """Takes the functions of a chain of steps instead of running them."""
+
+    def __init__(self):
+        self.run = []
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run.append(run)
+        return self
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition  # noqa: N815
+
+
+def test_blocks_are_cut_and_merged_a_few_mb_at_a_time(monkeypatch):
+    """One batch of many blocks isn't held again as one batch of slices, nor is a range as one of nodes."""
+    import pyarrow as pa
+
+    import tracewell.llm.collocations as c
+
+    monkeypatch.setattr(c, "range_bounds", lambda runs: [b"en\nw00500"])
+    names = [b"en\nw%05d" % i for i in range(30_000)]
+    blocks = [(names[k : k + 1000], k) for k in range(0, 30_000, 1000)] * 4
+    size = lambda b: (b"".join(b), np.array([len(n) for n in b], "<i4").tobytes(), np.full(len(b), 10, "<i8").tobytes())
+    rows = [(b[0], b[0], *size(b)) for b, _ in blocks]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(5)], names=["drawn", "head", "paths", "lengths", "counts"])
+    steps = Steps()
+    c.merged(steps, 30, False)
+    cut, add = steps.run
+    slices = list(cut(iter([batch])))
+    assert len(slices) > 1 and max(s.nbytes for s in slices) < 1.5 * (1 << 20) and sum(s.num_rows for s in slices) == len(rows) + 4
+    table = pa.Table.from_batches(slices).sort_by("range")
+    found = [r for b in add(iter(table.to_batches())) for r in b.to_pylist()]
+    assert sorted((r["path"], r["n"]) for r in found) == [(n[3:], 40) for n in names]
+
+
+def test_ranges_are_even_where_shards_begin_alike(spark, monkeypatch):
+    """Blocks of all shards begin with the same paths; ranges are still cut between them."""
+    import tracewell.llm.collocations as c
+
+    monkeypatch.setattr(c, "SHARD", 1)
+    monkeypatch.setattr(c, "RANGE", 500)
+    texts = spark.range(60, numPartitions=1).select(F.concat(F.lit("a "), F.concat_ws(" ", *[F.concat(F.lit(f"w{k:02d}"), F.col("id")) for k in range(100)])).cast("binary").alias("text"), F.lit("en").cast("binary").alias("lang"))
+    bounds = c.range_bounds(c.counted(texts, (1, 1), None))
+    paths = sorted(f"en\nw{k:02d}{i}".encode() for k in range(100) for i in range(60))
+    held = np.bincount([bisect_right(bounds, p) for p in paths])
+    assert len(bounds) > 6 and held.max() < 4 * 500
+
+
+def test_odd_bytes_keep_paths_in_order(spark, monkeypatch):
+    """Bytes below the blank part the order of paths from that of their words."""
+    import tracewell.llm.collocations as c
+
+    monkeypatch.setattr(c, "PATHS", 3)
+    monkeypatch.setattr(c, "RANGE", 10)
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices(["a", "a\x01", "a\x1fb", "b", "\x00", "é", "B\x7f"], k=40)), rng.choice(["e", "e\x01", "e f", ""])) for _ in range(60)]
+    for chosen in (rows, [(t.replace("\x01", "").replace("\x1f", "").replace("\x00", ""), "e") for t, _ in rows]):
+        docs = spark.createDataFrame(chosen, "text string, lang string").repartition(3)
+        assert rows_of(mine_collocations(docs, least=4)) == by_hand(chosen, 4)
+        runs = c.counted(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("binary").alias("lang")), (1, 1), None).collect()
+        blocks = [c.unpacked(r["paths"], r["lengths"]).to_pylist() for r in runs]
+        assert all(b == sorted(b) for b in blocks) and all(r["drawn"] in b for r, b in zip(runs, blocks, strict=True))
