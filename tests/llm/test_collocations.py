@@ -158,3 +158,23 @@ def test_odd_bytes_keep_paths_in_order(spark, monkeypatch):
         runs = c.counted(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("binary").alias("lang")), (1, 1), None).collect()
         blocks = [c.unpacked(r["paths"], r["lengths"]).to_pylist() for r in runs]
         assert all(b == sorted(b) for b in blocks) and all(r["drawn"] in b for r, b in zip(runs, blocks, strict=True))
+
+
+def test_a_row_of_the_bitmap_is_made_in_one_task(spark, monkeypatch):
+    """Tasks send hashes, not a bitmap row each, and the aggregate doesn't deal them again."""
+    import tracewell.llm.collocations as c
+
+    made_of = []
+    bitmap_of = c.bitmap_of
+    monkeypatch.setattr(c, "bitmap_of", lambda *a: made_of.append((a[0], bitmap_of(*a))) or made_of[-1][1])
+    bits = 1 << 18
+    paths = spark.range(3000, numPartitions=9).select(F.lit("en").cast("binary").alias("lang"), F.col("id").cast("string").cast("binary").alias("path"))
+    known = c.likely(paths, bits).value
+    hashes, rows = made_of[0]
+    placed = hashes.select(F.spark_partition_id().alias("p"), F.floor(F.pmod("_h", F.lit(bits)) / 32768).alias("b")).distinct().collect()
+    assert len({r["b"] for r in placed}) == len(placed) == 8
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortAggregate") == 2 and plan.count("Exchange hashpartitioning") == 1
+    import pyarrow as pa
+
+    assert known(pa.array([b"en\n%d" % i for i in range(3000)], pa.binary())).all() and not known(pa.array([b"xx\n%d" % i for i in range(3000)], pa.binary())).all()
